@@ -187,6 +187,7 @@ out: 'of'
 """.replace("'switch ( Expr ) { Cases }'", "switch (Expr) {Cases}").replace("out: 'of'\n", "").replace(" | in Id | out Id", "")
 
 TERM, GROUP, NONTERM, PRED, END = range(5)
+_SEMI_CODE = CODE[";"]
 _GROUPS = {"{": (1, "}"), "(": (2, ")"), "[": (3, "]"), "`": (4, "`"), "$": (5, "$"), "%": (6, "%"), "<": (7, ">")}
 _CONTEXTS = {"F": FUNC, "A": ASYNC, "G": GEN, "T": TOP}
 #: Content in which line ends part statements or members.
@@ -251,6 +252,8 @@ class Grammar:
                         if s[0] == GROUP:
                             add.add(-s[1])
                             break
+                        if s[0] == PRED and s[1] == "asi":
+                            add.add(_SEMI_CODE)
                         if s[0] == NONTERM:
                             add |= self.first[s[1]]
                             if s[1] not in self.nullable:
@@ -261,6 +264,39 @@ class Grammar:
                         changed = True
 
 
+        self.select: dict[str, dict[int, list]] = {}
+        self.empty: dict[str, list] = {}
+        for name, alts in self.alts.items():
+            self.select[name], self.empty[name] = {}, []
+            firsts = []
+            for alt in alts:
+                codes, empty = self._first_of(alt[0])
+                firsts.append((alt, codes, empty))
+                if empty:
+                    self.empty[name].append(alt)
+            for c in set().union(*(f[1] for f in firsts)):
+                self.select[name][c] = [alt for alt, codes, empty in firsts if c in codes or empty]
+
+    def _first_of(self, slot: int) -> tuple[set, bool]:
+        """Codes that the symbols from a slot on can begin with, and whether they can be empty."""
+        codes: set = set()
+        while True:
+            s = self.slots[slot]
+            if s[0] == END:
+                return codes, True
+            if s[0] == TERM:
+                return codes | s[1], False
+            if s[0] == GROUP:
+                return codes | {-s[1]}, False
+            if s[0] == PRED and s[1] == "asi":
+                codes.add(_SEMI_CODE)
+            if s[0] == NONTERM:
+                codes |= self.first[s[1]]
+                if s[1] not in self.nullable:
+                    return codes, False
+            slot += 1
+
+
 GRAMMAR_TABLE = Grammar(GRAMMAR)
 _DECL_FIRST = frozenset(CODE[x] for x in "function class const var".split())
 _AWAIT, _YIELD, _ASYNC, _SEMI, _LET = (CODE[x] for x in ("await", "yield", "async", ";", "let"))
@@ -307,7 +343,9 @@ class Recogniser:
                 before, kind = stack.pop()
                 if kind != c - CLOSE_AT:
                     return None
-                key = (kind, *([x for x in cur if x != NL] if kind != 1 else cur))
+                if kind != 1 and NL in cur:
+                    cur = [x for x in cur if x != NL]
+                key = (kind, *cur)
                 number = ids.get(key)
                 if number is None:
                     number = ids[key] = BASE + len(kinds)
@@ -342,14 +380,16 @@ class Recogniser:
         return self.run(name, toks, breaks, context, 7)
 
     def by_lines(self, codes: tuple, context: int) -> int:
-        """As ``whole`` for statements, read line by line; a line that is no statement by itself gives 0."""
+        """As ``whole`` for statements, read by lines and semicolons; a part that is no statement by itself gives 0."""
         found = 7
         parts: list[list[int]] = []
         line: list[int] = []
         for c in (*codes, NL):
             if c != NL:
                 line.append(c)
-            elif line:
+                if c != _SEMI:
+                    continue
+            if line:
                 first = line[0]
                 if parts and (first in _GOES_ON or parts[-1][-1] in _OPEN_END or first >= BASE and self.kinds[first - BASE] in (2, 3, 4) and parts[-1][-1] != _SEMI):
                     parts[-1].extend(line)
@@ -383,7 +423,14 @@ class Recogniser:
             node = nodes.get(key)
             if node is None:
                 node = nodes[key] = ([back], {})
-                for slot, d, need in g.alts[name]:
+                if i < n:
+                    c = toks[i]
+                    alts = g.select[name].get(c if c < BASE else -kinds[c - BASE])
+                    if alts is None:
+                        alts = g.empty[name]
+                else:
+                    alts = g.empty[name]
+                for slot, d, need in alts:
                     m = mask & d
                     if need:
                         if need == ASYNC and context & OUTSIDE and not context & ASYNC:
