@@ -29,10 +29,9 @@ def documented_nodes(files: DataFrame) -> DataFrame:
     def visit(rows):
         for file_id, path, content in rows:
             ext = jslex.extension(path)
-            if ext == ".vue" or content.startswith("﻿"):
-                content = content.removeprefix("﻿")
+            content = content.removeprefix("﻿")
             for a, b, jsx in jslex.scripts(content, ext):
-                for f in nodes_of(content[a:b], jsx, ext == ".vue"):
+                for f in nodes_of(content[a:b], jsx, ext == ".vue", documented=True):
                     if f.comments:
                         text, words, chars = prose.description(f.comments, f.name)
                         if words >= 6 or chars >= 10:

@@ -25,7 +25,7 @@ K, LEAST = 5, 0.9
 
 
 def usable(units: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, unit) with each id once and its vector brought to unit length, as the bytes of float32 numbers."""
+    """(id, unit, point) with each id once, its vector brought to unit length, as the bytes of float32 numbers, and their 128-bit hash."""
 
     def scale(batches):
         for pdf in batches:
@@ -41,13 +41,13 @@ def usable(units: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
             yield pd.DataFrame({"id": keep, "unit": out})
 
     rows = units.where("id is not null and vector is not null").select("id", "vector")
-    return rows.mapInPandas(scale, "id string, unit binary").groupBy("id").agg(F.min("unit").alias("unit"))
+    return rows.mapInPandas(scale, "id string, unit binary").groupBy("id").agg(F.min("unit").alias("unit")).withColumn("point", F.unhex(F.md5("unit")))
 
 
 def points(ids: DataFrame, k: int = K) -> DataFrame:
-    """(unit, rep, ids): each direction once, its smallest id, and its k + 1 smallest ids, gathered in bounded arrays."""
-    salted = ids.groupBy("unit", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
-    return salted.groupBy("unit").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")).select("unit", F.element_at("ids", 1).alias("rep"), "ids")
+    """(point, unit, rep, ids): each direction once, its smallest id, and its k + 1 smallest ids, gathered in bounded arrays."""
+    salted = ids.groupBy("point", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.first("unit").alias("unit"), F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
+    return salted.groupBy("point").agg(F.first("unit").alias("unit"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")).select("point", "unit", F.element_at("ids", 1).alias("rep"), "ids")
 
 
 def _planes(tree: int, dimensions: int, bits: int, seed: int) -> np.ndarray:
@@ -135,11 +135,11 @@ def neighbours(units: DataFrame, k: int = K, least: float = LEAST, trees: int =
     """(id, other, cos): for every id its k most similar others with a cosine of at least ``least``; of equal cosines the smaller id."""
     from skein.functions.state import durable
 
-    ids = usable(units, dimensions)
+    ids = durable(usable(units, dimensions))
     pts = durable(points(ids, k))
     spark = units.sparkSession
     n = pts.count()
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * trees // 150_000)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * trees // 40_000)
     near = candidates(forest(pts, trees, bits, dimensions, SEED), partitions, k, least, reach, dimensions)
     best = near.groupBy("a", "b").agg(F.max(F.round("cos", 5)).alias("cos")).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("m"), "b"))), 1, k).alias("top"))
     best = best.select("a", F.explode("top").alias("t")).select("a", F.col("t.b").alias("b"), (-F.col("t.m")).alias("cos"))
@@ -147,9 +147,9 @@ def neighbours(units: DataFrame, k: int = K, least: float = LEAST, trees: int =
     other = pts.select(F.col("rep").alias("b"), F.col("ids").alias("others"))
     around = best.join(other, "b").groupBy("a").agg(F.collect_list(F.struct((-F.col("cos")).alias("m"), "others")).alias("around"))
     flat = F.flatten(F.transform("around", lambda g: F.transform(g["others"], lambda o: F.struct(g["m"].alias("m"), o.alias("o")))))
-    lists = pts.select(F.col("rep").alias("a"), "unit", "ids").join(around, "a", "left")
-    lists = lists.select("unit", F.concat(F.transform("ids", lambda o: F.struct(F.lit(-1.0).alias("m"), o.alias("o"))), F.coalesce(flat, F.array().cast("array<struct<m:double,o:string>>"))).alias("all"))
-    full = ids.join(lists, "unit").select("id", F.slice(F.array_sort(F.filter("all", lambda o: o["o"] != F.col("id"))), 1, k).alias("top"))
+    lists = pts.select(F.col("rep").alias("a"), "point", "ids").join(around, "a", "left")
+    lists = lists.select("point", F.concat(F.transform("ids", lambda o: F.struct(F.lit(-1.0).alias("m"), o.alias("o"))), F.coalesce(flat, F.array().cast("array<struct<m:double,o:string>>"))).alias("all"))
+    full = ids.select("id", "point").join(lists.where(F.size("all") > 1), "point").select("id", F.slice(F.array_sort(F.filter("all", lambda o: o["o"] != F.col("id"))), 1, k).alias("top"))
     return full.select("id", F.explode("top").alias("t")).select("id", F.col("t.o").alias("other"), (-F.col("t.m")).alias("cos"))
 
 

@@ -152,7 +152,7 @@ def description(comment: str | None, name: str) -> tuple[str, int, int]:
             continue
         if _NOTICE.search(line) or _CODE_LINE.search(line):
             continue
-        if name:
+        if name and name in line:
             line = re.sub(rf"(?<![\w$]){re.escape(name)}(?![\w$])\s*(?:\([^()]*\))?\s*[:：\-–—]?", " ", line)
         w = {x.lower() for x in words(line)}
         if w and not CJK.search(line) and w <= name_parts(name) | _FILLER:
