@@ -59,6 +59,20 @@ class _Text:
         self.comment_end = [s.end for s in comments]
         self.comments = comments
 
+    def heads_after_comments(self):
+        """Matches of heads that begin at the first code after a comment."""
+        last = -1
+        for end in self.comment_end:
+            if end <= last:
+                continue  # the code after it is that after the comments before
+            at = self.skip(end)
+            if at >= len(self.blank):
+                break
+            last = at
+            m = _HEAD.match(self.blank, at) or _HEAD.match(self.blank, self.blank.rfind("\n", 0, at) + 1)
+            if m:
+                yield m
+
     def line(self, at: int) -> int:
         return bisect.bisect_right(self.breaks, at) + 1
 
@@ -176,11 +190,12 @@ class _Text:
         return None
 
 
-def functions(text: str, jsx: bool = False, objects: bool = False) -> list[Function]:
+def functions(text: str, jsx: bool = False, objects: bool = False, documented: bool = False) -> list[Function]:
     """Function declarations, class methods and arrow functions bound to a name, in order of their start.
 
     ``objects``: also methods and function-valued properties of the object that
-    a .vue script exports by default.  Positions come from the text itself, so
+    a .vue script exports by default.  ``documented``: only those that a comment
+    directly precedes, which saves looking at the rest of the text.  Positions come from the text itself, so
     a file that does not parse still gives what can be found in it.
     """
     t = _Text(text, jsx)
@@ -205,7 +220,7 @@ def functions(text: str, jsx: bool = False, objects: bool = False) -> list[Funct
             kinds[brace] = k
         return k
 
-    for m in _HEAD.finditer(t.blank):
+    for m in t.heads_after_comments() if documented else _HEAD.finditer(t.blank):
         if m.group("fn") is not None or m.group("pre") is not None and m.group("an") is None and m.group("mn") is None and m.group("pn") is None:
             name, kind = m.group("fn"), "function"
             if not name:
