@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,10 +103,7 @@ class Ledger:
             return listing
         done = done.select(*self.KEYS, F.col("entry.size").alias("__size"), F.col("entry.checksum").alias("__sum"))
         same = [F.col(f"l.{k}").eqNullSafe(F.col(f"d.{k}")) for k in self.KEYS] + [F.col("l.size").eqNullSafe(F.col("d.__size")), F.col("l.checksum").eqNullSafe(F.col("d.__sum"))]
-        condition = same[0]
-        for c in same[1:]:
-            condition = condition & c
-        return listing.alias("l").join(done.alias("d"), condition, "left_anti")
+        return listing.alias("l").join(done.alias("d"), reduce(and_, same), "left_anti")
 
     def run(self, batch: str, listing: DataFrame, job: Callable[[DataFrame], DataFrame]) -> int:
         """Processes what is pending as batch ``batch``; gives the number of records, 0 if the batch is committed already."""
@@ -115,9 +114,10 @@ class Ledger:
         manifest = f"{self.root}/manifest/batch={batch}"
         todo.select(*self.KEYS, "size", "checksum", F.lit(len(done)).alias("committed")).write.mode("overwrite").parquet(manifest)
         # the manifest, not the listing that may change meanwhile, fixes what belongs to the batch
-        fixed = self.spark.read.parquet(manifest).select(*self.KEYS)
-        keys = [F.col(f"l.{k}").eqNullSafe(F.col(f"m.{k}")) for k in self.KEYS]
-        mine = listing.alias("l").join(fixed.alias("m"), keys[0] & keys[1], "left_semi")
+        columns = (*self.KEYS, "size", "checksum")
+        fixed = self.spark.read.parquet(manifest).select(*columns)
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"m.{k}")) for k in columns]
+        mine = listing.alias("l").join(fixed.alias("m"), reduce(and_, same), "left_semi")
         job(mine).write.mode("overwrite").parquet(f"{self.root}/output/batch={batch}")
         n = fixed.count()
         fs, path = self._fs()

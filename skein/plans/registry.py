@@ -2,18 +2,236 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skein import schema as S
+from skein.functions import text as T
 from skein.functions.rows import table
-from skein.operators import incremental
+from skein.operators import context, diversify, incremental, index, rank, search, vector, vocab
+from skein.sources import parse
+
+KEYWORDS = [("k1", w) for w in ("login", "order", "cart", "coupon", "address", "member", "refund", "token")] + [("k2", w) for w in ("await", "template", "vector", "router", "订单", "登录", "filter", "upload")]
+PROJECT_DIRS = ["src", "lib", "packages"]
+
+
+def _units(s, d) -> DataFrame:
+    return table(s, d, "code_units")
+
+
+def _queries(s, d) -> DataFrame:
+    """Every embedding whose id is divisible by 100, with the document of that id as its text."""
+    e = table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    t = table(s, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+    return e.join(t, "query_id")
+
+
+def _hits(s, d, k=30) -> DataFrame:
+    """Nearest units of each query with their fields."""
+    q, u = _queries(s, d), _units(s, d)
+    near = vector.knn(q, u, k)
+    fields = vector.unit_rows(u, near, "project", "file_path", "type", "name", "content", "start_line", "end_line", "dependencies")
+    fields = fields.withColumn("dependencies", F.coalesce(F.from_json(F.coalesce(F.nullif("dependencies", F.lit("")), F.lit("[]")), "array<string>"), F.array().cast("array<string>")))
+    return near.join(fields, "id").join(q.select("query_id", "query"), "query_id")
+
+
+def _files(s, d) -> DataFrame:
+    """The present row of each file."""
+    rows = table(s, d, "files")
+    return rows.groupBy("file_id").agg(*[F.max_by(c, F.struct("scanned_at", "mtime_ms", "size")).alias(c) for c in ("project", "path", "relative_path", "extension", "size", "content")])
+
+
+def _keywords(s) -> DataFrame:
+    return s.createDataFrame(KEYWORDS, "query_id string, keyword string")
+
+
+def _filtered(s, d):
+    return vector.search(_queries(s, d), _units(s, d), file_types=[".js", ".vue", ".ts"], code_types=["function", "component"]).select("query_id", "rank", "id", "score")
+
+
+def _fused(s, d):
+    q = _queries(s, d)
+    words = q.select("query_id", F.explode(F.array(*map(F.lit, ["login", "order", "cart"]))).alias("keyword"))
+    return search.fuse(vector.knn(q, _units(s, d), 20), search.keyword_scores(words, _units(s, d)))
+
+
+def _matched(s, d):
+    hits = _hits(s, d, 20).withColumn("keywords", F.array(*map(F.lit, ["login", "order", "cart", "refund", "处理"])))
+    return search.matched_first(search.keyword_bonus(hits), 10).select("query_id", "rank", "id", "score", F.size("keyword_matches").alias("matches"))
+
+
+def _boosted(s, d):
+    hits = _hits(s, d, 20).withColumn("keywords", F.array(*map(F.lit, ["login", "order", "cart", "refund"]))).withColumn("confidence", F.lit(0.5))
+    return search.keyword_bonus(hits, confidence="confidence").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+def _evidence(s, d):
+    u = _units(s, d).where("id is not null").withColumn("score", F.length("content").cast("double") % 1000)
+    return u.select("id", F.round(rank.evidence_score(), 6).alias("evidence")).distinct()
+
+
+def _reranked(s, d):
+    return rank.rule_rerank(_hits(s, d), top=10).select("query_id", F.col("new_rank").alias("rank"), "id", F.round("relevance", 6).alias("relevance"))
+
+
+def _merged(s, d):
+    hits = _hits(s, d, 20).select("query_id", "id", "rank", "score")
+    primary, fallback = hits.where("rank % 2 = 0"), hits.where("rank % 3 = 0").withColumn("score", F.col("score") + 1)
+    return rank.merge_unique(primary, fallback).select("query_id", "id", "score", "merged_rank")
+
+
+def _jaccard(s, d):
+    hits = _hits(s, d, 10).select("query_id", "rank", "id", T.tokens(F.concat_ws(" ", "file_path", "name", "content")).alias("t"))
+    first = hits.where("rank = 1").select("query_id", F.col("t").alias("t1"))
+    return hits.join(first, "query_id").select("query_id", "id", F.round(T.jaccard(F.col("t1"), F.col("t")), 6).alias("similarity"))
+
+
+def _snippets(s, d):
+    return _hits(s, d, 10).select("query_id", "id", T.snippet("content", F.array(F.lit("return"), F.lit("export"), F.lit("const")), 400).alias("snippet"))
+
+
+def _contexts(s, d):
+    return context.context(_hits(s, d, 5).withColumn("query", F.lit("return export const")))
+
+
+def _budget(s, d):
+    return _contexts(s, d).select("query_id", *context.budget(context.chat_prompt(F.lit("q"), F.col("context"))))
+
+
+def _answers(s, d) -> DataFrame:
+    n = F.col("doc_id")
+    cites = F.concat(F.lit("来源["), (n % 5).cast("string"), F.lit("]"))
+    more = F.concat(F.lit("来源["), (n % 3 + 1).cast("string"), F.lit("]"))
+    text = F.concat(F.when(n % 7 != 0, F.lit("## 结论\n")).otherwise(""), F.coalesce("text", F.lit("")), F.when(n % 2 == 0, cites).otherwise(""), F.lit("\n## 证据\n"), cites, more)
+    return table(s, d, "documents").select("doc_id", text.alias("answer"), (n % 4).cast("int").alias("sources"))
+
+
+def _history(s, d) -> DataFrame:
+    e = table(s, d, "events")
+    kind = F.when(F.col("event_type") == "purchase", "good").when(F.col("event_type") == "error", "bad")
+    return e.select("event_id", F.col("user_id").alias("query_id"), "ts", kind.alias("feedback"))
+
+
+def _parsed(s, d):
+    return parse.parsed(_files(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("units"), F.countDistinct("id").alias("ids"))
+
+
+def _rounds(s, d):
+    """Searches of three rounds, the first that finds a unit keeping it."""
+    q, u = _queries(s, d), _units(s, d)
+    near = [vector.knn(q.where(f"query_id % 300 = {100 * i}").select(F.lit(1).alias("query_id"), "vector").limit(1), u, k).withColumn("round", F.lit(i + 1)) for i, k in enumerate((5, 3, 5))]
+    rows = near[0].unionByName(near[1]).unionByName(near[2])
+    best = rows.groupBy("id").agg(F.min(F.struct("round", "score")).alias("b")).select("id", "b.round", "b.score")
+    return best.orderBy("score", "id").limit(10)
 
 
 def queries() -> dict:
     t = table
     return {
+        "knn_top20": lambda s, d: vector.knn(_queries(s, d).where("query_id = 0"), _units(s, d), 20),
+        "knn_batch": lambda s, d: vector.knn(_queries(s, d), _units(s, d), 20),
+        "knn_cosine": lambda s, d: vector.knn(_queries(s, d), _units(s, d), 10, "cosine"),
+        "search_post_filter": _filtered,
+        "outlier_cut": lambda s, d: vector.outlier_cut(vector.knn(_queries(s, d), _units(s, d), 200)).select("query_id", "id", "score"),
+        "similarity_display": lambda s, d: vector.knn(_queries(s, d), _units(s, d), 5).select("query_id", "id", F.round(1 - F.col("score"), 6).alias("similarity")),
+        "token_counts": lambda s, d: t(s, d, "documents").select("doc_id", F.size(T.tokens("text")).alias("tokens")),
+        "specificity": lambda s, d: _units(s, d).select("name", T.specificity("name").alias("weight")).distinct(),
+        "overlap_ratio": lambda s, d: t(s, d, "functions").select("func_id", F.round(T.overlap(T.tokens(F.concat_ws(" ", "name", F.array_join("params", " "))), T.tokens("content")), 6).alias("ratio")).distinct(),
+        "keyword_scores": lambda s, d: search.keyword_scores(_keywords(s), _units(s, d)).select("query_id", "id", F.col("match_score").cast("bigint").alias("match_score"), F.size("keyword_matches").alias("matches"), "rank"),
+        "fuse_hybrid": _fused,
+        "matched_first": _matched,
+        "keyword_boost": _boosted,
+        "smart_search": lambda s, d: search.smart_search(_queries(s, d), _units(s, d), 10).select("query_id", "rank", "id", "score", "source"),
+        "index_stats": lambda s, d: search.index_stats(_units(s, d)),
+        "evidence_score": _evidence,
+        "coverage_score": lambda s, d: _hits(s, d, 20).select("query_id", "id", rank.coverage_score(T.tokens("query"), T.haystack()).alias("coverage")),
+        "rule_rerank": _reranked,
+        "merge_unique": _merged,
+        "evidence_sufficient": lambda s, d: rank.enough_evidence(_hits(s, d, 8)),
+        "path_key": lambda s, d: _units(s, d).select("file_path", T.path_key("file_path").alias("module")).distinct(),
+        "jaccard_pairs": _jaccard,
+        "recall_expand": lambda s, d: t(s, d, "documents").select("doc_id", T.recall_query("text").alias("recall")),
+        "mapped_keywords": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", F.size(T.mapped_keywords("text")).alias("keywords")),
+        "bridge_terms": lambda s, d: rank.bridge_terms(_hits(s, d, 8)),
+        "select_mmr": lambda s, d: diversify.select_mmr(rank.rule_rerank(_hits(s, d)), 10),
+        "select_context": lambda s, d: diversify.select_context(rank.rule_rerank(_hits(s, d)), 8),
+        "snippet": _snippets,
+        "context_block": _contexts,
+        "token_budget": _budget,
+        "citation_valid": lambda s, d: _answers(s, d).select("doc_id", F.size(context.citations(F.col("answer"), F.col("sources"))).alias("cited"), context.valid_citation(F.col("answer"), F.col("sources")).alias("valid"), context.has_code_fence(F.col("answer")).alias("fenced")),
+        "vocab_freq": lambda s, d: vocab.learn(_units(s, d)),
+        "vocab_top": lambda s, d: vocab.top_words(vocab.learn(_units(s, d)), 50),
+        "vocab_match": lambda s, d: vocab.match_words(_queries(s, d), vocab.learn(_units(s, d)), both_ways=False),
+        "camel_words": lambda s, d: t(s, d, "functions").select("name", F.explode(T.camel_words("name")).alias("word")).distinct(),
+        "query_stats": lambda s, d: vocab.query_stats(_history(s, d)),
+        "feedback_latest": lambda s, d: vocab.latest_feedback(_history(s, d).where("feedback is not null")).select("query_id", "event_id", "feedback"),
         "p4_found": lambda s, d: incremental.pending(t(s, d, "files"), t(s, d, "index_state"), t(s, d, "index_runs")),
         "p4_changes": lambda s, d: incremental.changes(t(s, d, "files"), t(s, d, "index_state"), t(s, d, "index_runs")),
+        "incremental_diff": lambda s, d: incremental.changes(t(s, d, "files"), t(s, d, "index_state"), t(s, d, "index_runs")).groupBy("project", "status").agg(F.count(F.lit(1)).alias("files")),
+        "delete_by_path": lambda s, d: index.without_paths(_units(s, d), _units(s, d).where("type = 'component'").select("project", "file_path")).select("id", "project", "file_path", "type").distinct(),
+        "file_filter": lambda s, d: t(s, d, "files").where(T.allowed_file("relative_path")).select("project", "relative_path").distinct(),
+        "small_files": lambda s, d: t(s, d, "files").where(F.col("extension").isin(".vue", ".js") & (F.col("size") > 100) & (F.col("size") < 50000)).select("path", "size").distinct().orderBy("path", "size").limit(50),
+        "project_lookup": lambda s, d: t(s, d, "projects").select("id", "name", F.regexp_replace("path", r"\\", "/").alias("path"), "indexed"),
+        "ext_label": lambda s, d: t(s, d, "files").select("relative_path", T.type_label(T.extension("relative_path")).alias("label")).distinct(),
+        "deps_extract": lambda s, d: t(s, d, "files").where("content is not null").select("file_id", F.array_join(T.dependencies("content"), "|").alias("deps")).distinct(),
+        "props_emits": lambda s, d: t(s, d, "files").where("content is not null").select("file_id", F.array_join(T.declared_props("content"), "|").alias("props"), F.array_join(T.declared_emits("content"), "|").alias("emits")).distinct(),
+        "file_hash": lambda s, d: t(s, d, "files").where("content is not null").select("file_id", F.md5("content").alias("hash"), F.size(F.split("content", "\n")).alias("lines")).distinct(),
+        "file_text": lambda s, d: t(s, d, "files").where("content is not null").select("file_id", F.md5(T.file_text("relative_path", T.extension("relative_path"), "path", "content")).alias("hash")).distinct(),
+        "semantic_text": lambda s, d: t(s, d, "functions").select("func_id", F.md5(T.function_text("name", "name", "type", "params", "is_async", "is_exported", "comments", "content")).alias("hash")).distinct(),
+        "embed_text": lambda s, d: _units(s, d).select("id", F.length(T.embed_text("content")).alias("chars"), T.token_estimate("content").alias("tokens")).distinct(),
+        "unit_tokens": lambda s, d: _units(s, d).select("id", F.size(T.tokens(F.concat_ws(" ", "file_path", "name", "content"))).alias("tokens")).distinct(),
+        "parse_units": _parsed,
+        "multi_round": _rounds,
+        "fallback_keywords": lambda s, d: t(s, d, "documents").select("doc_id", F.array_join(T.issue_keywords("text"), "|").alias("keywords")),
+        "summary_counts": lambda s, d: t(s, d, "functions").groupBy("type").agg(F.count_if(F.col("is_async")).alias("high"), F.count_if(F.col("is_exported")).alias("medium")),
     }
 
 
+def _tok(x: str) -> str:
+    return f"list_distinct(list_concat(regexp_extract_all({x}, '[\\x{{4e00}}-\\x{{9fa5}}]{{2,8}}'), list_filter(string_split_regex(lower({x}), '[^a-z0-9_]+'), lambda w: length(w) >= 3)))"
+
+
+_Q = """q AS (SELECT e.vec_id AS query_id, e.embedding AS v, coalesce(d.text, '') AS query FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id WHERE e.vec_id % 100 = 0)"""
+_V = """v AS (SELECT id, vector FROM code_units WHERE id IS NOT NULL AND vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
+_L2 = "list_sum(list_transform(range(1, 65), lambda i: (v.vector[i]::DOUBLE - q.v[i]::DOUBLE) * (v.vector[i]::DOUBLE - q.v[i]::DOUBLE)))"
+
+
+def _knn(k: int, where: str = "true", score: str = _L2, more: str = "true") -> str:
+    return f"""{_Q}, {_V}, near AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, id)::INT AS rank FROM
+      (SELECT q.query_id, v.id, min(round({score}, 6)) AS score FROM q, v WHERE {where} AND {more} GROUP BY 1, 2) QUALIFY rank <= {k})"""
+
+
+_U = """u AS (SELECT id, max(project) AS project, max(file_path) AS file_path, max(type) AS type, max(name) AS name, max(content) AS content, max(start_line) AS start_line, max(end_line) AS end_line, max(dependencies) AS dependencies FROM code_units WHERE id IS NOT NULL GROUP BY id)"""
+_HAY = "lower(concat_ws(' ', coalesce(file_path, ''), coalesce(name, ''), coalesce(content, '')))"
+
+
+def _hit(k: int = 30) -> str:
+    return f"{_knn(k)}, {_U}, hits AS (SELECT near.query_id, near.id, near.score, near.rank, q.query, u.project, u.file_path, u.type, u.name, u.content, u.start_line, u.end_line, u.dependencies FROM near JOIN u USING (id) JOIN q ON q.query_id = near.query_id)"
+
+
+def _spec(x: str) -> str:
+    k = f"lower(trim(coalesce({x}, '')))"
+    generic = ", ".join(f"'{w}'" for w in S.GENERIC_KEYWORDS)
+    return f"(CASE WHEN {k} = '' OR {k} IN ({generic}) THEN 0.0 WHEN length({k}) >= 6 THEN 1.2 WHEN length({k}) >= 4 THEN 1.0 WHEN length({k}) >= 2 THEN 0.8 ELSE 0.4 END)::DOUBLE"
+
+
+def _evidence_sql(score: str, matches: str = "0") -> str:
+    p, n, c = "lower(coalesce(file_path, ''))", "lower(coalesce(name, ''))", "lower(coalesce(content, ''))"
+    base = f"regexp_extract({p}, '([^/\\\\]*)$', 1)"
+    case = lambda cond, x: f"(CASE WHEN {cond} THEN {x} ELSE 0 END)"
+    re_ = lambda x, pat: f"regexp_matches({x}, '{pat}')"
+    return " + ".join(
+        ["(CASE type WHEN 'function' THEN 120 WHEN 'component' THEN 100 WHEN 'file' THEN 20 ELSE 0 END)", case(f"contains({p}, '/src/')", 80), case(f"contains({p}, '/docs/')", -140), case(re_(base, S.GENERIC_FILE), -120), case(f"contains({base}, 'utilscategory')", -80)]
+        + [case(re_(n, S.EVIDENCE_NAME), 40), case(re_(f"concat_ws(' ', {p}, {c})", S.EVIDENCE_TEXT), 30), case(re_(n, S.EVIDENCE_FLOW), 25), case(re_(c, S.EVIDENCE_CALL), 40), f"25 * {matches}", f"greatest(0.0::DOUBLE, 800.0::DOUBLE - {score}) * 0.1::DOUBLE"]
+    )
+
+
+def _words_sql(camel: bool = False) -> str:
+    return """list_concat(list_concat(list_filter(list_transform(list_filter(string_split(coalesce(file_path, ''), '/'), lambda p: p <> '' AND NOT starts_with(p, '.')), lambda p: regexp_replace(p, '\\.(js|ts|vue|jsx|tsx|md)$', '')), lambda p: length(p) > 1),
+      list_filter([coalesce(name, '')], lambda n: length(n) > 2)), regexp_extract_all(coalesce(content, ''), '[\\x{4e00}-\\x{9fa5}]{2,4}'))"""
+
+
 _CHANGES = """
 WITH now AS (
   SELECT project, replace(relative_path, chr(92), '/') AS relative_path, mtime_ms, size FROM files WHERE project IS NOT NULL AND relative_path IS NOT NULL
@@ -28,10 +246,75 @@ changes AS (
          WHEN n.mtime_ms IS NOT DISTINCT FROM l.mtime_ms AND n.size IS NOT DISTINCT FROM l.size THEN 'unchanged' ELSE 'modified' END AS status
   FROM now n FULL OUTER JOIN last l ON n.project = l.project AND n.relative_path = l.relative_path)
 """
+_EXT = "regexp_extract({x}, '[^/.][^/]*?(\\.[^./]*)$', 1)"
+
+
+def _label(x: str) -> str:
+    return "CASE " + x + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.TYPE_LABELS.items()) + f" ELSE '{S.DEFAULT_LABEL}' END"
 
 
 def oracle_sql() -> dict[str, str]:
+    values = ", ".join(f"('{a}', '{b}')" for a, b in KEYWORDS)
+    outlier = """, c AS (SELECT *, list_sort(list(score) OVER (PARTITION BY query_id)) AS s FROM {rows}), cut AS (SELECT * EXCLUDE s FROM c WHERE len(s) <= 3 OR score <= greatest(CASE WHEN s[len(s) // 2 + 1] = 0 THEN s[1] ELSE s[len(s) // 2 + 1] END * 2.2::DOUBLE, s[1] + 120.0::DOUBLE))"""
+    kw = f"""k AS (SELECT * FROM (VALUES {values}) t(query_id, keyword)), h AS (SELECT DISTINCT id, {_HAY} AS hay FROM code_units WHERE id IS NOT NULL),
+      m AS (SELECT query_id, id, sum(CASE WHEN contains(hay, keyword) THEN 10 * ((length(hay) - length(replace(hay, keyword, ''))) // length(keyword)) ELSE 0 END)::BIGINT AS match_score, count(*) FILTER (contains(hay, keyword))::INT AS matches FROM k, h GROUP BY 1, 2)"""
+    hits_kw = "['login', 'order', 'cart', 'refund'{more}]"
+    concept = "[" + ", ".join(f"CASE WHEN contains(t, '{k}') THEN {v} ELSE []::VARCHAR[] END" for k, v in S.CONCEPT_MAP.items()) + "]"
+    mapped = "[" + ", ".join(f"CASE WHEN contains(text, '{k}') THEN {[k, *v]} ELSE []::VARCHAR[] END" for k, v in S.KEYWORD_MAP.items()) + "]"
+    denied = "|".join(S.DENIED_NAMES)
+    rel = "replace(relative_path, chr(92), '/')"
+    words = "WITH w AS (SELECT unnest(" + _words_sql() + ") AS word FROM code_units), f AS (SELECT word, count(*) AS freq FROM w GROUP BY 1 HAVING count(*) >= 3)"
+    hist = "h AS (SELECT event_id, user_id AS query_id, ts, CASE event_type WHEN 'purchase' THEN 'good' WHEN 'error' THEN 'bad' END AS feedback FROM events)"
+    answers = """a AS (SELECT doc_id, concat(CASE WHEN doc_id % 7 <> 0 THEN '## 结论\n' ELSE '' END, coalesce(text, ''), CASE WHEN doc_id % 2 = 0 THEN '来源[' || (doc_id % 5) || ']' ELSE '' END, '\n## 证据\n', '来源[' || (doc_id % 5) || ']', '来源[' || (doc_id % 3 + 1) || ']') AS answer, (doc_id % 4)::INT AS sources FROM documents),
+      b AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(answer, '来源\\[(\\d{1,9})\\]', 1), lambda x: x::INT), lambda n: n >= 1 AND n <= sources)) AS cited FROM a)"""
+    name_label = "CASE type WHEN 'function' THEN '函数声明' WHEN 'method' THEN '类方法' ELSE '箭头函数' END"
     return {
+        "knn_top20": f"WITH {_knn(20, 'q.query_id = 0')} SELECT * FROM near",
+        "knn_batch": f"WITH {_knn(20)} SELECT * FROM near",
+        "knn_cosine": f"WITH {_knn(10, score='1.0::DOUBLE - ' + _DOT.format(a='v.vector', b='q.v') + ' / sqrt(' + _DOT.format(a='v.vector', b='v.vector') + ' * ' + _DOT.format(a='q.v', b='q.v') + ')', more=_DOT.format(a='v.vector', b='v.vector') + ' > 0')} SELECT * FROM near",
+        "search_post_filter": f"WITH {_knn(40)}, {_U}, r AS (SELECT near.query_id, near.id, near.score FROM near JOIN u USING (id) WHERE {_EXT.format(x='u.file_path')} IN ('.js', '.vue', '.ts') AND u.type IN ('function', 'component')){outlier.format(rows='r')} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, id)::INT AS rank, id, score FROM cut QUALIFY rank <= 20",
+        "outlier_cut": f"WITH {_knn(200)}{outlier.format(rows='near')} SELECT query_id, id, score FROM cut",
+        "similarity_display": f"WITH {_knn(5)} SELECT query_id, id, round(1 - score, 6) AS similarity FROM near",
+        "token_counts": f"SELECT doc_id, len({_tok(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')})::INT AS tokens FROM documents",
+        "specificity": f"SELECT DISTINCT name, {_spec('name')} AS weight FROM code_units",
+        "overlap_ratio": f"WITH t AS (SELECT func_id, {_tok('concat_ws(chr(32), name, array_to_string(params, chr(32)))')} AS a, {_tok('coalesce(content, chr(32))')} AS b FROM functions) SELECT DISTINCT func_id, CASE WHEN least(len(a), len(b)) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)), 6) END AS ratio FROM t",
+        "keyword_scores": f"WITH {kw} SELECT query_id, id, match_score, matches, row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, id)::INT AS rank FROM m WHERE match_score > 0 QUALIFY rank <= 50",
+        "fuse_hybrid": f"WITH {_knn(20)}, h AS (SELECT DISTINCT id, {_HAY} AS hay FROM code_units WHERE id IS NOT NULL), k AS (SELECT unnest(['login', 'order', 'cart']) AS keyword), m0 AS (SELECT id, sum(10 * ((length(hay) - length(replace(hay, keyword, ''))) // length(keyword)))::INT AS match_score FROM h, k GROUP BY 1), m1 AS (SELECT id, match_score FROM m0 WHERE match_score > 0 ORDER BY match_score DESC, id LIMIT 50), m AS (SELECT query_id, id, match_score FROM q, m1) SELECT coalesce(n.query_id, m.query_id) AS query_id, coalesce(n.id, m.id) AS id, CASE WHEN n.score IS NOT NULL AND m.match_score IS NOT NULL THEN n.score - 40.0::DOUBLE WHEN n.score IS NOT NULL THEN n.score ELSE 900.0::DOUBLE - m.match_score END AS score, CASE WHEN n.score IS NOT NULL AND m.match_score IS NOT NULL THEN 'hybrid' WHEN n.score IS NOT NULL THEN 'vector' ELSE 'keyword' END AS source FROM near n FULL OUTER JOIN m ON n.query_id = m.query_id AND n.id = m.id",
+        "matched_first": f"WITH {_hit(20)}, b AS (SELECT *, list_filter({hits_kw.format(more=', ' + chr(39) + '处理' + chr(39))}, lambda k: contains({_HAY}, k)) AS ms FROM hits), c AS (SELECT query_id, id, score - coalesce(list_sum(list_transform(ms, lambda k: round({_spec('k')} * 45.0::DOUBLE))), 0.0::DOUBLE) AS score, len(ms)::INT AS matches FROM b) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY matches = 0, score, id)::INT AS rank, id, score, matches FROM c QUALIFY rank <= 10",
+        "keyword_boost": f"WITH {_hit(20)} SELECT query_id, id, round(score - 100.0::DOUBLE * len(list_filter({hits_kw.format(more='')}, lambda k: contains({_HAY}, k))), 6) AS score FROM hits",
+        "index_stats": f"WITH {_U} SELECT 'type' AS kind, type AS key, count(*) AS units FROM u GROUP BY type UNION ALL SELECT 'project', project, count(*) FROM u GROUP BY project UNION ALL SELECT 'total', '', count(*) FROM u HAVING count(*) > 0",
+        "evidence_score": f"WITH x AS (SELECT *, length(content)::DOUBLE % 1000 AS score FROM code_units WHERE id IS NOT NULL) SELECT DISTINCT id, round({_evidence_sql('score')}, 6) AS evidence FROM x",
+        "coverage_score": f"WITH {_hit(20)} SELECT query_id, id, (40 * len(list_filter({_tok('query')}, lambda t: contains({_HAY}, lower(t)))))::INT AS coverage FROM hits",
+        "rule_rerank": f"WITH {_hit(30)}, m AS (SELECT *, len(list_filter({_tok('query')}, lambda t: contains({_HAY}, lower(t)))) AS n FROM hits), r AS (SELECT query_id, id, rank AS old, {_evidence_sql('score', 'n')} + 40 * n AS rel FROM m) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, old)::INT AS rank, id, round(rel, 6) AS relevance FROM r QUALIFY rank <= 10",
+        "merge_unique": f"WITH {_knn(20)}, b AS (SELECT query_id, id, score, rank, 0 AS side FROM near WHERE rank % 2 = 0 UNION ALL SELECT query_id, id, score + 1, rank, 1 FROM near WHERE rank % 3 = 0), o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY side, rank) = 1) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY side, rank, id)::INT AS merged_rank FROM o",
+        "evidence_sufficient": f"WITH {_hit(8)} SELECT query_id, count(*) FILTER (type IN ('function', 'component') AND contains(lower(file_path), '/src/') AND NOT contains(lower(file_path), '/docs/') AND len(list_filter({_tok('query')}, lambda t: contains({_HAY}, lower(t)))) > 0 AND rank <= 4) >= 2 AS enough FROM hits GROUP BY 1",
+        "path_key": "WITH p AS (SELECT DISTINCT file_path, lower(replace(file_path, chr(92), '/')) AS p FROM code_units), s AS (SELECT *, substring(p, instr(p, '/src/') + 5) AS sub, list_filter(string_split(p, '/'), lambda x: x <> '') AS w, list_filter(string_split(substring(p, instr(p, '/src/') + 5), '/'), lambda x: x <> '') AS i FROM p) SELECT file_path, CASE WHEN instr(p, '/src/') > 0 THEN CASE WHEN len(i) > 0 THEN array_to_string(i[1:2], '/') ELSE sub END ELSE array_to_string(w[greatest(1, len(w) - 2):len(w)], '/') END AS module FROM s",
+        "jaccard_pairs": f"WITH {_hit(10)}, t AS (SELECT query_id, rank, id, {_tok('concat_ws(chr(32), file_path, name, content)')} AS t FROM hits) SELECT b.query_id, b.id, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))), 6) END AS similarity FROM t a JOIN t b ON a.query_id = b.query_id AND a.rank = 1",
+        "mapped_keywords": f"WITH x AS (SELECT doc_id, text, flatten({mapped}) AS f FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_distinct(CASE WHEN len(f) > 0 THEN f ELSE list_concat(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fa5}}]{{2,4}}'), [text]) END))::INT AS keywords FROM x",
+        "recall_expand": f"WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), y AS (SELECT doc_id, t, flatten({concept}) AS f FROM x), z AS (SELECT doc_id, t, list_filter(f, lambda w, i: list_position(f, w) = i) AS g FROM y) SELECT doc_id, CASE WHEN len(g) > 0 THEN t || ' ' || array_to_string(g[1:6], ' ') ELSE t END AS recall FROM z",
+        "snippet": f"WITH {_hit(10)}, x AS (SELECT query_id, id, content AS c, lower(content) AS lc FROM hits), y AS (SELECT *, list_filter(['return', 'export', 'const'], lambda t: contains(lc, t))[1] AS hit, length(c) AS n FROM x), z AS (SELECT *, greatest(0, instr(lc, hit) - 1 - 200) AS s0 FROM y), w AS (SELECT *, least(n, s0 + 400) AS e, greatest(0, least(n, s0 + 400) - 400) AS s FROM z) SELECT query_id, id, CASE WHEN n <= 400 THEN c WHEN hit IS NULL THEN substring(c, 1, 400) || '...' ELSE (CASE WHEN s > 0 THEN '...' ELSE '' END) || substring(c, s + 1, e - s) || (CASE WHEN e < n THEN '...' ELSE '' END) END AS snippet FROM w",
+        "citation_valid": f"WITH {answers} SELECT doc_id, len(cited)::INT AS cited, regexp_matches(answer, '##\\s*结论') AND regexp_matches(answer, '##\\s*证据') AND len(cited) >= least(2, sources) AND len(cited) > 0 AND regexp_matches(regexp_extract(answer, '##\\s*结论([\\s\\S]*?)(##\\s*证据|##\\s*不确定项|##\\s*建议|\\z)', 1), '来源\\[\\d+\\]') AS valid, contains(answer, '```') AS fenced FROM b",
+        "vocab_freq": words + " SELECT word, freq FROM f",
+        "vocab_top": words + " SELECT word, freq FROM f ORDER BY freq DESC, word LIMIT 50",
+        "vocab_match": words + f", {_Q} SELECT DISTINCT query_id, word FROM q, f WHERE lower(word) <> '' AND contains(lower(query), lower(word))",
+        "camel_words": "WITH x AS (SELECT DISTINCT name, string_split(regexp_replace(coalesce(name, ''), '([A-Z])', chr(1) || '\\1', 'g'), chr(1)) AS p FROM functions), y AS (SELECT name, unnest(list_filter(p, lambda w: length(w) > 2)) AS w FROM x) SELECT DISTINCT name, lower(w) AS word FROM y",
+        "query_stats": f"WITH {hist} SELECT count(*) AS total, count(*) FILTER (feedback = 'good') AS good, count(*) FILTER (feedback = 'bad') AS bad FROM h",
+        "feedback_latest": f"WITH {hist} SELECT query_id, event_id, feedback FROM h WHERE feedback IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, event_id DESC) = 1",
         "p4_found": _CHANGES + "SELECT project, relative_path FROM changes WHERE status IN ('added', 'modified')",
         "p4_changes": _CHANGES + "SELECT project, relative_path, status FROM changes",
+        "incremental_diff": _CHANGES + "SELECT project, status, count(*) AS files FROM changes GROUP BY 1, 2",
+        "delete_by_path": "SELECT DISTINCT id, project, file_path, type FROM code_units u WHERE NOT EXISTS (SELECT 1 FROM code_units c WHERE c.type = 'component' AND c.project = u.project AND c.file_path = u.file_path)",
+        "file_filter": f"SELECT DISTINCT project, relative_path FROM files WHERE {_EXT.format(x=rel)} IN ({', '.join(repr(e) for e in S.EXTENSIONS)}) AND NOT list_has_any(string_split({rel}, '/')[1:-2], {S.PRUNED_DIRS}) AND NOT regexp_matches(regexp_extract({rel}, '([^/]*)$', 1), '{denied}')",
+        "small_files": "SELECT DISTINCT path, size FROM files WHERE extension IN ('.vue', '.js') AND size > 100 AND size < 50000 ORDER BY path, size LIMIT 50",
+        "project_lookup": "SELECT id, name, replace(path, chr(92), '/') AS path, indexed FROM projects",
+        "ext_label": f"SELECT DISTINCT relative_path, {_label(_EXT.format(x='relative_path'))} AS label FROM files",
+        "deps_extract": "SELECT DISTINCT file_id, array_to_string(regexp_extract_all(content, '(?:import|require)\\s*\\(?[''\"]([^''\"]+)[''\"]\\)?', 1), '|') AS deps FROM files WHERE content IS NOT NULL",
+        "props_emits": "SELECT DISTINCT file_id, array_to_string(list_filter(list_transform(string_split(regexp_extract(content, 'props:\\s*\\{([^}]+)\\}', 1), ','), lambda x: trim(regexp_replace(string_split(x, ':')[1], '\\s+', ' ', 'g'))), lambda x: x <> ''), '|') AS props, array_to_string(list_filter(list_transform(string_split(regexp_extract(content, 'emits:\\s*\\[([^\\]]+)\\]', 1), ','), lambda x: trim(regexp_replace(trim(x), '[''\"`]', '', 'g'))), lambda x: x <> ''), '|') AS emits FROM files WHERE content IS NOT NULL",
+        "file_hash": "SELECT DISTINCT file_id, md5(content) AS hash, len(string_split(content, chr(10)))::INT AS lines FROM files WHERE content IS NOT NULL",
+        "file_text": f"SELECT DISTINCT file_id, md5('文件路径: ' || relative_path || chr(10) || '类型: ' || {_label(_EXT.format(x='relative_path'))} || chr(10) || '文件名: ' || regexp_extract(path, '([^/\\\\]*)$', 1) || chr(10) || chr(10) || '代码内容:' || chr(10) || content || chr(10)) AS hash FROM files WHERE content IS NOT NULL",
+        "semantic_text": f"SELECT DISTINCT func_id, md5(concat_ws(chr(10), '文件: ' || coalesce(name, ''), '函数签名: ' || CASE WHEN is_async THEN 'async ' ELSE '' END || coalesce(name, '') || '(' || coalesce(array_to_string(params, ', '), '') || ')', '类型: ' || {name_label}, CASE WHEN is_exported THEN '导出函数' ELSE '内部函数' END, CASE WHEN comments <> '' THEN chr(10) || '功能说明: ' || trim(regexp_replace(comments, '(?m)^\\s*\\*\\s*', '', 'g')) END, chr(10) || '代码摘要:' || chr(10) || substring(coalesce(content, ''), 1, 500) || CASE WHEN length(coalesce(content, '')) > 500 THEN '...' ELSE '' END)) AS hash FROM functions",
+        "embed_text": "SELECT DISTINCT id, (CASE WHEN length(coalesce(content, '')) > 2990 THEN 2993 ELSE length(coalesce(content, '')) END)::INT AS chars, ceil(length(coalesce(content, '')) / 2.5)::BIGINT AS tokens FROM code_units",
+        "unit_tokens": f"SELECT DISTINCT id, len({_tok('concat_ws(chr(32), file_path, name, content)')})::INT AS tokens FROM code_units",
+        "fallback_keywords": "WITH x AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+', '', 'g'), '[【】\\[\\]]', ' ', 'g'), '[\\x{4e00}-\\x{9fa5}]{2,6}') AS f FROM documents) SELECT doc_id, array_to_string(list_filter(f, lambda w, i: list_position(f, w) = i)[1:5], '|') AS keywords FROM x",
+        "summary_counts": "SELECT type, count(*) FILTER (is_async) AS high, count(*) FILTER (is_exported) AS medium FROM functions GROUP BY 1",
     }
