@@ -11,24 +11,35 @@ from skein.functions import text as T
 from skein.operators import vector
 
 
+#: Keywords looked up in one pass.
+WORDS = 256
+
+
 def keyword_scores(keywords: DataFrame, units: DataFrame, limit: int | None = S.KEYWORD_LIMIT, regex_count: bool = False) -> DataFrame:
     """(query_id, id, match_score, keyword_matches, rank): ten points for each occurrence of a keyword.
 
-    keywords: query_id, keyword.  Units are read once with each query's keywords
-    as one array, so rows are not multiplied by keywords; they are counted as
-    literal text (``regex_count``: as regular expressions).  Blank keywords count
-    nothing; repeated rows of one id count once.
+    keywords: query_id, keyword.  Different keywords are looked up once for all
+    queries, ``WORDS`` of them in a pass over the units, and only hits are joined
+    to the queries.  They are counted as literal text (``regex_count``: as
+    regular expressions).  Blank keywords count nothing; repeated rows of one id
+    count once.
     """
-    lists = keywords.where("keyword is not null and trim(keyword) <> ''").groupBy("query_id").agg(F.sort_array(F.collect_set(F.lower("keyword"))).alias("__k"))
+    asked = keywords.where("keyword is not null and trim(keyword) <> ''").select("query_id", F.lower("keyword").alias("keyword")).distinct()
+    words = sorted(r[0] for r in asked.select("keyword").distinct().collect())
     hay = units.where("id is not null").select("id", T.haystack().alias("__h"))
-    rows = hay.crossJoin(lists)  # a list of queries against all units, one pass; AQE broadcasts the smaller side where it is small
 
     def count(k):
-        n = F.regexp_count(F.col("__h"), k) if regex_count else ((F.length("__h") - F.length(F.replace(F.col("__h"), k, F.lit("")))) / F.length(k)).cast("int")
-        return F.when(F.contains(F.col("__h"), k), n).otherwise(0)
-
-    scored = rows.select("query_id", "id", F.filter("__k", lambda k: F.contains(F.col("__h"), k)).alias("keyword_matches"), F.aggregate(F.transform("__k", count), F.lit(0), lambda a, b: a + b * S.KEYWORD_WEIGHT).alias("match_score"))
-    best = scored.where("match_score > 0").groupBy("query_id", "id").agg(F.max("match_score").alias("match_score"), F.max("keyword_matches").alias("keyword_matches"))
+        n = F.regexp_count(F.col("__h"), k) if regex_count else (F.length("__h") - F.length(F.replace(F.col("__h"), k, F.lit("")))) / F.length(k)
+        return F.struct(k.alias("keyword"), n.cast("int").alias("n"))
+
+    passes = [words[i : i + WORDS] for i in range(0, len(words), WORDS)] or [[""]]
+    found = None
+    for some in passes:
+        listed = F.array(*map(F.lit, some))
+        part = hay.select("id", F.explode(F.transform(F.filter(listed, lambda k: (k != "") & F.contains(F.col("__h"), k)), count)).alias("hit")).select("id", "hit.keyword", "hit.n")
+        found = part if found is None else found.unionByName(part)
+    once = found.groupBy("id", "keyword").agg(F.max("n").alias("n"))
+    best = once.join(asked, "keyword").groupBy("query_id", "id").agg((F.sum("n") * S.KEYWORD_WEIGHT).cast("int").alias("match_score"), F.array_sort(F.collect_list("keyword")).alias("keyword_matches")).where("match_score > 0")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("match_score").desc(), "id"))
     out = best.withColumn("rank", rank)
     return out.where(F.col("rank") <= limit) if limit else out
