@@ -325,7 +325,9 @@ class Recogniser:
 
     def tree(self, masked: str) -> tuple | None:
         """Codes of the top level; None if brackets do not match or there is a bad token."""
-        codes = list(map(_codes.__getitem__, _TOKEN.findall(masked.replace("\r\n", "\n").replace("\r", "\n").replace("﻿", " ").replace("\xa0", " "))))
+        masked = masked.replace("\r\n", "\n").replace("\r", "\n").replace("﻿", " ").replace("\xa0", " ")
+        tokens = _TOKEN.findall(masked) if len(masked) < 4_000_000 else (m.group() for m in _TOKEN.finditer(masked))  # of a very long text, not all at once
+        codes = list(map(_codes.__getitem__, tokens))
         if BAD in codes:
             return None
         ids, content, kinds = self.ids, self.content, self.kinds
@@ -513,6 +515,12 @@ class Recogniser:
         """Those of ``dialects`` in which the whole text is valid."""
         if len(self.kinds) > self.bound or len(self.chunks) > self.bound:
             self.clear()
+        found = self._accepts(text, dialects, jsx)
+        if not found and dialects & SCRIPT and not jsx and "<!--" in text:  # scripts may hide comments as HTML does
+            found = self._accepts(_HTML_COMMENT.sub("", text), SCRIPT, jsx)
+        return found
+
+    def _accepts(self, text: str, dialects: int, jsx: bool) -> int:
         masked, _, ok = jslex.scan(text, jsx)
         if not ok:
             return 0
@@ -520,3 +528,6 @@ class Recogniser:
         if top is None:
             return 0
         return self.whole("File", top, TOP | OUTSIDE) & dialects
+
+
+_HTML_COMMENT = re.compile(r"<!--[^\n\r]*|^[ \t]*-->[^\n\r]*", re.M)

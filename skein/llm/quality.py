@@ -202,7 +202,7 @@ def tails(documents: DataFrame, low: float = 0.02, z: float = -2.0) -> DataFrame
         return df.select("language", *[F.kll_sketch_get_quantile_double(s, steps).alias(f"{s}{end}") for s in STATISTICS])
 
     own, common = named(made.where("language <> '*'"), "_own"), named(made.where("language = '*'"), "_all").drop("language")
-    out = stats.join(F.broadcast(own), "language", "left").crossJoin(F.broadcast(common))
+    out = stats.join(F.broadcast(own), "language", "left").join(F.broadcast(common), F.lit(True), "left")
 
     def upto(value):
         return lambda q: q <= value

@@ -31,7 +31,7 @@ def valid(text: str | None, ext: str) -> bool:
         text = text[1:]
     if ext == ".json":
         try:
-            json.loads(text, parse_constant=_not_json)
+            json.loads(text, parse_constant=_not_json, parse_int=len)
         except (ValueError, RecursionError):
             return False
         return True
