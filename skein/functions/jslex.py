@@ -66,29 +66,37 @@ def _operand_next(out: list[str], text: str, at: int) -> bool:
         if last in (TPL_END, ELEM_END, REGEX, BAD, '"', "]"):
             return False
         if last == ")":
-            return _after_condition("".join(out[: i + 1]).rstrip())
+            return _after_condition(out, i)
         if last == "}":
             return "\n" in out[i][len(piece) :] or i < len(out) - 1 and "\n" in "".join(out[i + 1 :])
         if piece.endswith(("++", "--")):
             return False
-        return not (last == "!" and piece[-2:-1].isalnum() and False)
+        return True
     return True
 
 
-def _after_condition(masked: str) -> bool:
-    """Whether the parenthesis that ends ``masked`` is the head of if, while, for or with."""
+def _after_condition(out: list[str], i: int) -> bool:
+    """Whether the parenthesis that ends the piece ``out[i]`` is the head of if, while, for or with."""
     depth = 0
-    for i in range(len(masked) - 1, -1, -1):
-        c = masked[i]
-        if c == ")":
-            depth += 1
-        elif c == "(":
-            depth -= 1
-            if not depth:
-                return bool(re.search(r"(?<![\w$.])(?:if|while|for|with)\s*$", masked[max(0, i - 12) : i]))
+    while i >= 0:
+        piece = out[i]
+        for at in range(len(piece) - 1, -1, -1):
+            if piece[at] == ")":
+                depth += 1
+            elif piece[at] == "(":
+                depth -= 1
+                if not depth:
+                    before = piece[max(0, at - 16) : at]
+                    if len(before) < 16:
+                        before = "".join(out[max(0, i - 4) : i])[-16:] + before
+                    return bool(_CONDITION.search(before))
+        i -= 1
     return False
 
 
+_CONDITION = re.compile(r"(?<![\w$.])(?:if|while|for|with)\s*$")
+
+
 def scan(text: str, jsx: bool = False) -> tuple[str, list[Span], bool]:
     """Masked text, spans in order of their start, and whether every literal is closed."""
     out: list[str] = []

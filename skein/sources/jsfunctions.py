@@ -23,6 +23,9 @@ _CLASS = re.compile(r"\bclass\b[^{}()]*(?:\([^()]*\)[^{}()]*)*$")
 _DEFAULT = re.compile(r"\bexport\s+default\s*(?:[\w$.]+\s*\(\s*)?$")
 
 
+_GOES_ON = re.compile(r"\s*(?:[.?:&|+\-*/%<>=,]|instanceof\b|in\b)")
+
+
 class Function(NamedTuple):
     """Lines count from 1 in the script text; comments: those directly before, as written; end: where the function ends."""
 
@@ -44,13 +47,19 @@ class _Text:
         _, self.spans, _ = jslex.scan(text, jsx)
         self.blank = jslex.blanked(text, self.spans)
         self.close: dict[int, int] = {}
-        self.outer: list[tuple[int, int]] = []  # (position of an opening brace, index of the one around it)
+        self.outer: dict[int, int] = {}  # opening brace: the one around it
         stack: list[tuple[str, int]] = []
+        braces_open: list[int] = []
         for m in _BRACKET.finditer(self.blank):
             c, at = m.group(), m.start()
             if c in "({[":
                 stack.append((c, at))
+                if c == "{":
+                    self.outer[at] = braces_open[-1] if braces_open else -1
+                    braces_open.append(at)
             elif stack and stack[-1][0] == _PAIRS[c]:
+                if c == "}":
+                    braces_open.pop()
                 self.close[stack.pop()[1]] = at
         self.breaks = [m.end() for m in re.finditer(r"\n", text)]
         braces = sorted(a for a in self.close if self.blank[a] == "{")
@@ -79,12 +88,10 @@ class _Text:
     def around(self, at: int) -> int:
         """Position of the innermost brace around, or -1."""
         i = bisect.bisect_left(self.braces, at) - 1
-        while i >= 0:
-            a = self.braces[i]
-            if self.close[a] > at:
-                return a
-            i -= 1
-        return -1
+        a = self.braces[i] if i >= 0 else -1
+        while a >= 0 and self.close.get(a, -1) < at:
+            a = self.outer[a]
+        return a
 
     def skip(self, at: int) -> int:
         while at < len(self.blank) and self.blank[at].isspace():
@@ -181,7 +188,7 @@ class _Text:
                     at = self.close[at]
                 elif c in ";,)}]":
                     break
-                elif c == "\n" and not re.match(r"\s*(?:[.?:&|+\-*/%<>=,]|instanceof\b|in\b)", self.blank[at:]) and not re.search(r"(?:[.?:&|+\-*/%<>=,(]|=>)\s*$", self.blank[max(0, at - 40) : at]):
+                elif c == "\n" and not _GOES_ON.match(self.blank, at) and not re.search(r"(?:[.?:&|+\-*/%<>=,(]|=>)\s*$", self.blank[max(0, at - 40) : at]):
                     break
                 at += 1
             return len(self.blank[:at].rstrip())
@@ -255,6 +262,8 @@ def functions(text: str, jsx: bool = False, objects: bool = False, documented: b
         if end is None:
             continue
         comments, _ = t.before(outer)
+        if documented and comments is None:
+            continue
         found.append(Function(name, kind, got[0], t.line(start), t.line(max(start, end - 1)), is_async, exported, comments, start, end))
     found.sort(key=lambda f: (f.start, f.end))
     return found
