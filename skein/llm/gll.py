@@ -35,9 +35,9 @@ CLOSE = {"}": 1, ")": 2, "]": 3, jslex.TPL_END: 4, jslex.SUB_END: 5, jslex.BOX_E
 OPEN_AT, CLOSE_AT, BASE = 300, 400, 1000
 
 _TOKEN = re.compile(
-    r"\n\s*|(?:[^\W\d]|[$#]|\\u)(?:[\w$‌‍]|\\u)*|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?|\"\"|"
+    r"\n\s*|(?:[^\W\d]|[$#]|\\u)(?:[\w$‌‍]|\\u)*|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?|\"\"|\?\.(?!\d)|"
     + "|".join(re.escape(p) for p in sorted(PUNCT, key=len, reverse=True) if p not in ("?.",))
-    + r"|\?\.(?!\d)|\S"
+    + r"|\S"
 )
 _BLANK = frozenset("\xa0 ​")
 

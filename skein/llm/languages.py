@@ -113,6 +113,7 @@ def train(documents: DataFrame, units: DataFrame) -> dict[str, bytes]:
 def agreed(texts: dict[str, list[str]]) -> dict[str, list[str]]:
     """Texts whose words, by their rates under each label, speak for the label that they carry: wrong labels are few, so rates outvote them."""
     rates: dict[str, dict[str, float]] = {}
+    texts = {n: t for n, t in texts.items() if t}
     seen = {n: Counter(w.lower() for t in texts[n] for w in prose.words(t)) for n in texts}
     size = len(set().union(*seen.values())) or 1
     for n, counts in seen.items():
