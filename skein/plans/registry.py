@@ -253,6 +253,14 @@ def _label(x: str) -> str:
     return "CASE " + x + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.TYPE_LABELS.items()) + f" ELSE '{S.DEFAULT_LABEL}' END"
 
 
+_BRIDGE = f"""n AS (SELECT query_id, rank, list_concat(list_filter([regexp_replace(regexp_extract(file_path, '([^/\\\\]*)$', 1), '\\.[a-zA-Z0-9]+$', ''), coalesce(name, '')], lambda x: length(x) >= 5 AND NOT list_contains({S.BRIDGE_BLOCKED}, lower(x))),
+      list_filter(regexp_extract_all(coalesce(content, ''), '[A-Za-z_][A-Za-z0-9_]{{4,}}')[1:16], lambda x: NOT list_contains({S.BRIDGE_BLOCKED}, lower(x)) AND regexp_matches(lower(x), '{S.BRIDGE_PATTERN}'))) AS t FROM hits WHERE rank <= 8),
+      g AS (SELECT query_id, flatten(list(t ORDER BY rank)) AS f FROM n GROUP BY 1)"""
+_BLOCKS = """s0 AS (SELECT *, coalesce(content, '') AS c, lower(coalesce(content, '')) AS lc FROM hits), s1 AS (SELECT *, list_filter(['return', 'export', 'const'], lambda t: contains(lc, t))[1] AS hit, length(c) AS n FROM s0), s2 AS (SELECT *, least(n, greatest(0, instr(lc, hit) - 1 - 600) + 1200) AS e FROM s1), s3 AS (SELECT *, greatest(0, e - 1200) AS s FROM s2),
+      s4 AS (SELECT *, CASE WHEN n <= 1200 THEN c WHEN hit IS NULL THEN substring(c, 1, 1200) || '...' ELSE (CASE WHEN s > 0 THEN '...' ELSE '' END) || substring(c, s + 1, e - s) || (CASE WHEN e < n THEN '...' ELSE '' END) END AS cut, json_extract_string(CASE WHEN coalesce(dependencies, '') = '' THEN '[]' ELSE dependencies END, '$[*]') AS deps FROM s3),
+      blocks AS (SELECT query_id, rank, concat_ws(chr(10), '来源[' || rank || ']', '文件: ' || coalesce(file_path, '') || ':' || coalesce(start_line::VARCHAR, '') || '-' || coalesce(end_line::VARCHAR, ''), '名称: ' || coalesce(name, ''), '类型: ' || coalesce(type, ''), CASE WHEN len(deps) > 0 THEN '依赖: ' || array_to_string(deps, ', ') END, '代码片段:', cut) AS b FROM s4)"""
+
+
 def oracle_sql() -> dict[str, str]:
     values = ", ".join(f"('{a}', '{b}')" for a, b in KEYWORDS)
     outlier = """, c AS (SELECT *, list_sort(list(score) OVER (PARTITION BY query_id)) AS s FROM {rows}), cut AS (SELECT * EXCLUDE s FROM c WHERE len(s) <= 3 OR score <= greatest(CASE WHEN s[len(s) // 2 + 1] = 0 THEN s[1] ELSE s[len(s) // 2 + 1] END * 2.2::DOUBLE, s[1] + 120.0::DOUBLE))"""
@@ -293,6 +301,9 @@ def oracle_sql() -> dict[str, str]:
         "mapped_keywords": f"WITH x AS (SELECT doc_id, text, flatten({mapped}) AS f FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_distinct(CASE WHEN len(f) > 0 THEN f ELSE list_concat(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fa5}}]{{2,4}}'), [text]) END))::INT AS keywords FROM x",
         "recall_expand": f"WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), y AS (SELECT doc_id, t, flatten({concept}) AS f FROM x), z AS (SELECT doc_id, t, list_filter(f, lambda w, i: list_position(f, w) = i) AS g FROM y) SELECT doc_id, CASE WHEN len(g) > 0 THEN t || ' ' || array_to_string(g[1:6], ' ') ELSE t END AS recall FROM z",
         "snippet": f"WITH {_hit(10)}, x AS (SELECT query_id, id, content AS c, lower(content) AS lc FROM hits), y AS (SELECT *, list_filter(['return', 'export', 'const'], lambda t: contains(lc, t))[1] AS hit, length(c) AS n FROM x), z AS (SELECT *, greatest(0, instr(lc, hit) - 1 - 200) AS s0 FROM y), w AS (SELECT *, least(n, s0 + 400) AS e, greatest(0, least(n, s0 + 400) - 400) AS s FROM z) SELECT query_id, id, CASE WHEN n <= 400 THEN c WHEN hit IS NULL THEN substring(c, 1, 400) || '...' ELSE (CASE WHEN s > 0 THEN '...' ELSE '' END) || substring(c, s + 1, e - s) || (CASE WHEN e < n THEN '...' ELSE '' END) END AS snippet FROM w",
+        "bridge_terms": f"WITH {_hit(8)}, {_BRIDGE} SELECT query_id, array_to_string(list_filter(f, lambda w, i: list_position(f, w) = i)[1:8], ' ') AS terms FROM g",
+        "context_block": f"WITH {_hit(5)}, {_BLOCKS} SELECT query_id, string_agg(b, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM blocks GROUP BY 1",
+        "token_budget": f"WITH {_hit(5)}, {_BLOCKS}, x AS (SELECT query_id, {len(S.CHAT_PROMPT.replace('{question}', 'q').replace('{context}', ''))} + length(string_agg(b, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS n FROM blocks GROUP BY 1), y AS (SELECT query_id, ceil(n / 2.5)::BIGINT AS tokens FROM x) SELECT query_id, tokens, round(tokens * 100.0::DOUBLE / 32768, 2) AS usage, greatest(0, 32768 - tokens)::BIGINT AS remaining FROM y",
         "citation_valid": f"WITH {answers} SELECT doc_id, len(cited)::INT AS cited, regexp_matches(answer, '##\\s*结论') AND regexp_matches(answer, '##\\s*证据') AND len(cited) >= least(2, sources) AND len(cited) > 0 AND regexp_matches(regexp_extract(answer, '##\\s*结论([\\s\\S]*?)(##\\s*证据|##\\s*不确定项|##\\s*建议|\\z)', 1), '来源\\[\\d+\\]') AS valid, contains(answer, '```') AS fenced FROM b",
         "vocab_freq": words + " SELECT word, freq FROM f",
         "vocab_top": words + " SELECT word, freq FROM f ORDER BY freq DESC, word LIMIT 50",
