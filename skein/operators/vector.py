@@ -60,10 +60,11 @@ def knn(queries: DataFrame, units: DataFrame, k: int, metric: str = "l2", dimens
                 d = 1.0 - x @ q.T if metric == "cosine" else np.maximum(0.0, (x * x).sum(axis=1)[:, None] + q2[None, :] - 2.0 * (x @ q.T))
                 d = np.round(d, 6)
                 frames = [] if best is None else [best]
+                once = len(set(ids)) == len(ids)
                 for j, name in enumerate(names):
                     col = d[:, j]
                     at = np.arange(len(col))
-                    if len(col) > 4 * k:  # every row as near as the 4k-th, so that no tie is cut off
+                    if once and len(col) > 4 * k:  # every row as near as the 4k-th, so that no tie is cut off
                         at = np.flatnonzero(col <= np.partition(col, 4 * k - 1)[4 * k - 1])
                     frames.append(pd.DataFrame({"query_id": name, "id": ids[at], "score": col[at]}))
                 both = pd.concat(frames).sort_values(["query_id", "score", "id"]).drop_duplicates(["query_id", "id"])
