@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.rows import ship
+
 DIMENSIONS, TREES, BITS, REACH, SEED = 64, 6, 48, 320, 20240917
 K, LEAST = 5, 0.9
 
@@ -40,6 +42,7 @@ def usable(units: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
                     out.append(np.round(x / size, 6).astype(np.float32).tobytes())
             yield pd.DataFrame({"id": keep, "unit": out})
 
+    ship(units.sparkSession)
     rows = units.where("id is not null and vector is not null").select("id", "vector")
     return rows.mapInPandas(scale, "id string, unit binary").groupBy("id").agg(F.min("unit").alias("unit")).withColumn("point", F.unhex(F.md5("unit")))
 
