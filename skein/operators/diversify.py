@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skein import schema as S
 from skein.functions import text as T
+from skein.functions.rows import ship
 from skein.operators import rank
 
 _FIELDS = "query_id string, id string, position int"
@@ -75,6 +76,7 @@ def _context(rows: pd.DataFrame, limit: int) -> list[str]:
 
 
 def _prepared(ranked: DataFrame) -> DataFrame:
+    ship(ranked.sparkSession)
     own = T.tokens(F.concat_ws(" ", "file_path", "name", "content"))
     return ranked.select(F.col("query_id").cast("string"), "id", "type", "file_path", "score", "evidence", "coverage", "relevance", F.col("new_rank").alias("order"), T.path_key("file_path").alias("module"), own.alias("tokens"))
 

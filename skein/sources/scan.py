@@ -68,8 +68,10 @@ class SourceFiles(DataSource):
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """Files that the scan keeps: by ending, pruned folders and denied names."""
+    from skein.functions.rows import ship
     from skein.functions.text import allowed_file
 
+    ship(spark)
     spark.dataSource.register(SourceFiles)
     return spark.read.format("source_files").load(folder).where(allowed_file("relative_path"))
 
