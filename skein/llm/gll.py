@@ -35,11 +35,10 @@ CLOSE = {"}": 1, ")": 2, "]": 3, jslex.TPL_END: 4, jslex.SUB_END: 5, jslex.BOX_E
 OPEN_AT, CLOSE_AT, BASE = 300, 400, 1000
 
 _TOKEN = re.compile(
-    r"\n\s*|(?:[^\W\d]|[$#]|\\u)(?:[\w$‌‍]|\\u)*|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?|\"\"|\?\.(?!\d)|"
-    + "|".join(re.escape(p) for p in sorted(PUNCT, key=len, reverse=True) if p not in ("?.",))
-    + r"|\S"
+    r"\n\s*|(?:[^\W\d]|[$#]|\\u)(?:[\w$‌‍]|\\u)*|[{}()\[\];,:~@\x01-\x08\x0e]|\"\"|\.\.\.|\.(?!\d)"
+    r"|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?"
+    r"|=>|[=!]==?|=|!|\?\.(?!\d)|\?\?=?|\?|&&?=?|\|\|?=?|\*\*?=?|\+[+=]?|-[-=]?|<<?=?|>=?|[/%^]=?|\S"
 )
-_BLANK = frozenset("\xa0 ​")
 
 
 class _Codes(dict):
@@ -308,11 +307,12 @@ _OPEN_END = frozenset(CODE[x] for x in (*[p for p in PUNCT if p not in ("++", "-
 class Recogniser:
     """Numbers bracket groups and remembers which nonterminals their contents derive from.
 
-    ``bound``: groups remembered; when it is passed, everything is forgotten between two files.
+    ``wanted``: dialects of which any one will do; without it, all that accept a
+    text are found.  ``bound``: groups remembered; when it is passed, everything is forgotten between two files.
     """
 
-    def __init__(self, grammar: Grammar = GRAMMAR_TABLE, bound: int = 300_000):
-        self.g, self.bound = grammar, bound
+    def __init__(self, wanted: int = 0, grammar: Grammar = GRAMMAR_TABLE, bound: int = 300_000):
+        self.g, self.wanted, self.bound = grammar, wanted, bound
         self.clear()
 
     def clear(self) -> None:
@@ -333,28 +333,32 @@ class Recogniser:
         ids, content, kinds = self.ids, self.content, self.kinds
         stack: list[tuple[list, int]] = []
         cur: list[int] = []
-        for c in codes:
-            if c < OPEN_AT:
-                cur.append(c)
-            elif c < CLOSE_AT:
+        last = 0
+        for i in [i for i, c in enumerate(codes) if c >= OPEN_AT]:
+            if i > last:
+                cur.extend(codes[last:i])
+            last = i + 1
+            c = codes[i]
+            if c < CLOSE_AT:
                 stack.append((cur, c - OPEN_AT))
                 cur = []
-            else:
-                if not stack:
-                    return None
-                before, kind = stack.pop()
-                if kind != c - CLOSE_AT:
-                    return None
-                if kind != 1 and NL in cur:
-                    cur = [x for x in cur if x != NL]
-                key = (kind, *cur)
-                number = ids.get(key)
-                if number is None:
-                    number = ids[key] = BASE + len(kinds)
-                    kinds.append(kind)
-                    content.append(key[1:])
-                cur = before
-                cur.append(number)
+                continue
+            if not stack:
+                return None
+            before, kind = stack.pop()
+            if kind != c - CLOSE_AT:
+                return None
+            if kind != 1 and NL in cur:
+                cur = [x for x in cur if x != NL]
+            key = (kind, *cur)
+            number = ids.get(key)
+            if number is None:
+                number = ids[key] = BASE + len(kinds)
+                kinds.append(kind)
+                content.append(key[1:])
+            cur = before
+            cur.append(number)
+        cur.extend(codes[last:])
         return None if stack else tuple(cur)
 
     def derives(self, name: str, group: int, context: int) -> int:
@@ -371,7 +375,7 @@ class Recogniser:
             return self.run(name, [c for c in codes if c != NL], None, context, 7)
         if name in ("SL", "File"):
             found = self.by_lines(codes, context)
-            if found == 7 or NL not in codes:
+            if found == 7 or found & self.wanted or NL not in codes:
                 return found
         toks, breaks = [], set()
         for c in codes:

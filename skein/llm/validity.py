@@ -9,14 +9,14 @@ from skein.functions import jslex
 from skein.llm import gll
 
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
-_recogniser: gll.Recogniser | None = None
+_recognisers: dict[int, gll.Recogniser] = {}
 
 
 def _accepts(text: str, dialects: int, jsx: bool) -> int:
-    global _recogniser
-    if _recogniser is None:
-        _recogniser = gll.Recogniser()
-    return _recogniser.accepts(text, dialects, jsx)
+    wanted = gll.TYPED if dialects & gll.TYPED else gll.SCRIPT | gll.MODULE
+    if wanted not in _recognisers:
+        _recognisers[wanted] = gll.Recogniser(wanted)
+    return _recognisers[wanted].accepts(text, dialects, jsx)
 
 
 def _not_json(name: str) -> float:
