@@ -1,12 +1,14 @@
 """Problem 6: the most similar vectors of every vector, by a hash-prefix forest.
 
-Each tree gives every vector a long hash string of sign bits of random
-directions and keeps the strings sorted.  Neighbours in the sorted array share
-the longest prefixes; going outwards from a string, the common prefix shortens
-step by step in both directions at once, so the candidates of a vector are those
-within a rank distance on either side.  Sorted arrays are range partitions; the
-candidates of a whole block are scored by one matrix product, so the distance
-can be large.  What a partition's edge cuts off in one tree is found in another.
+Each tree gives every vector a long hash string of bits of random directions
+and keeps the strings sorted.  A bit is cut where it halves the points that share
+the prefix before it, as a sample shows, so strings tell the vectors of a dense
+group apart too.  Neighbours in the sorted array share the longest prefixes;
+going outwards from a string, the common prefix shortens step by step in both
+directions at once.  The way outwards doubles until doubling it no longer betters
+a vector's k best, at most to the whole range partition of the sorted array
+(about ``RUN`` points, all scored exactly).  What a partition's edge cuts off in
+one tree is left to the others, so beyond ``RUN`` points recall is not complete.
 
 Vectors that are null, of another length, not finite or all zero have no
 neighbours.  Equal directions are one point with many ids; among the ids of a
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from skein.functions.rows import ship
 
 DIMENSIONS, TREES, BITS, REACH, SEED = 64, 6, 48, 320, 20240917
+#: Points of a sorted run that are kept together, and points of the sample that the bits are centred on.
+RUN, SAMPLE = 40_000, 16_384
 K, LEAST = 5, 0.9
 
 
@@ -53,39 +57,120 @@ def points(ids: DataFrame, k: int = K) -> DataFrame:
     return salted.groupBy("point").agg(F.first("unit").alias("unit"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")).select("point", "unit", F.element_at("ids", 1).alias("rep"), "ids")
 
 
+def sample(pts: DataFrame, n: int, size: int, dimensions: int) -> np.ndarray:
+    """Unit vectors of about ``size`` of the ``n`` points (up to twice as many), chosen by their hashes."""
+    rows = pts.where(F.pmod(F.xxhash64("point"), F.lit(max(1, n // size))) == 0).select("unit").toPandas()
+    return np.frombuffer(b"".join(rows["unit"]), dtype=np.float32).reshape(len(rows), dimensions)
+
+
 def _planes(tree: int, dimensions: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, tree)).standard_normal((dimensions, bits)).astype(np.float32)
 
 
-def forest(reps: DataFrame, trees: int, bits: int, dimensions: int, seed: int) -> DataFrame:
-    """(tree, key, rep, unit): the hash string of each point in each tree, as a number."""
+def _centre(planes: np.ndarray, some: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Where the bits of a string are cut, by what stands before them.
+
+    A bit of the first levels is cut at the median of the sample points that
+    share its prefix, so no prefix of a dense group stays long; the later bits
+    are cut at the mean of those that share all these levels.
+    """
+    bits = planes.shape[1]
+    depth = min(bits, max(0, int(np.log2(max(1, len(some)) / 16))))
+    along = some @ planes
+    levels, at = [], np.zeros(len(some), dtype=np.int64)
+    for i in range(depth):
+        cuts = np.zeros(1 << i, dtype=np.float32)
+        order = np.argsort(at, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            cuts[at[part[0]]] = np.median(along[part, i])
+        levels.append(cuts)
+        at = at * 2 + (along[:, i] > cuts[at])
+    counts = np.maximum(1, np.bincount(at, minlength=1 << depth))[:, None]
+    sums = np.zeros((1 << depth, bits - depth))
+    np.add.at(sums, at, along[:, depth:])
+    return levels, (sums / counts).astype(np.float32)
+
+
+def _keys(x: np.ndarray, planes: np.ndarray, levels: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
+    along = x @ planes
+    key = np.zeros(len(x), dtype=np.int64)
+    for i, cuts in enumerate(levels):
+        key = key * 2 + (along[:, i] > cuts[key])
+    low = along[:, len(levels) :] > rest[key]
+    for i in range(low.shape[1]):
+        key = key * 2 + low[:, i]
+    return key
+
+
+def forest(pts: DataFrame, some: np.ndarray, trees: int, bits: int, dimensions: int, seed: int) -> DataFrame:
+    """(tree, key, pid, unit): the hash string of each point in each tree, as a number."""
+    planes = [_planes(t, dimensions, bits, seed) for t in range(trees)]
+    cuts = pts.sparkSession.sparkContext.broadcast([_centre(p, some) for p in planes])
 
     def hash_all(batches):
-        planes = [_planes(t, dimensions, bits, seed) for t in range(trees)]
-        weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64)).astype(np.int64)
         for pdf in batches:
             if pdf.empty:
                 continue
             x = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float32).reshape(len(pdf), dimensions)
             for t in range(trees):
-                key = ((x @ planes[t]) > 0).astype(np.int64) @ weights
-                yield pd.DataFrame({"tree": np.full(len(pdf), t, np.int32), "key": key, "rep": pdf["rep"], "unit": pdf["unit"]})
+                yield pd.DataFrame({"tree": np.full(len(pdf), t, np.int32), "key": _keys(x, planes[t], *cuts.value[t]), "pid": pdf["pid"], "unit": pdf["unit"]})
 
-    return reps.mapInPandas(hash_all, "tree int, key long, rep string, unit binary")
+    return pts.select("pid", "unit").mapInPandas(hash_all, "tree int, key long, pid long, unit binary")
 
 
-def _best(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k largest entries of each row that are large enough."""
-    some = np.flatnonzero(scores.max(axis=1) >= least)
-    if not len(some):
-        return some, some
-    scores = scores[some]
-    k = min(k, scores.shape[1])
-    top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(scores)), k)
-    cols = top.ravel()
-    ok = scores[rows, cols] >= least
-    return some[rows[ok]], cols[ok]
+def _ascend(x: np.ndarray, a: int, b: int, k: int, least: float, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k best of each of the rows a to b of a sorted array.
+
+    The window around a row doubles for as long as doubling it bettered the
+    row's k best, up to the whole array.
+    """
+    n, m = len(x), b - a
+    best = np.full((m, k), least, dtype=np.float32)
+    cols = np.full((m, k), -1, dtype=np.int64)
+    active = np.arange(m)
+    lo, hi, strips = a, b, [(a, b)]
+    width = 0
+    while len(active) and strips:
+        bettered = np.zeros(m, dtype=bool)
+        for u, v in strips:
+            for c in range(u, v, 4096):
+                d = min(v, c + 4096)
+                scores = x[a + active] @ x[c:d].T
+                if c < b and d > a:
+                    own = np.flatnonzero((a + active >= c) & (a + active < d))
+                    scores[own, a + active[own] - c] = -2.0
+                take = min(k, d - c)
+                over = scores > best[active, -1][:, None]
+                some = np.flatnonzero(over.any(axis=1))
+                if not len(some):
+                    continue
+                if over.sum() > 4 * k * len(active):  # at the start: many
+                    top = np.argpartition(-scores[some], take - 1, axis=1)[:, :take]
+                    values = np.take_along_axis(scores[some], top, 1)
+                else:
+                    r, q = np.nonzero(over[some])
+                    s = scores[some[r], q]
+                    order = np.lexsort((-s, r))
+                    r, q, s = r[order], q[order], s[order]
+                    place = np.arange(len(r)) - np.searchsorted(r, r)
+                    ok = place < k
+                    top = np.zeros((len(some), k), dtype=np.int64)
+                    values = np.full((len(some), k), -2.0, dtype=np.float32)
+                    top[r[ok], place[ok]], values[r[ok], place[ok]] = q[ok], s[ok]
+                rows = active[some]
+                values = np.where(values > best[rows, -1][:, None], values, -3.0)
+                both, at = np.hstack([best[rows], values]), np.hstack([cols[rows], top + c])
+                order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                best[rows], cols[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(at, order, 1)
+                bettered[rows] = True
+        if width >= 2 * reach:
+            active = active[bettered[active]]
+        width = max(reach, 2 * width)
+        left, right = max(0, a - width), min(n, b + width)
+        strips = [(u, v) for u, v in ((left, lo), (hi, right)) if u < v]
+        lo, hi = left, right
+    r, q = np.nonzero(cols >= 0)
+    return a + r, cols[r, q], best[r, q]
 
 
 def candidates(hashed: DataFrame, partitions: int, k: int, least: float, reach: int, dimensions: int) -> DataFrame:
@@ -95,43 +180,37 @@ def candidates(hashed: DataFrame, partitions: int, k: int, least: float, reach:
     points have been joined before, so they are ties of different directions.
     """
 
-    def one_run(tree, reps: np.ndarray, x: np.ndarray):
-        n = len(x)
-        step = max(64, reach)
-        for a in range(0, n, step):
-            b = min(n, a + step)
-            lo, hi = max(0, a - reach), min(n, b + reach)
-            scores = x[a:b] @ x[lo:hi].T
-            scores[np.arange(b - a), np.arange(a - lo, b - lo)] = -2.0
-            rows, cols = _best(scores, k, least - 1e-4)
+    def one_run(pids: np.ndarray, x: np.ndarray):
+        for a in range(0, len(x), 512):
+            rows, cols, scores = _ascend(x, a, min(len(x), a + 512), k, least - 1e-4, reach)
             if len(rows):
-                yield pd.DataFrame({"a": reps[a + rows], "b": reps[lo + cols], "cos": scores[rows, cols].astype(np.float64)})
+                yield pd.DataFrame({"a": pids[rows], "b": pids[cols], "cos": scores})
 
     def scan(batches):
-        tree, reps, parts = None, [], []
+        tree, pids, parts = None, [], []
 
         def flush(keep: int):
-            nonlocal reps, parts
-            if not reps:
+            nonlocal pids, parts
+            if not pids:
                 return
-            r = np.concatenate(reps)
+            r = np.concatenate(pids)
             x = np.concatenate(parts)
-            yield from one_run(tree, r, x)
-            reps, parts = ([r[-keep:]], [x[-keep:]]) if keep else ([], [])
+            yield from one_run(r, x)
+            pids, parts = ([r[-keep:]], [x[-keep:]]) if keep else ([], [])
 
         for pdf in batches:
             for t, part in pdf.groupby("tree", sort=True):
                 if t != tree:
                     yield from flush(0)
                     tree = t
-                reps.append(part["rep"].to_numpy(dtype=object))
+                pids.append(part["pid"].to_numpy())
                 parts.append(np.frombuffer(b"".join(part["unit"]), dtype=np.float32).reshape(len(part), dimensions))
-                if sum(map(len, reps)) > 20_000:
+                if sum(map(len, pids)) > 2 * RUN:
                     yield from flush(reach)
         yield from flush(0)
 
     ordered = hashed.repartitionByRange(partitions, "tree", "key").sortWithinPartitions("tree", "key")
-    return ordered.select("tree", "rep", "unit").mapInPandas(scan, "a string, b string, cos double")
+    return ordered.select("tree", "pid", "unit").mapInPandas(scan, "a long, b long, cos float")
 
 
 def neighbours(units: DataFrame, k: int = K, least: float = LEAST, trees: int = TREES, bits: int = BITS, reach: int = REACH, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -139,18 +218,18 @@ def neighbours(units: DataFrame, k: int = K, least: float = LEAST, trees: int =
     from skein.functions.state import durable
 
     ids = durable(usable(units, dimensions))
-    pts = durable(points(ids, k))
-    spark = units.sparkSession
+    # numbers in the order of rep, fixed by writing them
+    pts = durable(points(ids, k).orderBy("rep").withColumn("pid", F.monotonically_increasing_id()))
     n = pts.count()
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * trees // 40_000)
-    near = candidates(forest(pts, trees, bits, dimensions, SEED), partitions, k, least, reach, dimensions)
-    best = near.groupBy("a", "b").agg(F.max(F.round("cos", 5)).alias("cos")).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("m"), "b"))), 1, k).alias("top"))
+    partitions = max(1, -(-n * trees // RUN))
+    near = candidates(forest(pts, sample(pts, n, SAMPLE, dimensions), trees, bits, dimensions, SEED), partitions, k, least, reach, dimensions)
+    best = near.groupBy("a", "b").agg(F.max(F.round(F.col("cos").cast("double"), 5)).alias("cos")).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("m"), "b"))), 1, k).alias("top"))
     best = best.select("a", F.explode("top").alias("t")).select("a", F.col("t.b").alias("b"), (-F.col("t.m")).alias("cos"))
     # from points to ids: an id's own copies first, then the ids of near points, both in bounded arrays
-    other = pts.select(F.col("rep").alias("b"), F.col("ids").alias("others"))
+    other = pts.select(F.col("pid").alias("b"), F.col("ids").alias("others"))
     around = best.join(other, "b").groupBy("a").agg(F.collect_list(F.struct((-F.col("cos")).alias("m"), "others")).alias("around"))
     flat = F.flatten(F.transform("around", lambda g: F.transform(g["others"], lambda o: F.struct(g["m"].alias("m"), o.alias("o")))))
-    lists = pts.select(F.col("rep").alias("a"), "point", "ids").join(around, "a", "left")
+    lists = pts.select(F.col("pid").alias("a"), "point", "ids").join(around, "a", "left")
     lists = lists.select("point", F.concat(F.transform("ids", lambda o: F.struct(F.lit(-1.0).alias("m"), o.alias("o"))), F.coalesce(flat, F.array().cast("array<struct<m:double,o:string>>"))).alias("all"))
     full = ids.select("id", "point").join(lists.where(F.size("all") > 1), "point").select("id", F.slice(F.array_sort(F.filter("all", lambda o: o["o"] != F.col("id"))), 1, k).alias("top"))
     return full.select("id", F.explode("top").alias("t")).select("id", F.col("t.o").alias("other"), (-F.col("t.m")).alias("cos"))

@@ -147,3 +147,21 @@ def test_edges(spark, tmp_path, name, case):
     if case == "empty":
         assert n == 0
     assert len(set(out.columns)) == len(out.columns)
+
+
+def test_a_dense_group_of_different_vectors(spark):
+    """All of 6,000 vectors lie within a cosine of 0.95 to 0.995 of each other, and beside them 3,000 elsewhere."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=64) / 8 + rng.normal(size=(6000, 64)) * 0.018
+    x = np.vstack([x, rng.normal(size=(3000, 64))])
+    df = spark.createDataFrame([(f"d{i:05d}", [float(a) for a in v]) for i, v in enumerate(x)], "id string, vector array<float>")
+    near = {}
+    for r in neighbours.neighbours(df, least=0.9).collect():
+        near.setdefault(r.id, set()).add(r.other)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    right = 0
+    for i in range(0, 6000, 20):
+        scores = x @ x[i]
+        scores[i] = -2
+        right += len(near[f"d{i:05d}"] & {f"d{j:05d}" for j in np.argsort(-scores)[:5]})
+    assert right >= 0.98 * 1500
