@@ -28,6 +28,8 @@ DIMENSIONS, TREES, BITS, REACH, SEED = 64, 6, 48, 320, 20240917
 #: Points of a sorted run that are kept together, and points of the sample that the bits are centred on.
 RUN, SAMPLE = 40_000, 16_384
 K, LEAST = 5, 0.9
+#: Under every cosine.
+NO_BOUND = -1.5
 
 
 def usable(units: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -213,8 +215,8 @@ def candidates(hashed: DataFrame, partitions: int, k: int, least: float, reach:
     return ordered.select("tree", "pid", "unit").mapInPandas(scan, "a long, b long, cos float")
 
 
-def neighbours(units: DataFrame, k: int = K, least: float = LEAST, trees: int = TREES, bits: int = BITS, reach: int = REACH, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, other, cos): for every id its k most similar others with a cosine of at least ``least``; of equal cosines the smaller id."""
+def neighbours(units: DataFrame, k: int = K, least: float = NO_BOUND, trees: int = TREES, bits: int = BITS, reach: int = REACH, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(id, other, cos): for every id its k most similar others, those with a cosine of at least ``least`` if it is given; of equal cosines the smaller id."""
     from skein.functions.state import durable
 
     ids = durable(usable(units, dimensions))
@@ -235,8 +237,8 @@ def neighbours(units: DataFrame, k: int = K, least: float = LEAST, trees: int =
     return full.select("id", F.explode("top").alias("t")).select("id", F.col("t.o").alias("other"), (-F.col("t.m")).alias("cos"))
 
 
-def found(units: DataFrame, **how) -> DataFrame:
-    """(id_a, id_b) of different ids, one of them among the k most similar of the other; the smaller id first."""
-    near = neighbours(units, **how)
+def found(units: DataFrame, least: float = LEAST, **how) -> DataFrame:
+    """(id_a, id_b) of different ids with a cosine of at least ``least``, one of them among the k most similar of the other; the smaller id first."""
+    near = neighbours(units, least=least, **how)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 

@@ -165,3 +165,14 @@ def test_a_dense_group_of_different_vectors(spark):
         scores[i] = -2
         right += len(near[f"d{i:05d}"] & {f"d{j:05d}" for j in np.argsort(-scores)[:5]})
     assert right >= 0.98 * 1500
+
+
+def test_every_usable_unit_has_its_five_neighbours(spark):
+    got = {}
+    for r in neighbours.neighbours(units(spark)).collect():
+        got.setdefault(r.id, []).append(r.other)
+    x = {r.id: np.array(r.vector, dtype=float) for r in units(spark).collect() if r.id and r.vector and len(r.vector) == 64 and np.isfinite(r.vector).all() and np.any(r.vector)}
+    x = {i: v / np.linalg.norm(v) for i, v in x.items()}
+    assert set(got) == set(x) and all(len(o) == 5 for o in got.values())
+    right = sum(len(set(got[i]) & {j for _, j in sorted((-round(float(v @ w), 5), j) for j, w in x.items() if j != i)[:5]}) for i, v in x.items())
+    assert right >= 0.99 * 5 * len(x)
