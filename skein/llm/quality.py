@@ -184,14 +184,15 @@ def sketches(stats: DataFrame) -> DataFrame:
     return both.groupBy("language").agg(*[F.kll_sketch_agg_double(F.col(s).cast("double")).alias(s) for s in STATISTICS])
 
 
-def tails(documents: DataFrame, low: float = 0.02, z: float = -2.0) -> DataFrame:
+def tails(documents: DataFrame, low: float = 0.02, z: float = -2.0, least: float = 0.5) -> DataFrame:
     """The statistics with each value's percentile in its language, and the robust z-score of the readable share.
 
     ``tail`` is set where the readable share, by its language's or by the common
     sketch, lies ``z`` spreads or more below the median, or under percentile
-    ``low``.  The spread is that of the upper half (median to 90 %), so that
-    junk, however much of it there is, does not widen it.  There are eight rows
-    of sketches at most, read as percentile grids, so they are broadcast.
+    ``low``, and always where it is under ``least``: where much is junk, the
+    median is junk too and relative bounds miss it.  The spread is that of the
+    upper half (median to 90 %).  There are eight rows of sketches at most, read
+    as percentile grids, so they are broadcast.
     """
     stats = durable(statistics(documents))
     made = durable(sketches(stats))
@@ -216,10 +217,10 @@ def tails(documents: DataFrame, low: float = 0.02, z: float = -2.0) -> DataFrame
         return (F.col("readable_share") - q50) / F.greatest(F.lit(0.05), q90 - q50)
 
     out = out.withColumn("z_own", score("_own")).withColumn("z_all", score("_all"))
-    tail = (F.least("z_own", "z_all") <= z) | (F.col("readable_share_pct") <= low)
+    tail = (F.least("z_own", "z_all") <= z) | (F.col("readable_share_pct") <= low) | (F.col("readable_share") < least)
     return out.withColumn("tail", F.coalesce(tail, F.lit(False))).select("doc_id", "language", *STATISTICS, *[f"{s}_pct" for s in STATISTICS], "z_own", "z_all", "tail")
 
 
 def found(documents: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id of the documents in the tail of which less than ``least`` is readable."""
-    return tails(documents).where((F.col("tail")) & (F.col("readable_share") < least)).select("doc_id").distinct()
+    return tails(documents, least=least).where((F.col("tail")) & (F.col("readable_share") < least)).select("doc_id").distinct()

@@ -176,3 +176,10 @@ def test_every_usable_unit_has_its_five_neighbours(spark):
     assert set(got) == set(x) and all(len(o) == 5 for o in got.values())
     right = sum(len(set(got[i]) & {j for _, j in sorted((-round(float(v @ w), 5), j) for j, w in x.items() if j != i)[:5]}) for i, v in x.items())
     assert right >= 0.99 * 5 * len(x)
+
+
+def test_much_junk_does_not_hide_junk(spark):
+    half = SAY + "\n" + "a\tb\t1\t22\t333\n" * 12
+    assert 0.25 < quality.measure(half)[-1] < 0.5
+    df = spark.createDataFrame([(i, half if i < 60 else SAY, "en", "s", None, None, None, None) for i in range(100)], DOCS)
+    assert ids(quality.found(df)) == set(range(60))
