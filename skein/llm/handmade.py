@@ -7,8 +7,10 @@ Three kinds of evidence, in this order:
 * token composition: line lengths and white space (minified, bundled), the share
   of literals (data), the share of lines that repeat one shape (generated);
 * containment: an inverted index from hashes of long lines to marked library
-  files; a file most of whose lines occur in one of them, in whatever project, is
-  an edited copy.
+  files, asked for the rarest lines of a file only, so many that a file that
+  holds enough of them cannot be missed; then all lines are counted.  A file most
+  of whose lines occur in one library file, in whatever project, is an edited
+  copy.
 """
 
 from __future__ import annotations
@@ -20,8 +22,6 @@ import xxhash
 
 from skein.functions import jslex
 
-#: Library files that the index names for a line.
-SEEDS = 32
 EXTENSIONS = (".js", ".ts", ".jsx", ".tsx", ".vue")
 
 # What generators and libraries write at the head of a file.
@@ -166,13 +166,23 @@ def kinds(files, least_lines: int = 8, least_share: float = 0.55):
 
     seen = durable(evidence(files))
     marked = seen.where("kind is not null").groupBy("file_id").agg(F.max("kind").alias("kind"))
-    # of each line, the library files with the smallest hashes: copies of one library share them, however many there are
-    held = seen.where("kind = 'vendored'").select(F.xxhash64("file_id").alias("seed"), F.explode("lines").alias("line"))
-    some = held.groupBy("line", F.pmod("seed", F.lit(16)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("seed")), 1, SEEDS).alias("seeds"))
-    index = some.groupBy("line").agg(F.slice(F.array_sort(F.flatten(F.collect_list("seeds"))), 1, SEEDS).alias("seeds"))
-    asked = seen.where(f"kind is null and n_lines >= {int(least_lines)}").select("file_id", "n_lines", F.explode("lines").alias("line"))
-    hits = asked.join(index, "line").select("file_id", "n_lines", "line", F.explode("seeds").alias("seed")).groupBy("file_id", "seed").agg(F.countDistinct("line").alias("hits"), F.max("n_lines").alias("n_lines"))
-    copies = hits.where(F.col("hits") >= F.col("n_lines") * least_share).select("file_id").distinct()
+    # files with the same lines are one set
+    sets = seen.select("file_id", "kind", "n_lines", "lines", F.md5(F.to_json("lines")).alias("set")).where("n_lines > 0")
+    libraries = sets.where("kind = 'vendored'").groupBy(F.col("set").alias("library")).agg(F.first("n_lines").alias("size"), F.first("lines").alias("held"))
+    held = libraries.select("library", "size", F.explode("held").alias("line"))
+    often = held.groupBy("line").agg(F.count(F.lit(1)).alias("often"))
+    unknown = sets.where(f"kind is null and n_lines >= {int(least_lines)}")
+    asked = unknown.groupBy("set").agg(F.first("n_lines").alias("n_lines"), F.first("lines").alias("lines"))
+    need = F.ceil(F.round(F.col("n_lines") * least_share, 6)).cast("int")
+    # only lines that some library holds come out; those of the set that none holds are the rarest of all
+    known = asked.select("set", "n_lines", F.explode("lines").alias("line")).join(often, "line")
+    ranked = known.groupBy("set").agg(F.first("n_lines").alias("n_lines"), F.array_sort(F.collect_list(F.struct("often", "line"))).alias("known")).where(F.size("known") >= need)
+    # of n lines, need are shared: any n - need + 1 of them hold a shared one; n - known of them are in no library
+    rare = ranked.select("set", need.alias("need"), F.explode(F.slice("known", F.lit(1), F.size("known") - need + 1)).alias("r")).select("set", "need", F.col("r.line").alias("line"))
+    pairs = rare.join(held, "line").where("size >= need").select("set", "need", "library").distinct()
+    both = pairs.join(asked.select("set", "lines"), "set").join(libraries.select("library", "held"), "library")
+    copied_sets = both.where(F.size(F.array_intersect("lines", "held")) >= F.col("need")).select("set").distinct()
+    copies = unknown.join(copied_sets, "set", "left_semi").select("file_id").distinct()
 
     def check(rows):
         for file_id, relative, content in rows:

@@ -183,3 +183,17 @@ def test_much_junk_does_not_hide_junk(spark):
     assert 0.25 < quality.measure(half)[-1] < 0.5
     df = spark.createDataFrame([(i, half if i < 60 else SAY, "en", "s", None, None, None, None) for i in range(100)], DOCS)
     assert ids(quality.found(df)) == set(range(60))
+
+
+def test_a_popular_library_does_not_hide_a_copy(spark):
+    """Half of the copied lines stand in fifty other library files, the other half only in the original."""
+    line = lambda x, i: "  " + BODIES[i].replace("alpha", f"{x}{i}") + "\n"
+    wrap = lambda body: "export function run(alpha, beta, gamma) {\n" + body + "}\n"
+    common = "".join(line("common", i) for i in range(10))
+    copy = wrap(common + "".join(line("own", i) for i in range(10)))
+    mark = "/**\n * @license lib 1.0.0\n */\n"
+    rows = [(1, "src/copy.js", copy), (2, "vendor/own.js", mark + copy), (3, "src/hand.js", wrap("".join(line("hand", i) for i in range(10)) + common.split("\n", 2)[2]))]
+    rows += [(100 + v, f"vendor/other{v}.js", mark + wrap(common + "".join(line(f"v{v}x", i) for i in range(10)))) for v in range(300)]
+    df = spark.createDataFrame([(i, "p", "/r/" + p, p, None, len(c), None, None, c) for i, p, c in rows], FILES)
+    got = {r.file_id: r.kind for r in handmade.kinds(df).collect()}
+    assert got.get(1) == "copy" and 3 not in got
