@@ -78,10 +78,15 @@ def features(text: str, ext: str) -> dict:
     spans0: list[jslex.Span] = []
     comment = 0
     masks: list[str] = []
+    loader = False
     for i, (part, jsx) in enumerate(parts):
         mask, spans, _ = jslex.scan(part, jsx)
         if i == 0:
             spans0 = spans
+        at = [m.start() for m in _UMD.finditer(part)]
+        if at and not loader:  # what stands in a comment or a string is not code
+            blank = jslex.blanked(part, spans)
+            loader = any(not blank[a].isspace() for a in at)
         literal += sum(s.end - s.start for s in spans if s.kind in "\"'`")
         comment += sum(s.end - s.start for s in spans if s.kind in ("//", "/*"))
         masks.append(mask)
@@ -106,6 +111,7 @@ def features(text: str, ext: str) -> dict:
         "foreseen": foreseen / max(1, total - 1),
         "shaped": total,
         "code": code,
+        "loader": loader,
     }
 
 
@@ -120,7 +126,7 @@ def judge(path: str, text: str, ext: str) -> tuple[str | None, dict]:
         return "data", f
     if f["shaped"] >= 12 and f["foreseen"] > (0.5 if marked or build else 0.85) or marked and f["shaped"] < 12:
         return "generated", f
-    if _UMD.search(f["code"][:3000]) or _BANNER.search(f["head"]):
+    if f["loader"] or _BANNER.search(f["head"]):
         return "vendored", f
     if _FOLDER.search(path):
         return "vendored", f

@@ -162,3 +162,13 @@ def test_languages_by_encoded_size():
     assert coder.language("die Seite der Antwort ist nicht fertig") == "de"
     assert languages.Coder({}).language("the page of the server") is None
     assert languages.dictionary([]) == b""
+
+
+def test_a_library_that_registers_at_its_end():
+    from skein.llm import handmade
+
+    parts = ["  if (!a{i}.ready) return b{i}.fallback\n", "  for (const key of Object.keys(a{i})) b{i}.push(key)\n", "  throw new RangeError('bad ' + a{i})\n", "  while (a{i}.size > b{i}.limit) a{i}.pop()\n", "  switch (a{i}) { case 1: return b{i}.third() }\n"]
+    body = "".join("function f%d(x) {\n" % i + "".join(parts[j % 5].replace("{i}", str(i)) for j in range(i % 3, i * i % 7 + 3)) + "}\n" for i in range(40))
+    assert len(body) > 3000 and handmade.judge("src/x.js", body, ".js")[0] is None
+    assert handmade.judge("src/x.js", body + "if (typeof define === 'function' && define.amd) define(f1)\n", ".js")[0] == "vendored"
+    assert handmade.judge("src/x.js", body + "log(\"define.amd\") // define.amd\n", ".js")[0] is None
