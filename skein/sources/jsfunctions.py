@@ -11,11 +11,12 @@ from skein.functions import jslex
 _MODS = r"(?:(?:public|private|protected|static|readonly|override|abstract|async|get|set)\s+|\*\s*)*"
 _HEAD = re.compile(
     r"(?P<pre>(?:\bexport\s+(?:default\s+)?)?(?:\bdeclare\s+)?)(?P<fa>\basync\s+)?\bfunction\b\s*\*?\s*(?P<fn>[\w$]+)?\s*(?=[<(])"
-    r"|(?P<xpre>\bexport\s+)?\b(?:const|let|var)\s+(?P<an>[\w$]+)\s*(?::(?:[^=\n]|=>)*)?=\s*(?P<aa>\basync\b\s*)?(?=[(<]|[\w$]+\s*=>)"
+    r"|(?P<xpre>\bexport\s+)?\b(?:const|let|var)\s+(?P<an>[\w$]+)\s*(?:(?P<at>:)|=\s*(?P<aa>\basync\b\s*)?(?=[(<]|[\w$]+\s*=>))"
     rf"|(?:^|(?<=[{{}};,]))[^\S\n]*(?P<mods>{_MODS})(?P<mn>[#\w$]+)\s*(?=[(<])"
     r"|(?:^|(?<=[{,]))[^\S\n]*(?P<pn>[\w$]+)\s*:\s*(?P<pa>\basync\b\s*)?(?P<pf>function\b\s*\*?\s*[\w$]*\s*)?(?=[(<]|[\w$]+\s*=>)",
     re.M,
 )
+_VALUE = re.compile(r"\s*(?P<aa>\basync\b\s*)?(?=[(<]|[\w$]+\s*=>)")
 _BRACKET = re.compile(r"[(){}\[\]]")
 _PAIRS = {")": "(", "}": "{", "]": "["}
 _NOT_NAMES = frozenset("if for while switch catch function return with else do typeof new await super import case".split())
@@ -112,6 +113,26 @@ class _Text:
         found.reverse()
         return ("\n".join(self.text[s.start : s.end] for s in found) if found else None), found
 
+    def annotated(self, at: int) -> int | None:
+        """Position after the ``=`` that follows the type at ``at``, which may span lines."""
+        depth, n = 0, len(self.blank)
+        while at < n:
+            c = self.blank[at]
+            if c in "{([" and at in self.close:
+                at = self.close[at]
+            elif c == "<":
+                depth += 1
+            elif c == ">" and self.blank[at - 1] != "=":
+                depth -= 1
+            elif c == "=" and depth <= 0 and not self.blank.startswith("=>", at):
+                return at + 1
+            elif c in ";)}]" or c == "," and depth <= 0:
+                return None
+            elif c == "\n" and depth <= 0 and self.blank[max(0, at - 200) : at].rstrip()[-1:] not in tuple(":|&>") and not re.compile(r"\s*(?:[|&=.]|$)").match(self.blank, at):
+                return None
+            at += 1
+        return None
+
     def parameters(self, at: int) -> tuple[list, int] | None:
         """Names of the parameters of the list that opens at ``at``, and the position after it."""
         if at < len(self.blank) and self.blank[at] == "<":
@@ -228,6 +249,7 @@ def functions(text: str, jsx: bool = False, objects: bool = False, documented: b
         return k
 
     for m in t.heads_after_comments() if documented else _HEAD.finditer(t.blank):
+        head_end = m.end()
         if m.group("fn") is not None or m.group("pre") is not None and m.group("an") is None and m.group("mn") is None and m.group("pn") is None:
             name, kind = m.group("fn"), "function"
             if not name:
@@ -237,8 +259,15 @@ def functions(text: str, jsx: bool = False, objects: bool = False, documented: b
             outer = m.start()
         elif m.group("an") is not None:
             name, kind, arrow = m.group("an"), "arrow", True
-            start = t.skip(m.start("aa") if m.group("aa") else m.end())
-            exported, is_async, outer = False, bool(m.group("aa")), m.start()
+            value = m
+            if m.group("at"):
+                after = t.annotated(m.end())
+                value = _VALUE.match(t.blank, after) if after is not None else None
+                if value is None:
+                    continue
+            head_end = value.end()
+            start = t.skip(value.start("aa") if value.group("aa") else head_end)
+            exported, is_async, outer = False, bool(value.group("aa")), m.start()
         elif m.group("mn") is not None:
             name, kind, arrow = m.group("mn"), "method", False
             if name in _NOT_NAMES:
@@ -255,7 +284,7 @@ def functions(text: str, jsx: bool = False, objects: bool = False, documented: b
                 continue
             arrow = not m.group("pf")
             exported, is_async, outer = False, bool(m.group("pa")), start
-        got = t.parameters(t.skip(m.end()))
+        got = t.parameters(t.skip(head_end))
         if got is None:
             continue
         end = t.body(got[1], arrow)

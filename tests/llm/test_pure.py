@@ -172,3 +172,11 @@ def test_a_library_that_registers_at_its_end():
     assert len(body) > 3000 and handmade.judge("src/x.js", body, ".js")[0] is None
     assert handmade.judge("src/x.js", body + "if (typeof define === 'function' && define.amd) define(f1)\n", ".js")[0] == "vendored"
     assert handmade.judge("src/x.js", body + "log(\"define.amd\") // define.amd\n", ".js")[0] is None
+
+
+def test_arrow_functions_with_types_over_lines():
+    from skein.sources.jsfunctions import functions as nodes
+
+    text = "/** a */\nexport const load: Loader<\n  Foo\n> = async (id) => id\n/** b */\nconst cmp: (a: A,\n  b: B) => number = (a, b) => 1\n// c\nlet x: number\nfoo = (z) => 2\n// d\nconst one: F = y => 3\n"
+    for documented in (False, True):
+        assert [(f.name, f.is_async, f.params) for f in nodes(text, documented=documented)] == [("load", True, ["id"]), ("cmp", False, ["a", "b"]), ("one", False, ["y"])]
