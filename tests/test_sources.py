@@ -32,3 +32,18 @@ def test_stream_processes_each_record_once(spark, tmp_path):
         spark.createDataFrame([("p", "a", 1, "x"), ("p", f"b{n}", n, "y")], schema).write.mode("append").parquet(str(tmp_path / "in"))
         follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), lambda df: df.select("relative_path"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.relative_path for r in Ledger(spark, str(tmp_path / "out")).output().collect()) == ["a", "b0", "b1"]
+
+
+def test_stream_keeps_the_newest_version(spark, tmp_path):
+    from skein.operators.incremental import Ledger
+    from skein.streaming.ingest import follow
+
+    schema = "project string, relative_path string, size long, checksum string, mtime long"
+    rows = [("p", f"f{i}", v, f"v{v}", v) for i in range(20) for v in ((1, 2, 3) if i % 2 else (3, 1, 2))]
+    for n in range(3):  # a backlog: one version of each file in each
+        spark.createDataFrame(rows[n::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for version, expected in (("mtime", {3}), (None, {2, 3})):
+        out = str(tmp_path / f"out_{version}")
+        follow(spark, str(tmp_path / "in"), schema, out, lambda df: df.select("relative_path", "size"), str(tmp_path / f"ck_{version}"), version=version).awaitTermination()
+        got = Ledger(spark, out).output().collect()
+        assert len(got) == 20 and {r.size for r in got} == expected
