@@ -117,12 +117,21 @@ def _parsed(s, d):
 
 
 def _rounds(s, d):
-    """Searches of three rounds, the first that finds a unit keeping it."""
-    q, u = _queries(s, d), _units(s, d)
-    near = [vector.knn(q.where(f"query_id % 300 = {100 * i}").select(F.lit(1).alias("query_id"), "vector").limit(1), u, k).withColumn("round", F.lit(i + 1)) for i, k in enumerate((5, 3, 5))]
+    """Of each query, searches of three rounds, the first that finds a unit keeping it; the ten nearest.
+
+    Later rounds search by the vectors of the next queries (100 and 200 ids on), or by its own where there is none.
+    """
+    q, u = _queries(s, d).select("query_id", "vector"), _units(s, d)
+
+    def asked(i):
+        other = q.select((F.col("query_id") - 100 * i).alias("query_id"), F.col("vector").alias("next"))
+        return q.join(other, "query_id", "left").select("query_id", F.coalesce("next", "vector").alias("vector"))
+
+    near = [vector.knn(asked(i), u, k).withColumn("round", F.lit(i + 1)) for i, k in enumerate((5, 3, 5))]
     rows = near[0].unionByName(near[1]).unionByName(near[2])
-    best = rows.groupBy("id").agg(F.min(F.struct("round", "score")).alias("b")).select("id", "b.round", "b.score")
-    return best.orderBy("score", "id").limit(10)
+    best = rows.groupBy("query_id", "id").agg(F.min(F.struct("round", "score")).alias("b")).select("query_id", "id", "b.round", "b.score")
+    top = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "id", "round"))), 1, 10).alias("top"))
+    return top.select("query_id", F.explode("top").alias("t")).select("query_id", "t.id", "t.round", "t.score")
 
 
 def queries() -> dict:

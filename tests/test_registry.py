@@ -47,3 +47,15 @@ def test_core_does_not_import_the_optional_part():
 
     code = "import sys, skein.plans.registry, skein.operators.assist, skein.streaming.ingest, skein.sources.parse; sys.exit(any(m.startswith('skein.llm') for m in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(__file__))).returncode == 0
+
+
+@needs_data
+def test_every_query_has_its_rounds(spark):
+    rows = registry.queries()["multi_round"](spark, DATA).collect()
+    near = registry.queries()["knn_batch"](spark, DATA).where("rank <= 5").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.query_id, {})[r.id] = r
+    assert set(by) == {r.query_id for r in near} and all(5 <= len(x) <= 10 for x in by.values()) and len(rows) == sum(map(len, by.values()))
+    own = {(r.query_id, r.id) for r in near}
+    assert all((r.round == 1) == ((r.query_id, r.id) in own) for r in rows)
