@@ -24,3 +24,18 @@ def durable(df: DataFrame) -> DataFrame:
             folder = str(Path(tempfile.gettempdir()) / "skein-checkpoints")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def write_text(fs, path, text: str) -> None:
+    """A small file through the Hadoop file system."""
+    stream = fs.create(path, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+
+
+def read_text(fs, path) -> str:
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()

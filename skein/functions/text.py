@@ -132,17 +132,17 @@ def function_text(relative_path, name, kind, params, is_async, is_exported, comm
     """Text that a function is embedded by: signature, kind, comment and the first 500 characters of its code."""
     kind = col(kind)
     signature = F.concat(F.when(col(is_async), "async ").otherwise(""), F.coalesce(col(name), F.lit("")), F.lit("("), F.array_join(F.coalesce(col(params), F.array().cast("array<string>")), ", "), F.lit(")"))
-    label = F.when(kind == "function", "函数声明").when(kind == "method", "类方法").otherwise("箭头函数")
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in S.KIND_LABELS.items() for x in kv]), kind), F.lit(S.KIND_DEFAULT))
     note = F.trim(F.regexp_replace(col(comments), r"(?m)^\s*\*\s*", ""))
     text = F.coalesce(col(content), F.lit(""))
     return F.concat_ws(
-        "\n", F.concat(F.lit("文件: "), F.coalesce(col(relative_path), F.lit(""))), F.concat(F.lit("函数签名: "), signature), F.concat(F.lit("类型: "), label), F.when(col(is_exported), "导出函数").otherwise("内部函数"),
-        F.when(col(comments) != "", F.concat(F.lit("\n功能说明: "), note)), F.concat(F.lit("\n代码摘要:\n"), F.substring(text, 1, 500), F.when(F.length(text) > 500, "...").otherwise("")),
+        "\n", F.concat(F.lit(S.LABEL_FILE), F.coalesce(col(relative_path), F.lit(""))), F.concat(F.lit(S.LABEL_SIGNATURE), signature), F.concat(F.lit(S.LABEL_KIND), label), F.when(col(is_exported), S.LABEL_EXPORTED).otherwise(S.LABEL_INTERNAL),
+        F.when(col(comments) != "", F.concat(F.lit(S.LABEL_NOTE), note)), F.concat(F.lit(S.LABEL_CODE), F.substring(text, 1, 500), F.when(F.length(text) > 500, "...").otherwise("")),
     )
 
 
 def file_text(relative_path, ext, path, content) -> Column:
-    return F.concat(F.lit("文件路径: "), F.coalesce(col(relative_path), F.lit("")), F.lit("\n类型: "), type_label(ext), F.lit("\n文件名: "), base_name(path), F.lit("\n\n代码内容:\n"), F.coalesce(col(content), F.lit("")), F.lit("\n"))
+    return F.concat(F.lit(S.LABEL_PATH), F.coalesce(col(relative_path), F.lit("")), F.lit("\n" + S.LABEL_KIND), type_label(ext), F.lit("\n" + S.LABEL_NAME), base_name(path), F.lit("\n\n" + S.LABEL_CONTENT + "\n"), F.coalesce(col(content), F.lit("")), F.lit("\n"))
 
 
 def mapped_keywords(query: Column | str) -> Column:
@@ -163,3 +163,8 @@ def issue_keywords(text: Column | str) -> Column:
     """First five distinct ideograph runs of a report, links and brackets apart."""
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"https?://[^\s]+", ""), r"[【】\[\]]", " ")
     return F.slice(F.array_distinct(cjk_runs(clean, 2, 6)), 1, 5)
+
+
+def lines_of(content: Column | str, first: Column, last: Column) -> Column:
+    """Lines ``first`` to ``last`` of a text, counted from 1, whole; null if anything is."""
+    return F.array_join(F.slice(F.split(col(content), "\n"), first, F.greatest(F.lit(0), last - first + 1)), "\n")

@@ -63,6 +63,8 @@ class HttpModel:
     chat_model: str = "llama3"
     timeout: float = 60.0
     retries: int = 5
+    #: Attempts that each text of the last call of ``embed`` took.
+    attempts: list[int] = field(default_factory=list)
 
     def _post(self, path: str, body: dict, timeout: float) -> dict:
         request = urllib.request.Request(self.base_url + path, json.dumps(body).encode(), {"Content-Type": "application/json"})
@@ -70,10 +72,12 @@ class HttpModel:
             return json.loads(r.read())
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        self.attempts = []
         return [self._embed_one(t) for t in texts]
 
     def _embed_one(self, text: str) -> list[float]:
         for attempt in range(1, self.retries + 1):
+            self.attempts[len(self.attempts) - (attempt > 1) :] = [attempt]
             try:
                 return self._post("/api/embeddings", {"model": self.embed_model, "prompt": text}, self.timeout)["embedding"]
             except Exception:

@@ -6,6 +6,10 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
 from skein import schema as S
 from skein.models import ChatModel, ask, json_integers, json_object
 from skein.operators.context import fallback_answer
@@ -88,11 +92,38 @@ def analyze_code(chat: ChatModel, symptom: str, causes: list, results: list[dict
     return {"suspicious": [{"filePath": r["file_path"], "startLine": r["start_line"], "endLine": r["end_line"], "reason": "", "confidence": "low"} for r in some], "flow": [], "suggestions": [], "related": []}
 
 
+def rewrite(chat: ChatModel, question: str) -> str:
+    """The question as English key words for a search, as the model gives it."""
+    return chat.chat([{"role": "system", "content": S.REWRITE_PROMPT}, {"role": "user", "content": question}]).strip()
+
+
+def _summary(results, high, medium) -> str:
+    tail = S.SUMMARY_HIGH.format(n=high) if high else S.SUMMARY_MEDIUM.format(n=medium) if medium else S.SUMMARY_NONE
+    return S.SUMMARY.format(n=results) + tail
+
+
 def summary(results: int, suspicious: list[dict]) -> str:
     """One line on how many places are suspicious: the high ones, else the medium ones, else none."""
-    high, medium = (sum(c.get("confidence") == k for c in suspicious) for k in ("high", "medium"))
-    tail = f"发现 {high} 个高可疑代码位置。" if high else f"发现 {medium} 个中等可疑代码位置。" if medium else "未发现明确的可疑代码位置，建议人工检查。"
-    return f"分析了 {results} 个相关代码片段，" + tail
+    return _summary(results, *(sum(c.get("confidence") == k for c in suspicious) for k in ("high", "medium")))
+
+
+def summaries(places: DataFrame) -> DataFrame:
+    """(report_id, summary) of suspicious places (report_id, results, confidence), as ``summary`` says it; the greatest ``results`` of a report counts."""
+    counted = places.groupBy("report_id").agg(F.max("results").alias("n"), F.count_if(F.col("confidence") == "high").alias("high"), F.count_if(F.col("confidence") == "medium").alias("medium"))
+
+    def said(text: str, n: str):
+        before, after = text.split("{n}")
+        return F.concat(F.lit(before), F.col(n).cast("string"), F.lit(after))
+
+    tail = F.when(F.col("high") > 0, said(S.SUMMARY_HIGH, "high")).when(F.col("medium") > 0, said(S.SUMMARY_MEDIUM, "medium")).otherwise(S.SUMMARY_NONE)
+    return counted.select("report_id", F.concat(said(S.SUMMARY, "n"), tail).alias("summary"))
+
+
+def rounds(found: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, id, round, score): results of several rounds (query_id, id, round, score), each id in the first round that found it, then its best score; the ``most`` best of a query by score, ties by id."""
+    best = found.groupBy("query_id", "id").agg(F.min(F.struct("round", "score")).alias("b")).select("query_id", "id", "b.round", "b.score")
+    n = F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))
+    return best.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
 
 
 def cited(answer: str, sources: int) -> set[int]:
@@ -109,26 +140,25 @@ def grounded_answer(chat: ChatModel, question: str, prompt: str, sources: list[d
 
     Asks again more strictly if citations are wanting, then over a wider context
     if there is one, then strictly over that, then without code; in the end an
-    answer made from the sources alone stands in.
+    answer made from the sources alone stands in for one that still lacks citations.
     """
-    strict = "\n请严格按要求的结构回答，并在结论中引用来源编号。"
-    used, calls = sources, 0
+    used, base, calls = sources, prompt, 0
 
-    def once(text: str) -> str:
+    def once(more: str = "") -> str:
         nonlocal calls
         calls += 1
-        return ask(chat, text)
+        return ask(chat, f"{base}\n\n{more.format(n=len(used))}" if more else base)
 
-    answer = once(prompt)
+    answer = once()
     if not is_grounded(answer, len(used)):
-        answer = once(prompt + strict)
+        answer = once(S.STRICT_PROMPT)
     if wider_prompt and wider and len(cited(answer, len(used))) < min(2, len(used)) and len(wider) > len(used):
-        used = wider
-        answer = once(wider_prompt)
+        used, base = wider, wider_prompt
+        answer = once(S.WIDER_PROMPT)
         if not is_grounded(answer, len(used)):
-            answer = once(wider_prompt + strict)
+            answer = once(S.STRICT_PROMPT)
     if "```" in answer:
-        answer = once((wider_prompt if used is wider and wider_prompt else prompt) + strict + "\n不要输出代码块。")
-    if not is_grounded(answer, len(used)) or "```" in answer:
+        answer = once(S.NO_CODE_PROMPT)
+    if not is_grounded(answer, len(used)):
         answer = fallback_answer(question, used)
     return answer, calls

@@ -60,10 +60,20 @@ def has_code_fence(answer: Column) -> Column:
 
 def fallback_answer(question: str, results: list[dict]) -> str:
     """An answer from the first results alone, for when the model's cannot be used."""
-    top = results[:4]
-    parts = ["## 结论"]
-    parts += [f"{i}. 当前上下文可确认与问题相关的代码入口为 `{r['name']}`（来源[{i}]）。" for i, r in enumerate(top[:2], 1)]
-    parts += ["", "## 证据"]
-    parts += [f"{i}. 来源[{i}]：`{r['name']}`（{r['type']}），位置 `{r['file_path']}:{r['start_line']}-{r['end_line']}`。" for i, r in enumerate(top[:3], 1)]
-    parts += ["", "## 不确定项", f"当前上下文不足以完整还原“{question}”的全链路细节，仍需更多调用链/数据加载代码片段。", "", "## 建议", "建议补充同模块下的调用函数与数据请求函数后再生成完整流程结论。"]
+    parts = ["## 结论", *(S.FALLBACK_CONCLUSION.format(i=i, **r) for i, r in enumerate(results[:2], 1))]
+    parts += ["", "## 证据", *(S.FALLBACK_EVIDENCE.format(i=i, **r) for i, r in enumerate(results[:3], 1))]
+    parts += ["", "## 不确定项", S.FALLBACK_UNSURE.format(question=question), "", "## 建议", S.FALLBACK_ADVICE]
     return "\n".join(parts)
+
+
+def shown(results: DataFrame, chars: int = S.SHOWN_SEARCH) -> DataFrame:
+    """Results with their content cut for display, and an id and a path for a list; null content stays null."""
+    cut = F.when(F.length("content") > chars, F.concat(F.substring("content", 1, chars), F.lit("..."))).otherwise(F.col("content"))
+    return results.withColumn("content", cut).withColumn("short_id", F.substring("id", 1, S.SHOWN_ID)).withColumn("short_path", F.substring("file_path", 1, S.SHOWN_PATH))
+
+
+def vector_preview(vector: Column | str) -> list[Column]:
+    """Columns dimensions and preview, the first numbers of a vector at six decimals; null for a null vector."""
+    v = T.col(vector)
+    some = F.transform(F.slice(v, 1, S.SHOWN_NUMBERS), lambda x: F.format_number(x.cast("double"), "0.000000"))
+    return [F.when(v.isNotNull(), F.size(v)).alias("dimensions"), F.when(v.isNotNull(), F.concat(F.lit("["), F.array_join(some, ", "), F.lit("...]"))).alias("preview")]

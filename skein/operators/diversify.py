@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from skein import schema as S
 from skein.functions import text as T
 from skein.functions.rows import ship
-from skein.operators import rank
 
 _FIELDS = "query_id string, id string, position int"
 
@@ -100,7 +99,3 @@ def select_context(ranked: DataFrame, limit: int) -> DataFrame:
         return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]] * len(ids), "id": ids, "position": range(1, len(ids) + 1)})
 
     return _prepared(ranked).groupBy("query_id").applyInPandas(choose, _FIELDS)
-
-
-def candidates(results: DataFrame) -> DataFrame:
-    return rank.rule_rerank(results)

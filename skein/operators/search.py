@@ -8,41 +8,50 @@ from pyspark.sql import functions as F
 
 from skein import schema as S
 from skein.functions import text as T
+from skein.functions.lookup import holds
 from skein.operators import vector
 
 
-#: Keywords looked up in one pass.
-WORDS = 256
+#: Up to so many keywords are looked up by expressions in the JVM; more by an automaton.
+FEW = 64
 
 
-def keyword_scores(keywords: DataFrame, units: DataFrame, limit: int | None = S.KEYWORD_LIMIT, regex_count: bool = False) -> DataFrame:
+def keyword_scores(keywords: DataFrame, units: DataFrame, limit: int | None = S.KEYWORD_LIMIT, regex_count: bool = False, scan_cap: int | None = None, **filters) -> DataFrame:
     """(query_id, id, match_score, keyword_matches, rank): ten points for each occurrence of a keyword.
 
     keywords: query_id, keyword.  Different keywords are looked up once for all
-    queries, ``WORDS`` of them in a pass over the units, and only hits are joined
-    to the queries.  They are counted as literal text (``regex_count``: as
+    queries and only hits are joined to the queries; many keywords make one
+    automaton, in blocks of bounded size.  They are counted as literal text
+    (``regex_count``: the keywords of a text that holds them are counted as
     regular expressions).  Blank keywords count nothing; repeated rows of one id
-    count once.
+    count once.  ``scan_cap``: only so many units, those with the smallest ids,
+    are looked at; none by default.  ``filters`` (projects, file_types,
+    code_types) apply to the ``limit`` best.
     """
     asked = keywords.where("keyword is not null and trim(keyword) <> ''").select("query_id", F.lower("keyword").alias("keyword")).distinct()
-    words = sorted(r[0] for r in asked.select("keyword").distinct().collect())
     hay = units.where("id is not null").select("id", T.haystack().alias("__h"))
+    if scan_cap is not None:
+        hay = hay.dropDuplicates(["id"]).orderBy("id").limit(scan_cap)
+    words = [r[0] for r in asked.select("keyword").distinct().limit(FEW + 1).collect()]
+    if len(words) <= FEW:
 
-    def count(k):
-        n = F.regexp_count(F.col("__h"), k) if regex_count else (F.length("__h") - F.length(F.replace(F.col("__h"), k, F.lit("")))) / F.length(k)
-        return F.struct(k.alias("keyword"), n.cast("int").alias("n"))
+        def count(k):
+            return F.struct(k.alias("keyword"), ((F.length("__h") - F.length(F.replace(F.col("__h"), k, F.lit("")))) / F.length(k)).cast("int").alias("n"))
 
-    passes = [words[i : i + WORDS] for i in range(0, len(words), WORDS)] or [[""]]
-    found = None
-    for some in passes:
-        listed = F.array(*map(F.lit, some))
-        part = hay.select("id", F.explode(F.transform(F.filter(listed, lambda k: (k != "") & F.contains(F.col("__h"), k)), count)).alias("hit")).select("id", "hit.keyword", "hit.n")
-        found = part if found is None else found.unionByName(part)
+        listed = F.array(*map(F.lit, sorted(words) or [""]))
+        found = hay.select("id", F.explode(F.transform(F.filter(listed, lambda k: (k != "") & F.contains(F.col("__h"), k)), count)).alias("hit")).select("id", "hit.keyword", "hit.n")
+    else:
+        found = holds(hay.select(F.col("id").alias("key"), F.col("__h").alias("text")), asked.select(F.col("keyword").alias("pattern"))).select(F.col("key").alias("id"), F.col("pattern").alias("keyword"), "n")
+    if regex_count:
+        found = found.join(hay, "id").select("id", "keyword", F.regexp_count(F.col("__h"), F.col("keyword")).alias("n"))
     once = found.groupBy("id", "keyword").agg(F.max("n").alias("n"))
     best = once.join(asked, "keyword").groupBy("query_id", "id").agg((F.sum("n") * S.KEYWORD_WEIGHT).cast("int").alias("match_score"), F.array_sort(F.collect_list("keyword")).alias("keyword_matches")).where("match_score > 0")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("match_score").desc(), "id"))
     out = best.withColumn("rank", rank)
-    return out.where(F.col("rank") <= limit) if limit else out
+    out = out.where(F.col("rank") <= limit) if limit else out
+    if any(filters.values()):
+        out = vector.filtered(vector.with_fields(out, units, "project", "file_path", "type"), **filters).drop("project", "file_path", "type")
+    return out
 
 
 def fuse(vectors: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -71,27 +80,40 @@ def matched_first(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def smart_search(queries: DataFrame, units: DataFrame, limit: int = S.DEFAULT_LIMIT, **filters) -> DataFrame:
+def trusted(queries: DataFrame, most: int = S.TRUSTED_EXPANSIONS) -> DataFrame:
+    """(query_id, n, query, vector): of each query's ``expansions`` (structs of query and vector) the first ``most`` that overlap the query, numbered from 1."""
+    more = queries.select("query_id", "query", F.posexplode("expansions").alias("at", "e")).where(T.overlap(T.tokens("query"), T.tokens(F.col("e.query"))) >= S.TRUSTED_OVERLAP)
+    n = F.row_number().over(W.partitionBy("query_id").orderBy("at"))
+    return more.withColumn("n", n).where(F.col("n") <= most).select("query_id", "n", "e.query", "e.vector")
+
+
+def recall_union(base: DataFrame, more: DataFrame) -> DataFrame:
+    """Results of a query and of its expansions (with their number ``n``), each id once: the query's own first, then by number; scores of expansions weigh more, so they rank lower."""
+    both = base.select("query_id", "id", "score", F.lit(0).alias("n")).unionByName(more.select("query_id", "id", (F.col("score") * S.EXPANSION_WEIGHT).alias("score"), "n"))
+    return both.withColumn("k", F.row_number().over(W.partitionBy("query_id", "id").orderBy("n", "score"))).where("k = 1").drop("k")
+
+
+def smart_search(queries: DataFrame, units: DataFrame, limit: int = S.DEFAULT_LIMIT, projects=None, file_types=None, code_types=None, fields: tuple[str, ...] = ()) -> DataFrame:
     """Vector recall, keyword recall, fusion, keyword bonus and matched-first selection, without models.
 
-    queries: query_id, query, vector, and optionally expansions: (query, vector)
-    structs, of which the first two that overlap the query are searched too.
-    Keywords come from the fixed dictionary.
+    queries: query_id, query, vector, and optionally expansions, (query, vector)
+    structs, and keywords, a list from a model; without it keywords come from the
+    fixed dictionary.  The filters apply to both recalls, each after its limit.
+    ``fields``: further attributes of the units in the result.
     """
+    filters = {"projects": projects, "file_types": file_types, "code_types": code_types}
     base = vector.search(queries.select("query_id", "vector"), units, limit * 2, **filters).select("query_id", "id", "score")
     if "expansions" in queries.columns:
-        more = queries.select("query_id", "query", F.posexplode("expansions").alias("n", "e")).where(T.overlap(T.tokens("query"), T.tokens(F.col("e.query"))) >= S.TRUSTED_OVERLAP)
-        more = more.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("n"))).where(F.col("n") <= S.TRUSTED_EXPANSIONS)
-        near = vector.search(more.select(F.to_json(F.struct("query_id", "n")).alias("query_id"), F.col("e.vector").alias("vector")), units, limit, **filters)
+        more = trusted(queries)
+        near = vector.search(more.select(F.to_json(F.struct("query_id", "n")).alias("query_id"), "vector"), units, limit, **filters)
         kind = queries.schema["query_id"].dataType.simpleString()
-        near = near.select(F.get_json_object("query_id", "$.query_id").cast(kind).alias("query_id"), "id", (F.col("score") * S.EXPANSION_WEIGHT).alias("score"), F.get_json_object("query_id", "$.n").cast("int").alias("n"))
-        both = base.withColumn("n", F.lit(0)).unionByName(near)
-        base = both.withColumn("k", F.row_number().over(W.partitionBy("query_id", "id").orderBy("n"))).where("k = 1").drop("n", "k")
-    wanted = queries.select("query_id", F.slice(F.filter(T.mapped_keywords("query"), lambda k: T.specificity(k) > 0), 1, S.TRUSTED_KEYWORDS).alias("keywords"))
-    hits = keyword_scores(wanted.select("query_id", F.explode("keywords").alias("keyword")), units)
-    rows = fuse(base, hits)
-    rows = rows.join(vector.unit_rows(units, rows, "project", "file_path", "type", "name", "content"), "id").join(wanted, "query_id")
-    return matched_first(keyword_bonus(rows), limit).select("query_id", "rank", "id", "score", "source", "keyword_matches")
+        near = near.select(F.get_json_object("query_id", "$.query_id").cast(kind).alias("query_id"), "id", "score", F.get_json_object("query_id", "$.n").cast("int").alias("n"))
+        base = recall_union(base, near).drop("n")
+    given = F.col("keywords") if "keywords" in queries.columns else T.mapped_keywords("query")
+    wanted = queries.select("query_id", F.slice(F.filter(given, lambda k: T.specificity(k) > 0), 1, S.TRUSTED_KEYWORDS).alias("keywords"))
+    hits = keyword_scores(wanted.select("query_id", F.explode("keywords").alias("keyword")), units, **filters)
+    rows = vector.with_fields(fuse(base, hits), units, *dict.fromkeys(("project", "file_path", "type", "name", "content", *fields))).join(wanted, "query_id")
+    return matched_first(keyword_bonus(rows), limit).select("query_id", "rank", "id", "score", "source", "keyword_matches", *fields)
 
 
 def index_stats(units: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skein import schema as S
 from skein.functions import text as T
-from skein.functions.rows import map_rows
+from skein.functions.lookup import holds
 
 
 def words(camel: bool = False) -> Column:
@@ -35,32 +35,70 @@ def top_words(vocabulary: DataFrame, n: int) -> DataFrame:
 
 
 def match_words(queries: DataFrame, vocabulary: DataFrame, both_ways: bool = True) -> DataFrame:
-    """(query_id, word): vocabulary that a query contains, or (``both_ways``) that contains a whole query.
+    """(query_id, word): vocabulary that a query contains, or (``both_ways``) that contains a whole query; case does not count, blank queries and words match nothing.
 
-    Containment is turned into equality: the substrings of each query that are
-    as long as some word are looked up, so no pair is compared that does not
-    match.  The other direction does the same with the words.
+    Each direction is one pass of an automaton over the longer texts, in blocks
+    of patterns of bounded size.
     """
-    q = queries.select("query_id", F.lower(F.coalesce("query", F.lit(""))).alias("q"))
+    q = queries.select("query_id", F.lower(F.coalesce("query", F.lit(""))).alias("q")).where("q <> ''")
     v = vocabulary.select("word", F.lower("word").alias("w")).where("w <> ''")
-    lengths = sorted(r[0] for r in v.select(F.length("w").alias("n")).distinct().collect())  # as many as there are lengths
-
-    def cut(rows):
-        for query_id, text in rows:
-            for n in lengths:
-                for w in {text[i : i + n] for i in range(len(text) - n + 1)}:
-                    yield query_id, w
-
-    kind = queries.schema["query_id"].dataType.simpleString()
-    subs = map_rows(q, cut, f"query_id {kind}, w string")
-    out = subs.join(v, "w").select("query_id", "word")
+    held = holds(q.select(F.col("query_id").alias("key"), F.col("q").alias("text")), v.select(F.col("w").alias("pattern")))
+    out = held.join(v, held["pattern"] == v["w"]).select(F.col("key").alias("query_id"), "word")
     if both_ways:
-        inside = v.select("word", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"))
-        inside = inside.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("i") + 1), lambda n: F.substring(F.col("w"), F.col("i"), n))).alias("q")).distinct()
-        out = out.unionByName(q.where("q <> ''").join(inside, "q").select("query_id", "word"))
+        inside = holds(v.select(F.col("word").alias("key"), F.col("w").alias("text")), q.select(F.col("q").alias("pattern")))
+        out = out.unionByName(inside.join(q, inside["pattern"] == q["q"]).select("query_id", F.col("key").alias("word")))
     return out.distinct()
 
 
+def keywords_of(queries: DataFrame, vocabulary: DataFrame, both_ways: bool = True) -> DataFrame:
+    """(query_id, keywords): the sorted words of the vocabulary that match each query, else its ideograph runs in order."""
+    found = match_words(queries, vocabulary, both_ways).groupBy("query_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    runs = F.array_distinct(T.cjk_runs("query", 2, 4))
+    return queries.select("query_id", "query").join(found, "query_id", "left").select("query_id", F.coalesce("words", runs).alias("keywords"))
+
+
+def save(vocabulary: DataFrame, folder: str) -> None:
+    """Writes words and frequencies as JSON lines, in the place of what is there."""
+    vocabulary.select("word", F.col("freq").cast("long").alias("freq")).write.mode("overwrite").json(folder)
+
+
+def load(spark, folder: str, units: DataFrame | None = None) -> DataFrame | None:
+    """The saved vocabulary; where there is none, that of the units, which is then saved; None without units."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if units is None:
+            return None
+        save(learn(units), folder)
+    return spark.read.schema("word string, freq long").json(folder)
+
+
+def to_map(vocabulary: DataFrame, most: int) -> dict[str, int]:
+    """The ``most`` frequent words as a JSON-like object, for export."""
+    return {r.word: r.freq for r in top_words(vocabulary, most).collect()}
+
+
+def merged(vocabulary: DataFrame, words: dict[str, int]) -> DataFrame:
+    """A vocabulary into which an object of words and frequencies was imported: its frequencies replace those of the same words."""
+    other = vocabulary.sparkSession.createDataFrame(list(words.items()), "word string, freq long")
+    return vocabulary.select("word", F.col("freq").cast("long").alias("freq")).join(other, "word", "left_anti").unionByName(other)
+
+
+def vocab_stats(vocabulary: DataFrame, most: int = 20) -> DataFrame:
+    """(total, top): how many words there are, and the most frequent as structs of word and freq, ties by word."""
+    top = vocabulary.select(F.struct((-F.col("freq")).alias("m"), "word").alias("t")).orderBy("t").limit(most).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    listed = F.transform("t", lambda t: F.struct(t["word"].alias("word"), (-t["m"]).alias("freq")))
+    return vocabulary.agg(F.count(F.lit(1)).alias("total")).join(top.select(listed.alias("top")), F.lit(True), "left")  # one row each
+
+
+FEEDBACK = "query_id long, event_id long, ts timestamp, feedback string"
+
+
+def record_feedback(history: DataFrame, feedback: DataFrame, folder: str) -> None:
+    """Appends rows (query_id, event_id, ts, feedback) to the feedback kept in ``folder``; those that are neither good nor bad, or of a query that the history does not hold, are ignored."""
+    known = feedback.where(F.col("feedback").isin("good", "bad")).join(history.select("query_id").distinct(), "query_id", "left_semi")
+    known.select("query_id", "event_id", "ts", "feedback").write.mode("append").parquet(folder)
+
+
 def latest_feedback(feedback: DataFrame) -> DataFrame:
     """The last feedback on each query: (query_id, feedback, ts)."""
     last = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))
@@ -70,3 +108,9 @@ def latest_feedback(feedback: DataFrame) -> DataFrame:
 def query_stats(history: DataFrame) -> DataFrame:
     """Totals of a history (query_id, feedback)."""
     return history.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("feedback") == "good").alias("good"), F.count_if(F.col("feedback") == "bad").alias("bad"))
+
+
+def top_keywords(results: DataFrame, most: int = 20) -> DataFrame:
+    """(keyword, n) of the keywords that most results of the history matched (``keyword_matches``), ties by keyword."""
+    rows = results.select(F.explode("keyword_matches").alias("keyword"))
+    return rows.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "keyword").limit(most)

@@ -8,32 +8,44 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from skein import schema as S
 from skein.functions import text as T
+from skein.functions.state import durable
 from skein.models import ChatModel, Embedder
 from skein.operators import assist, context, diversify, rank, search, vector, vocab
 from skein.operators.index import Index, embed
 from skein.sources import config, parse, scan
 
+STATE = T_.StructType().add("project", "string").add("relative_path", "string").add("mtime_ms", "double").add("size", "long")
 _FIELDS = ("project", "file_path", "type", "name", "content", "start_line", "end_line")
 
 
 @dataclass
 class Stats:
-    """Counters of model calls: driver-side calls by ``timed``, index calls by their error column."""
+    """Counters of embedding calls, of the driver and of index builds."""
 
     calls: int = 0
     failed: int = 0
-    seconds: float = 0.0
+    attempts: int = 0
+    first: int = 0
+    ms: float = 0.0
+
+    def add(self, calls: int, failed: int, attempts: float, first: float, ms: float) -> None:
+        self.calls += calls
+        self.failed += failed
+        self.attempts += round(attempts)
+        self.first += round(first)
+        self.ms += ms
 
     def summary(self) -> dict:
-        done = self.calls - self.failed
-        return {"calls": self.calls, "failed": self.failed, "average_ms": round(1000 * self.seconds / done, 1) if done else 0.0}
+        n = self.calls - self.failed
+        return {"calls": self.calls, "failed": self.failed, "average_attempts": round(self.attempts / n, 2) if n else 0.0, "first_try_percent": round(100 * self.first / n, 1) if n else 0.0, "average_ms": round(self.ms / n, 1) if n else 0.0}
 
 
 @dataclass
@@ -62,62 +74,90 @@ class Engine:
         State is kept for files whose units were all embedded, so the others are
         tried again by the next incremental run.
         """
-        files = scan.scan(self.spark, project.path).withColumn("project", F.lit(project.id))
-        state = self.state()
-        listed = files.select("project", "relative_path", "mtime_ms", "size")
-        if incremental and state is not None:
-            mine = state.where(F.col("project") == project.id)
-            both = listed.alias("n").join(mine.alias("o"), ["project", "relative_path"], "full_outer")
+        listed = durable(scan.scan(self.spark, project.path, content=False).select(F.lit(project.id).alias("project"), "path", "relative_path", "extension", "size", "mtime_ms"))
+        keys, state = ["project", "relative_path"], self.state(project.id)
+        partial = incremental and state is not None
+        if partial:
+            both = listed.alias("n").join(state.alias("o"), keys, "full_outer")
             same = F.col("n.mtime_ms").eqNullSafe(F.col("o.mtime_ms")) & F.col("n.size").eqNullSafe(F.col("o.size"))
-            touched = both.where(~same).select("project", "relative_path")
-            chosen = files.join(touched, ["project", "relative_path"], "left_semi")
+            touched = both.where(~same).select(*keys)
+            chosen = listed.join(touched, keys, "left_semi")
         else:
-            chosen = files.orderBy("path").limit(limit) if limit else files
-            touched = chosen.select("project", "relative_path")
-        done = embed(parse.parsed(chosen), self.embedder).persist()
-        try:
-            failed = done.where("error is not null")
-            counts = {"units": done.where("error is null").count(), "failed": failed.count(), "files": chosen.count()}
-            self.stats.calls += counts["units"] + counts["failed"]
-            self.stats.failed += counts["failed"]
+            chosen = listed.orderBy("path").limit(limit) if limit else listed
+            touched = chosen.select(*keys)
+        chosen = durable(scan.with_texts(chosen)) if partial or limit else scan.with_texts(chosen)
+        done = durable(embed(parse.parsed(chosen), self.embedder))
+        failed = done.where("error is not null")
+        good = F.col("error").isNull()
+        row = done.agg(F.count_if(good).alias("units"), F.count_if(~good).alias("failed"), F.sum(F.when(good, F.col("attempts"))).alias("attempts"), F.count_if(good & (F.col("attempts") == 1)).alias("first"), F.sum(F.when(good, F.col("ms"))).alias("ms")).first()
+        counts = {"units": row.units, "failed": row.failed, "files": chosen.count()}
+        self.stats.add(row.units + row.failed, row.failed, row.attempts or 0, row.first or 0, row.ms or 0.0)
+        kept = listed.join(chosen.select(*keys), keys, "left_semi").join(failed.select(*keys).distinct(), keys, "left_anti").select(*keys, "mtime_ms", "size")
+        if partial:
             self.index.replace(done.where("error is null"), touched)
-            kept = listed.join(chosen.select("project", "relative_path"), ["project", "relative_path"], "left_semi").join(failed.select("project", "relative_path").distinct(), ["project", "relative_path"], "left_anti")
-            if state is not None:
-                rest = state.join(touched, ["project", "relative_path"], "left_anti") if incremental else state.where(F.col("project") != project.id)
-                kept = kept.unionByName(rest)
-            self._save_state(kept)
-        finally:
-            done.unpersist()
+            kept = kept.unionByName(state.join(touched, keys, "left_anti").select(*kept.columns))
+        else:
+            self.index.replace_project(project.id, done.where("error is null"))
+        self._state.replace_project(project.id, kept)
+        for stored in (self.index, self._state):
+            stored.vacuum()
         return counts
 
-    def state(self) -> DataFrame | None:
-        v = Index(self.spark, f"{self.root}/state").version()
-        return self.spark.read.schema("project string, relative_path string, mtime_ms double, size long").parquet(f"{self.root}/state/v={v}") if v else None
+    @property
+    def _state(self) -> Index:
+        return Index(self.spark, f"{self.root}/state", STATE)
 
-    def _save_state(self, rows: DataFrame) -> None:
-        keeper = Index(self.spark, f"{self.root}/state")
-        n = keeper.version() + 1
-        rows.select("project", "relative_path", "mtime_ms", "size").write.mode("overwrite").parquet(f"{self.root}/state/v={n}")
-        fs, path = keeper._fs("CURRENT")
-        stream = fs.create(path, True)
-        stream.write(bytearray(str(n).encode()))
-        stream.close()
+    def state(self, project: str | None = None) -> DataFrame | None:
+        """What the last build recorded about files, of one project or of all; None where nothing was or it cannot be read."""
+        try:
+            if project is not None and self._state._folder(project) not in self._state._manifest():
+                return None
+            return self._state.read([project] if project is not None else None)
+        except Exception:
+            return None
 
     # retrieving -----------------------------------------------------------
 
     def embedded(self, questions: list[str]) -> DataFrame:
         began = time.perf_counter()
         vectors = self.embedder.embed(questions)
-        self.stats.calls += len(questions)
-        self.stats.seconds += time.perf_counter() - began
+        attempts = list(getattr(self.embedder, "attempts", None) or [1] * len(questions))
+        self.stats.add(len(questions), 0, sum(attempts), attempts.count(1), 1000 * (time.perf_counter() - began))
         return self.spark.createDataFrame([(i, q, [float(x) for x in v]) for i, (q, v) in enumerate(zip(questions, vectors))], "query_id long, query string, vector array<float>")
 
     def search(self, questions: list[str], limit: int = 10, **filters) -> DataFrame:
         """(query_id, query, rank, score and fields of units)."""
         q, u = self.embedded(questions), self.units()
         hits = vector.search(q, u, limit, **filters).select("query_id", "id", "score", "rank")
-        fields = vector.unit_rows(u, hits, *_FIELDS, "dependencies")
-        return hits.join(fields, "id").join(q.select("query_id", "query"), "query_id").withColumn("similarity", 1 - F.col("score"))
+        rows = vector.with_fields(hits, u, *_FIELDS, "dependencies")
+        return rows.join(q.select("query_id", "query"), "query_id").withColumn("similarity", 1 - F.col("score"))
+
+    def display(self, questions: list[str], limit: int = 10, verbose: bool = False, **filters) -> DataFrame:
+        """Results as they are shown, content cut; ``verbose``: also the whole text of each file, null where it cannot be read."""
+        rows = context.shown(self.search(questions, limit, **filters))
+        return scan.with_texts(rows, "file_path", "file_text") if verbose else rows
+
+    def smart_search(self, questions: list[str], limit: int = S.DEFAULT_LIMIT, rerank: bool = True, **filters) -> list[list[dict]]:
+        """For each question results of vector and keyword recall, with expansions and keywords from the model, scored again by it if ``rerank``."""
+        asked = [assist.expand_query(self.chat_model, q) for q in questions]
+        rows = []
+        for i, (q, a) in enumerate(zip(questions, asked)):
+            texts = [q, *[x for x in a["expanded"] if x != q]]
+            vectors = self.embedder.embed(texts)
+            rows.append((i, q, [float(x) for x in vectors[0]], [(t, [float(x) for x in v]) for t, v in zip(texts[1:], vectors[1:])], [str(k) for k in a["keywords"]]))
+        q = self.spark.createDataFrame(rows, "query_id long, query string, vector array<float>, expansions array<struct<query:string,vector:array<float>>>, keywords array<string>")
+        found = search.smart_search(q, self.units(), limit, fields=_FIELDS, **filters).orderBy("query_id", "rank")
+        lists: list[list[dict]] = [[] for _ in questions]
+        for r in found.collect():  # at most ``limit`` a question
+            lists[r.query_id].append(r.asDict())
+        return [assist.model_rerank(self.chat_model, q, some, limit) if rerank and some else some for q, some in zip(questions, lists)]
+
+    def rewrite(self, question: str) -> str:
+        return assist.rewrite(self.chat_model, question)
+
+    def embedding(self, text: str) -> DataFrame:
+        """(vector, dimensions, preview) of a text."""
+        return self.embedded([text]).select("vector", *context.vector_preview("vector"))
 
     def rerank(self, questions: list[str], recall: int = 30, top: int = 10, **filters) -> DataFrame:
         return rank.rule_rerank(self.search(questions, max(1, recall), **filters), top=max(1, top)).withColumn("rank", F.col("new_rank"))
@@ -183,13 +223,12 @@ class Engine:
         bug = assist.analyze_report(self.chat_model, report)
         rounds = [(1, bug.component, 5), *((2, k, 3) for k in bug.keywords[:3]), (3, bug.symptom, 5)]
         rounds = [(n, q, k) for n, q, k in rounds if q and q != "unknown"]
-        rows = None
-        for n, question, k in rounds:
-            part = self.search([question], k).withColumn("round", F.lit(n))
-            rows = part if rows is None else rows.unionByName(part)
         found = []
-        if rows is not None:
-            first = rows.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("round", "score"))).where("n = 1")
-            found = [r.asDict() for r in first.orderBy("score", "id").limit(most).select("id", "score", "round", *_FIELDS).collect()]
+        if rounds:
+            parts = [self.search([question], k).withColumn("round", F.lit(n)) for n, question, k in rounds]
+            rows = durable(reduce(DataFrame.unionByName, parts))
+            best = assist.rounds(rows.withColumn("query_id", F.lit(0)), most)
+            fields = rows.groupBy("id").agg(*[F.max(c).alias(c) for c in _FIELDS])
+            found = [r.asDict() for r in best.join(fields, "id").orderBy("score", "id").select("id", "score", "round", *_FIELDS).collect()]
         code = assist.analyze_code(self.chat_model, bug.symptom, bug.causes, found)
         return {"bug": bug, "results": found, "code": code, "summary": assist.summary(len(found), code["suspicious"])}

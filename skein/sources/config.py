@@ -1,4 +1,4 @@
-"""The project list: one small JSON document, read and written on the driver."""
+"""The project list: one small JSON document, read and written on the driver, or a table of it."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass
 class Project:
@@ -62,6 +65,15 @@ class Config:
         return False
 
 
+def lookup(projects: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, id, name, path, indexed) of each key: the project with this id, else the first by id with this name; nulls where there is none.  Paths have slashes only."""
+    asked = keys.select("key").distinct()
+    named = projects.select("id", "name", F.regexp_replace("path", r"\\", "/").alias("path"), "indexed").where("id is not null").dropDuplicates(["id"])
+    both = named.select(F.col("id").alias("key"), F.lit(0).alias("by"), F.struct("id", "name", "path", "indexed").alias("p")).unionByName(named.where("name is not null").select(F.col("name").alias("key"), F.lit(1).alias("by"), F.struct("id", "name", "path", "indexed").alias("p")))
+    first = both.groupBy("key").agg(F.min(F.struct("by", "p")).alias("m"))
+    return asked.join(first, "key", "left").select("key", "m.p.id", "m.p.name", "m.p.path", "m.p.indexed")
+
+
 def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 

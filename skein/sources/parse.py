@@ -26,7 +26,8 @@ def parsed(files: DataFrame, granularity: str = "both") -> DataFrame:
     parts = []
     rows = files.where("content is not null").withColumn("relative_path", F.coalesce("relative_path", F.lit("")))
     if granularity in ("file", "both"):
-        meta = F.to_json(F.struct(T.extension("relative_path").alias("extension"), F.col("relative_path").alias("relativePath")))
+        size = F.col("size").cast("long") if "size" in rows.columns else F.octet_length("content").cast("long")
+        meta = F.to_json(F.struct(T.extension("relative_path").alias("extension"), size.alias("size"), F.col("relative_path").alias("relativePath")))
         parts.append(
             rows.select("project", F.col("path").alias("file_path"), "relative_path", F.lit("file").alias("type"), T.base_name("path").alias("name"), F.lit(1).alias("start_line"), F.size(F.split("content", "\n")).alias("end_line"), T.file_text("relative_path", T.extension("relative_path"), "path", "content").alias("content"), T.dependencies("content").alias("dependencies"), meta.alias("metadata"))
         )
@@ -35,10 +36,11 @@ def parsed(files: DataFrame, granularity: str = "both") -> DataFrame:
         def visit(batch):
             for project, path, relative, content in batch:
                 ext = jslex.extension(relative)
-                found = []
+                found = []  # with the text whose lines a function's are
                 props, emits, template, script = [], [], "", ""
                 for start, end, jsx in jslex.scripts(content, ext):
-                    found += functions(content[start:end], jsx, ext == ".vue")
+                    lines_of = content[start:end].split("\n")
+                    found += [(f, lines_of) for f in functions(content[start:end], jsx, ext == ".vue")]
                 if ext == ".vue":
                     blocks = jslex.vue_blocks(content)
                     texts = {k: [content[b.start : b.end] for b in blocks if b.kind == k] for k in ("template", "script")}
@@ -53,16 +55,13 @@ def parsed(files: DataFrame, granularity: str = "both") -> DataFrame:
                     lines += [f"\n组件属性 (Props): {', '.join(props)}"] if props else []
                     lines += [f"组件事件 (Emits): {', '.join(emits)}"] if emits else []
                     if found:
-                        lines += ["\n方法列表:", *(f"- {'async ' if f.is_async else ''}{f.name}({', '.join(f.params)})" for f in found)]
+                        lines += ["\n方法列表:", *(f"- {'async ' if f.is_async else ''}{f.name}({', '.join(f.params)})" for f, _ in found)]
                     lines += [f"\nTemplate:\n{template[:500]}{'...' if len(template) > 500 else ''}"] if template else []
                     lines += [f"\nScript:\n{script}"] if script else []
                     meta = json.dumps({"extension": ext, "relativePath": relative, "props": props, "emits": emits}, ensure_ascii=False)
                     yield project, path, relative, "component", name, 1, content.count("\n") + 1, False, False, "component", [], None, content, meta, "\n".join(lines)
-                for f in found:
-                    body = content.split("\n") if ext != ".vue" else None
-                    at = next(((s, e) for s, e, _ in jslex.scripts(content, ext)), (0, len(content)))
-                    body = body or content[at[0] : at[1]].split("\n")
-                    code = "\n".join(body[f.start_line - 1 : f.end_line])
+                for f, lines_of in found:
+                    code = "\n".join(lines_of[f.start_line - 1 : f.end_line])
                     meta = json.dumps({"extension": ext, "relativePath": relative, "functionType": f.type, "isAsync": f.is_async, "isExported": f.is_exported, "params": f.params}, ensure_ascii=False)
                     yield project, path, relative, "function", f.name, f.start_line, f.end_line, f.is_async, f.is_exported, f.type, f.params, None if f.is_exported or f.type == "arrow" else unmarked(f.comments), code, meta, None
 

@@ -39,14 +39,14 @@ def test_ledger_survives_failures(spark, tmp_path):
     with pytest.raises(RuntimeError):
         ledger.run("b1", listing, broken)
     assert ledger.output() is None and ledger.pending(listing).count() == 3
-    job = lambda df: df.select("relative_path", F.col("size").alias("n"))
+    job = lambda df: df.select("project", "relative_path", F.col("size").alias("n"))
     assert ledger.run("b1", listing, job) == 3
     assert ledger.run("b1", listing, job) == 0
     changed = listing.withColumn("checksum", F.when(F.col("relative_path") == "b", "z").otherwise(F.col("checksum")))
     assert [r.relative_path for r in ledger.pending(changed).collect()] == ["b"]
     assert ledger.run("b2", changed, job) == 1
     assert ledger.run("b3", changed, job) == 0
-    assert sorted(r.relative_path for r in ledger.output().collect()) == ["a", "b", "b", "c"]
+    assert sorted(r.relative_path for r in ledger.output().collect()) == ["a", "b", "c"]
 
 
 def unit(i, path, kind="function"):

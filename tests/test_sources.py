@@ -30,7 +30,7 @@ def test_stream_processes_each_record_once(spark, tmp_path):
     schema = "project string, relative_path string, size long, checksum string"
     for n in range(2):
         spark.createDataFrame([("p", "a", 1, "x"), ("p", f"b{n}", n, "y")], schema).write.mode("append").parquet(str(tmp_path / "in"))
-        follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), lambda df: df.select("relative_path"), str(tmp_path / "ck")).awaitTermination()
+        follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), lambda df: df.select("project", "relative_path"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.relative_path for r in Ledger(spark, str(tmp_path / "out")).output().collect()) == ["a", "b0", "b1"]
 
 
@@ -44,6 +44,6 @@ def test_stream_keeps_the_newest_version(spark, tmp_path):
         spark.createDataFrame(rows[n::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     for version, expected in (("mtime", {3}), (None, {2, 3})):
         out = str(tmp_path / f"out_{version}")
-        follow(spark, str(tmp_path / "in"), schema, out, lambda df: df.select("relative_path", "size"), str(tmp_path / f"ck_{version}"), version=version).awaitTermination()
+        follow(spark, str(tmp_path / "in"), schema, out, lambda df: df.select("project", "relative_path", "size"), str(tmp_path / f"ck_{version}"), version=version).awaitTermination()
         got = Ledger(spark, out).output().collect()
         assert len(got) == 20 and {r.size for r in got} == expected
