@@ -168,3 +168,8 @@ def issue_keywords(text: Column | str) -> Column:
 def lines_of(content: Column | str, first: Column, last: Column) -> Column:
     """Lines ``first`` to ``last`` of a text, counted from 1, whole; null if anything is."""
     return F.array_join(F.slice(F.split(col(content), "\n"), first, F.greatest(F.lit(0), last - first + 1)), "\n")
+
+
+def content_hash(content: Column | str) -> Column:
+    """MD5 of a text, by which changed files are told."""
+    return F.md5(col(content))

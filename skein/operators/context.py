@@ -75,5 +75,5 @@ def shown(results: DataFrame, chars: int = S.SHOWN_SEARCH) -> DataFrame:
 def vector_preview(vector: Column | str) -> list[Column]:
     """Columns dimensions and preview, the first numbers of a vector at six decimals; null for a null vector."""
     v = T.col(vector)
-    some = F.transform(F.slice(v, 1, S.SHOWN_NUMBERS), lambda x: F.format_number(x.cast("double"), "0.000000"))
+    some = F.transform(F.slice(v, 1, S.SHOWN_NUMBERS), lambda x: F.format_string("%.6f", x.cast("double")))
     return [F.when(v.isNotNull(), F.size(v)).alias("dimensions"), F.when(v.isNotNull(), F.concat(F.lit("["), F.array_join(some, ", "), F.lit("...]"))).alias("preview")]

@@ -71,3 +71,21 @@ def parsed(files: DataFrame, granularity: str = "both") -> DataFrame:
         parts.append(units.select("project", "file_path", "relative_path", "type", "name", "start_line", "end_line", text.alias("content"), deps.alias("dependencies"), "metadata"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.withColumn("id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("project", "relative_path", "type", "name", "start_line", "end_line")]), 256))
+
+
+def extracted(files: DataFrame) -> DataFrame:
+    """(file_id, name, type, params, start_line, end_line, is_async, is_exported, comments) of every function in files (file_id, relative_path, content).
+
+    Lines count in the script text: in a .vue file from the rest of the line with the script's tag.
+    """
+
+    def visit(batch):
+        for file_id, relative, content in batch:
+            ext = jslex.extension(relative)
+            content = content.removeprefix("\ufeff")
+            for start, end, jsx in jslex.scripts(content, ext):
+                for f in functions(content[start:end], jsx, ext == ".vue"):
+                    yield file_id, f.name, f.type, f.params, f.start_line, f.end_line, f.is_async, f.is_exported, unmarked(f.comments)
+
+    read = files.where("file_id is not null and content is not null").select(F.col("file_id").cast("long"), "relative_path", "content")
+    return map_rows(read, visit, "file_id long, name string, type string, params array<string>, start_line int, end_line int, is_async boolean, is_exported boolean, comments string")

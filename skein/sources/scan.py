@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skein import schema as S
@@ -112,9 +113,15 @@ def with_texts(rows: DataFrame, path: str = "path", into: str = "content") -> Da
     return rows.drop(into).mapInPandas(read, schema)
 
 
+def texts_of(results: DataFrame, files: DataFrame) -> DataFrame:
+    """Results with ``file_text``, the whole text of the file that their file_path names in a table of files (path, content); null where it is not there."""
+    texts = files.groupBy(files["path"].alias("file_path")).agg(F.max("content").alias("file_text"))
+    return results.join(texts, "file_path", "left")
+
+
 def small_files(files: DataFrame, most: int = 50, low: int = 100, high: int = 50_000) -> DataFrame:
     """The first files, by path, of a trial index: .vue and .js between the two sizes."""
     return files.where(files["extension"].isin(".vue", ".js") & (files["size"] > low) & (files["size"] < high)).orderBy("path").limit(most)
 
 
-__all__ = ["SourceFiles", "extension", "scan", "small_files", "with_texts"]
+__all__ = ["SourceFiles", "extension", "scan", "small_files", "texts_of", "with_texts"]

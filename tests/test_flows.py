@@ -39,11 +39,26 @@ def test_build_search_and_answer(spark, tmp_path, project):
     out = engine.chat("加载 login 流程")
     assert out["answer"] == GOOD and out["calls"] == 1 and 2 <= len(out["sources"]) <= 6
     assert engine.vocabulary_search("login").count() == 3
+    shown = engine.display(["load login"], 2, verbose=True).collect()
+    assert len(shown) == 2 and all(r.file_text and len(r.short_id) <= 18 for r in shown)
+    smart = Engine(spark, engine.root, HashingEmbedder(), ScriptedChat(['{"keywords": ["login"], "expandedQueries": ["load login page"]}', "[1, 9, 3]"])).smart_search(["load login"], 3)
+    assert [len(x) for x in smart] == [3] and smart[0][0]["rerank_score"] == 9
+    assert engine.embedding("a").first().dimensions == 64
     found = engine.analyze("【登录】加载失败")
     assert found["results"] and found["summary"].startswith(f"分析了 {len(found['results'])}")
     assert engine.stats.summary()["calls"] > 0
 
 
+def test_a_full_build_drops_deleted_files(spark, tmp_path, project):
+    p, code = project
+    engine = Engine(spark, str(tmp_path / "index"), HashingEmbedder())
+    engine.build(p)
+    (code / "src/order/list.js").unlink()
+    assert engine.build(p) == {"units": 4, "failed": 0, "files": 3}
+    assert engine.build(p, incremental=True)["files"] == 0
+    assert {r.relative_path for r in engine.units().collect()} == {"src/login/page.js", "src/cart/cart.ts"} and engine.state("none") is None
+
+
 def test_config(tmp_path):
     file = str(tmp_path / "c.json")
     with pytest.raises(FileNotFoundError):

@@ -99,3 +99,68 @@ def test_vocabulary(spark):
     got = {(r.query_id, r.word) for r in vocab.match_words(q, v).collect()}
     brute = {(i, w) for i, t in ((1, "the src folder"), (2, "sr")) for w in words if w.lower() in t or t in w.lower()}
     assert got == brute
+
+
+def test_filters_apply_to_keyword_results(spark):
+    rows = search.smart_search(queries(spark), units(spark), 50, projects=["p1"], file_types=[".vue"], code_types=["component"], fields=("project", "type", "file_path")).collect()
+    assert rows and all(r.project == "p1" and r.type == "component" and r.file_path.endswith(".vue") for r in rows)
+
+
+def test_many_keywords_by_an_automaton(spark):
+    few = ["login", "order", "a", "aa", "log", "5"]
+    k = spark.createDataFrame([("q", w) for w in few], "query_id string, keyword string")
+    many = k.unionByName(spark.createDataFrame([("z", f"nowhere{i}") for i in range(200)], k.schema))
+    one, two = (sorted((r.id, r.match_score, tuple(r.keyword_matches)) for r in search.keyword_scores(x, units(spark), None).collect()) for x in (k, many))
+    assert one == two and one
+
+
+def test_lookup_in_blocks(spark):
+    from skein.functions.lookup import holds
+
+    texts = spark.createDataFrame([(1, "aaa bc"), (2, ""), (3, None), (4, "bcbc")], "key int, text string")
+    pats = spark.createDataFrame([("aa",), ("bc",), ("",), (None,), ("bc",), ("x",)], "pattern string")
+    for block in (1, 100):
+        assert sorted(tuple(r) for r in holds(texts, pats, block).collect()) == [(1, "aa", 1), (1, "bc", 1), (4, "bc", 2)]
+    assert holds(texts, pats.limit(0)).count() == 0
+
+
+def test_kept_vocabulary_and_feedback(spark, tmp_path):
+    folder = str(tmp_path / "v")
+    assert vocab.load(spark, folder) is None
+    learned = {r.word: r.freq for r in vocab.learn(units(spark)).collect()}
+    assert {r.word: r.freq for r in vocab.load(spark, folder, units(spark)).collect()} == learned
+    assert {r.word: r.freq for r in vocab.load(spark, folder).collect()} == learned
+    assert vocab.to_map(vocab.load(spark, folder), 10_000) == learned
+    got = {r.word: r.freq for r in vocab.merged(vocab.load(spark, folder), {"src": 9, "new": 1}).collect()}
+    assert got == learned | {"src": 9, "new": 1}
+    assert vocab.vocab_stats(vocab.learn(units(spark)).limit(0)).first().total == 0
+    history = spark.createDataFrame([(1,), (2,)], "query_id long")
+    given = spark.createDataFrame([(1, 1, None, "good"), (1, 2, None, "so so"), (9, 3, None, "bad")], vocab.FEEDBACK)
+    for _ in range(2):
+        vocab.record_feedback(history, given, str(tmp_path / "f"))
+    assert [(r.query_id, r.feedback) for r in spark.read.parquet(str(tmp_path / "f")).collect()] == [(1, "good")] * 2
+
+
+def test_knn_of_many_units_with_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"u{i % 700:04d}", [float(x) for x in rng.normal(size=64)]) for i in range(2100)]
+    u = spark.createDataFrame(rows, "id string, vector array<float>")
+    q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=64)]) for i in range(40)], "query_id long, vector array<float>")
+    vector.CELLS, before = 4000, vector.CELLS
+    try:
+        got = {(r.query_id, r["rank"]): r.id for r in vector.knn(q, u, 7).collect()}
+    finally:
+        vector.CELLS = before
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    for r in q.collect():
+        d = np.round(((x - np.array(r.vector, dtype=np.float32).astype(float)) ** 2).sum(axis=1), 6)
+        best = {}
+        for (i, _), s in zip(rows, d):
+            best[i] = min(s, best.get(i, 9e9))
+        assert [got[r.query_id, k + 1] for k in range(7)] == [i for _, i in sorted((s, i) for i, s in best.items())[:7]]
+
+
+def test_projection_of_malformed_json(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "{", "["), (4, '["a"]', '{"k": "v", "n": 1}')], "i int, dependencies string, metadata string")
+    rows = {r.i: (r.dependencies, r.metadata) for r in vector.projected(df).collect()}
+    assert rows[1] == rows[2] == rows[3] == ([], {}) and rows[4] == (["a"], {"k": "v", "n": "1"})

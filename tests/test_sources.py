@@ -47,3 +47,26 @@ def test_stream_keeps_the_newest_version(spark, tmp_path):
         follow(spark, str(tmp_path / "in"), schema, out, lambda df: df.select("project", "relative_path", "size"), str(tmp_path / f"ck_{version}"), version=version).awaitTermination()
         got = Ledger(spark, out).output().collect()
         assert len(got) == 20 and {r.size for r in got} == expected
+
+
+def test_functions_of_a_second_script(spark):
+    vue = "<script>\nexport default { methods: { alpha() { return 1 } } }\n</script>\n<script setup>\nfunction beta() {\n  return 2\n}\n</script>"
+    rows = {r.name: r.content for r in parse.parsed(spark.createDataFrame([("p", "/r/b.vue", "b.vue", vue)], "project string, path string, relative_path string, content string"), "function").collect()}
+    assert "function beta() {\n  return 2\n}" in rows["beta"] and "alpha() { return 1 }" in rows["alpha"]
+
+
+def test_texts_of_files(spark, tmp_path):
+    (tmp_path / "a.js").write_text("let a")
+    df = spark.createDataFrame([(str(tmp_path / "a.js"),), (str(tmp_path / "none.js"),), (None,)], "path string")
+    assert {r.path and r.path[-4:]: r.content for r in scan.with_texts(df).collect()} == {"a.js": "let a", "e.js": None, None: None}
+    listed = scan.scan(spark, str(tmp_path), content=False).collect()
+    assert len(listed) == 1 and listed[0].content is None and listed[0].size == 5
+
+
+def test_project_lookup(spark):
+    from skein.sources import config
+
+    projects = spark.createDataFrame([("1", "a", "C:\\x", True), ("2", "1", "/y", False), ("3", "a", "/z", None)], "id string, name string, path string, indexed boolean")
+    keys = spark.createDataFrame([("1",), ("a",), ("none",), (None,)], "key string")
+    got = {r.key: (r.id, r.path) for r in config.lookup(projects, keys).collect()}
+    assert got == {"1": ("1", "C:/x"), "a": ("1", "C:/x"), "none": (None, None), None: (None, None)}
