@@ -97,8 +97,12 @@ def _after_condition(out: list[str], i: int) -> bool:
 _CONDITION = re.compile(r"(?<![\w$.])(?:if|while|for|with)\s*$")
 
 
-def scan(text: str, jsx: bool = False) -> tuple[str, list[Span], bool]:
-    """Masked text, spans in order of their start, and whether every literal is closed."""
+def scan(text: str, jsx: bool = False, places: list | None = None) -> tuple[str, list[Span], bool]:
+    """Masked text, spans in order of their start, and whether every literal is closed.
+
+    ``places``, if given, is filled with (position in the masked text, position
+    in the text) of every piece of code, in order.
+    """
     out: list[str] = []
     spans: list[Span] = []
     ok = True
@@ -111,6 +115,11 @@ def scan(text: str, jsx: bool = False) -> tuple[str, list[Span], bool]:
     plain, nested = (_PLAIN_JSX, _NESTED_JSX) if jsx else (_PLAIN, _NESTED)
     add = out.append
 
+    def copy(piece: str, at: int) -> None:
+        if places is not None:
+            places.append((len(out), at))
+        add(piece)
+
     def quasi(at: int, start: int, parts: list) -> tuple[int, bool]:
         """Reads template text from ``at``; the new position, and whether code of a substitution follows."""
         nonlocal ok
@@ -242,7 +251,7 @@ def scan(text: str, jsx: bool = False) -> tuple[str, list[Span], bool]:
             break
         at = m.start()
         if at > pos:
-            add(text[pos:at])
+            copy(text[pos:at], pos)
         found = m.group()
         c = found[0]
         pos = m.end()
@@ -263,7 +272,7 @@ def scan(text: str, jsx: bool = False) -> tuple[str, list[Span], bool]:
                     pos = r.end()
                     spans.append(Span("r", at, pos))
                 else:
-                    add("/")
+                    copy("/", at)
         elif c in "\"'":
             if text[pos : pos + 1] == c:
                 pos += 1
@@ -277,12 +286,12 @@ def scan(text: str, jsx: bool = False) -> tuple[str, list[Span], bool]:
             pos, _ = quasi(pos, at, [])
         elif c == "{":
             stack[-1][1] += 1
-            add("{")
+            copy("{", at)
         elif c == "}":
             top = stack[-1]
             if top[1] > 0:
                 top[1] -= 1
-                add("}")
+                copy("}", at)
             else:
                 stack.pop()
                 if top[0] == "sub":
@@ -296,9 +305,9 @@ def scan(text: str, jsx: bool = False) -> tuple[str, list[Span], bool]:
             if opened:
                 pos = children(pos)
         else:
-            add("<")
+            copy("<", at)
     if pos < n:
-        add(text[pos:])
+        copy(text[pos:], pos)
     if stack:
         ok = False
         add(BAD)
@@ -306,6 +315,11 @@ def scan(text: str, jsx: bool = False) -> tuple[str, list[Span], bool]:
             if top[0] == "sub":
                 spans.append(Span("`", top[2], n, tuple(top[3])))
     spans.sort(key=lambda s: s.start)
+    if places:
+        before = [0]
+        for piece in out:
+            before.append(before[-1] + len(piece))
+        places[:] = [(before[i], at) for i, at in places]
     return "".join(out), spans, ok
 
 
