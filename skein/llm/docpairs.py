@@ -1,9 +1,11 @@
 """Problem 3: functions with the comment that documents them.
 
-Files are parsed to function nodes, each with the comments directly before it
-(at most blank lines between); a row of ``functions`` takes its own ``comments``
-or, where they are null, those of its node in the file.  Descriptions that are
-empty, too short, or repeat the name are dropped.
+Files are parsed to syntax trees, whose function nodes come with their exact
+ranges and the comments directly before them (at most blank lines between); a
+row of ``functions`` takes its own ``comments`` or, where they are null, those of
+its node in the file.  Descriptions that are empty, too short, or repeat the name
+are dropped.  A file that no dialect accepts has no tree; there heads of
+functions are matched by a pattern instead.
 
 Nulls: a row without func_id is left out; one without name or content is
 judged by its comments alone.  Repeated rows give one result.
@@ -11,58 +13,104 @@ judged by its comments alone.  Repeated rows give one result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import jslex
 from skein.functions.rows import map_rows
-from skein.llm import prose
-from skein.sources.jsfunctions import functions as nodes_of
+from skein.llm import prose, tree
+from skein.sources.jsfunctions import functions as heads_of
 
+LEAST_WORDS, LEAST_CHARS = 6, 10
+#: What comments with a description match when taken together.
+_MAYBE = re.compile(r"(?:[^\W\d_]+[\W\d_]+){5}[^\W\d_]|(?:[㐀-鿿぀-ヿ][^㐀-鿿぀-ヿ]*){10}")
 
-def documented_nodes(files: DataFrame) -> DataFrame:
-    """(file_id, start_line, name, description) of every function node in files with a real description.
 
-    Lines count in the script text, so in a .vue file from the script's opening tag.
+def nodes(content: str, ext: str, documented: bool):
+    """(name, start, end, start_line, end_line, comments) of the function nodes of a file; lines count in the script text, in a .vue file from its opening tag.
+
+    ``documented``: only those with comments; text whose comments cannot hold a
+    description is not parsed then.
     """
+    bom = content.startswith("\ufeff")
+    text = content[1:] if bom else content
+    for a, b, jsx in jslex.scripts(text, ext):
+        part = text[a:b]
+        scan = tree.scanned(part, jsx)
+        if documented and not _MAYBE.search("\n".join(part[s.start : s.end] for s in scan[1] if s.kind in ("//", "/*"))):
+            continue
+        found = tree.functions(part, jsx, ext == ".vue", scan)
+        if found is None:
+            found = heads_of(part, jsx, ext == ".vue", documented)
+        for f in found:
+            if f.comments or not documented:
+                yield f.name, f.start + a + bom, f.end + a + bom, f.start_line, f.end_line, f.comments
+
+
+def described(comments: str | None, name: str | None) -> str | None:
+    """The description in comments, if it is one."""
+    text, words, chars = prose.description(comments, name or "")
+    return text if words >= LEAST_WORDS or chars >= LEAST_CHARS else None
+
+
+def _contents(files: DataFrame) -> DataFrame:
+    return files.where("file_id is not null and content is not null").select(F.col("file_id").cast("long"), "relative_path", "content")
+
+
+def documented_nodes(files: DataFrame) -> DataFrame:
+    """(file_id, start_line, name) of every function node with a real description."""
 
     def visit(rows):
         for file_id, path, content in rows:
-            ext = jslex.extension(path)
-            content = content.removeprefix("﻿")
-            for a, b, jsx in jslex.scripts(content, ext):
-                for f in nodes_of(content[a:b], jsx, ext == ".vue", documented=True):
-                    if f.comments:
-                        text, words, chars = prose.description(f.comments, f.name)
-                        if words >= 6 or chars >= 10:
-                            yield file_id, f.start_line, f.name, text
+            for name, _, _, line, _, comments in nodes(content, jslex.extension(path), True):
+                if described(comments, name):
+                    yield file_id, line, name
 
-    read = files.where("file_id is not null and content is not null").select(F.col("file_id").cast("long"), "relative_path", "content")
-    return map_rows(read, visit, "file_id long, start_line int, name string, description string").groupBy("file_id", "start_line", "name").agg(F.max("description").alias("description"))
+    return map_rows(_contents(files), visit, "file_id long, start_line int, name string").distinct()
 
 
-def described(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """(func_id, description) of every function that has a real description; func_id may repeat as in the rows."""
+def found(functions: DataFrame, files: DataFrame) -> DataFrame:
+    """func_id of every function with a real description; only keys are shuffled."""
 
     def own(rows):
         for func_id, name, comments in rows:
-            text, words, chars = prose.description(comments, name or "")
-            if words >= 6 or chars >= 10:
-                yield func_id, text
+            if described(comments, name):
+                yield (func_id,)
 
     rows = functions.where("func_id is not null")
-    with_own = map_rows(rows.where("comments is not null").select(F.col("func_id").cast("long"), "name", "comments"), own, "func_id long, description string")
+    with_own = map_rows(rows.where("comments is not null").select(F.col("func_id").cast("long"), "name", "comments"), own, "func_id long")
     without = rows.where("comments is null").select(F.col("func_id").cast("long"), F.col("file_id").cast("long"), F.col("start_line").cast("int"), "name")
-    from_file = without.join(documented_nodes(files), ["file_id", "start_line", "name"]).select("func_id", "description")
-    return with_own.unionByName(from_file)
+    from_file = without.join(documented_nodes(files), ["file_id", "start_line", "name"]).select("func_id")
+    return with_own.unionByName(from_file).distinct()
 
 
-def found(functions: DataFrame, files: DataFrame) -> DataFrame:
-    return described(functions, files).select("func_id").distinct()
+def pairs(functions: DataFrame, files: DataFrame) -> DataFrame:
+    """(func_id, name, description, code, start_line, end_line, first_char, end_char) of each documented function, once.
 
+    code is the text of its node, whose characters in the file are counted from
+    0; a function whose file does not hold its node has the content of its row
+    and no characters.
+    """
 
-def pairs(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """func_id, name, description and code of each documented function, once."""
-    text = described(functions, files).groupBy("func_id").agg(F.max("description").alias("description"))
-    code = functions.where("func_id is not null").select(F.col("func_id").cast("long"), "name", F.col("content").alias("code"))
-    return code.join(text, "func_id").groupBy("func_id").agg(F.max("name").alias("name"), F.max("description").alias("description"), F.max("code").alias("code"))
+    def visit(rows):
+        for file_id, path, content in rows:
+            for name, start, end, line, last, comments in nodes(content, jslex.extension(path), False):
+                yield file_id, line, name, last, start, end, described(comments, name), content[start:end]
+
+    def own(rows):
+        for func_id, name, comments in rows:
+            text = described(comments, name)
+            if text:
+                yield func_id, text
+
+    keys = ["file_id", "start_line", "name"]
+    node = map_rows(_contents(files), visit, "file_id long, start_line int, name string, last int, first_char int, end_char int, said string, node string")
+    node = node.groupBy(*keys).agg(F.min(F.struct("first_char", "end_char", "last", "said", "node")).alias("node"))
+    rows = functions.where("func_id is not null").select(F.col("func_id").cast("long"), F.col("file_id").cast("long"), F.col("start_line").cast("int"), F.col("end_line").cast("int"), "name", "content", "comments")
+    own_text = map_rows(rows.where("comments is not null").select("func_id", "name", "comments"), own, "func_id long, own string").groupBy("func_id").agg(F.max("own").alias("own"))
+    both = rows.join(node, keys, "left").join(own_text, "func_id", "left")
+    text = F.when(F.col("comments").isNotNull(), F.col("own")).otherwise(F.col("node.said"))
+    out = both.select("func_id", "name", text.alias("description"), F.coalesce("node.node", "content").alias("code"), "start_line", F.coalesce("end_line", "node.last").alias("end_line"), "node.first_char", "node.end_char")
+    return out.where("description is not null").groupBy("func_id").agg(F.min(F.struct(*out.columns[1:])).alias("p")).select("func_id", "p.*")

@@ -13,6 +13,7 @@ still accept what was read, and alternatives narrow that set.
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from skein.functions import jslex
 
@@ -66,13 +67,16 @@ class _Codes(dict):
 _FIXED = {t: CODE[t] for t in (*RESERVED, *CONTEXTUAL, *PUNCT)} | {t: OPEN_AT + k for t, k in OPEN.items()} | {t: CLOSE_AT + k for t, k in CLOSE.items()} | {'""': STR, jslex.REGEX: RX, jslex.BAD: BAD}
 _codes = _Codes(_FIXED)
 
-# One line an alternative. Marks before it: !ts only typed, !js only untyped, !script, !module, !top, !fn, !async, !gen.
+# One line a nonterminal, alternatives between bars. Marks before one: !ts only typed, !js only untyped, !script, !strict, !top, !fn, !async, !gen.
 # Groups: {X} (X) [X] `X` <X> (an element), $X$ a substitution, %X% a container; after a slash the context of a body.
+# Conditions: asi, more, NoDecl, NoBrace, Fat and Colon (what follows the group ahead), Fat2, Colon2 (after a word), Eq, Assignable and NoUnary (what stands before).
 GRAMMAR = r"""
 File: SL
-SL: | Stmt SL
-Stmt: {SL} | ; | Decl | NoDecl Expr asi | If | Loop | Jump | Try | 'switch ( Expr ) { Cases }' | Label : Stmt | !script with (Expr) Stmt | debugger asi | !top Import | !top Export | TsDecl
-If: if (Expr) Stmt | if (Expr) Stmt else Stmt
+SL: | Item SL
+Item: Stmt | Decl | TsDecl | !top Import | !top Export
+Stmt: {SL} | ; | NoDecl Expr asi | If | Loop | Jump | Try | 'switch ( Expr ) { Cases }' | Label : Branch | !script with (Expr) Stmt | debugger asi
+Branch: Stmt | !script Func
+If: if (Expr) Branch | if (Expr) Branch else Branch
 Loop: for (ForHead) Stmt | !async for await (ForHead) Stmt | while (Expr) Stmt | do Stmt while (Expr) semi
 Jump: !fn return asi | !fn return Expr asi | throw Expr asi | break asi | continue asi | break Id asi | continue Id asi
 Try: try {SL} catch Catch | try {SL} finally {SL} | try {SL} catch Catch finally {SL}
@@ -92,7 +96,7 @@ ObjPat: | ObjPatOne | ObjPatOne , ObjPat
 ObjPatOne: Id | Id = Asg | PropName : Elem | ... Target
 Elem: Target | Target = Asg
 ArrPat: | Elem | ... Target | Elem , ArrPat | , ArrPat
-ForHead: ForInit ; ExprOpt ; ExprOpt | VarWord Target of Asg | VarWord Target in Expr | Postfix of Asg | !script var Id = Asg in Expr
+ForHead: ForInit ; ExprOpt ; ExprOpt | VarWord Target of Asg | VarWord Target in Expr | Lhs of Asg | Lhs in Expr | AsgPattern of Asg | AsgPattern in Expr | !script var Id = Asg in Expr
 ForInit: | Expr | const Consts | let Lets | var Lets
 VarWord: const | let | var
 ExprOpt: | Expr
@@ -107,11 +111,15 @@ Class: class Id ClassRest | !ts abstract class Id ClassRest
 ClassRest: Heritage {ClassBody} | !ts TypeParams Heritage {ClassBody}
 Heritage: | extends Postfix | !ts extends Postfix TypeArgs | !ts implements Types | !ts extends Postfix implements Types | !ts extends Postfix TypeArgs implements Types
 ClassBody: | ; ClassBody | Member ClassBody | Decorators Member ClassBody
-Member: Mods PropName Method | Mods async PropName MethodA | Mods async * PropName MethodA | Mods * PropName MethodG | Mods Accessor PropName Method | Mods PropName asi | Mods PropName = Asg asi | static {SL} | !ts Mods PropName OptMark asi | !ts Mods PropName OptMark = Asg asi | !ts Mods PropName OptMark TypeAnn asi | !ts Mods PropName OptMark TypeAnn = Asg asi | !ts Mods [IndexSig] TypeAnn asi | !ts Mods PropName ? Method
+Member: Mods PropName Method | Mods async PropName MethodA | Mods async * PropName MethodA | Mods * PropName MethodG | Mods get PropName GetM | Mods set PropName SetM | Mods PropName asi | Mods PropName = Asg asi | static {SL} | !ts Mods PropName OptMark asi | !ts Mods PropName OptMark = Asg asi | !ts Mods PropName OptMark TypeAnn asi | !ts Mods PropName OptMark TypeAnn = Asg asi | !ts Mods [IndexSig] TypeAnn asi | !ts Mods PropName ? Method
 OptMark: | ? | !
 Mods: | static Mods | !ts TsMod Mods
 TsMod: public | private | protected | readonly | abstract | override | declare | accessor
 Accessor: get | set
+GetM: (None) {SL/F} | !ts (None) RetType {SL/F} | !ts (None) asi | !ts (None) RetType asi
+SetM: (One) {SL/F} | !ts (One) asi
+None: | !ts this TypeAnn
+One: Param | Param ,
 Method: Sig {SL/F} | !ts Sig asi
 MethodA: Sig {SL/FAG} | !ts Sig asi
 MethodG: Sig {SL/FG}
@@ -129,11 +137,21 @@ Dotted: Id | Id . Dotted
 EnumBody: | EnumOne | EnumOne , EnumBody
 EnumOne: PropName | PropName = Asg
 Expr: Asg | Asg , Expr
-Asg: Unary BinT | Arrow | !gen yield | !gen yield Asg | !gen yield * Asg
-BinT: | BinOp Unary BinT | ? Asg : Asg | AsgOp Asg | !ts as Type BinT | !ts satisfies Type BinT | BinOp Arrow
-BinOp: + | - | * | / | % | ** | == | != | === | !== | < | > | <= | >= | > > | > > > | << | & | '|' | ^ | && | '||' | ?? | in | instanceof
+Asg: Unary BinT | Postfix Assignable AsgOp Asg | Eq AsgPattern = Asg | Arrow | !gen yield | !gen yield Asg | !gen yield * Asg
+BinT: | BinOp Unary BinT | NoUnary ** Unary BinT | OrOp Unary OrT | ?? Unary CoT | Choice | !ts as Type BinT | !ts satisfies Type BinT
+OrT: | BinOp Unary OrT | NoUnary ** Unary OrT | OrOp Unary OrT | Choice | !ts as Type OrT | !ts satisfies Type OrT
+CoT: | BinOp Unary CoT | NoUnary ** Unary CoT | ?? Unary CoT | Choice | !ts as Type CoT | !ts satisfies Type CoT
+Choice: ? Asg : Asg
+OrOp: '||' | &&
+BinOp: + | - | * | / | % | == | != | === | !== | < | > | <= | >= | > > | > > > | << | & | '|' | ^ | in | instanceof
+Lhs: Postfix Assignable
+AsgPattern: {AObj} | [AArr]
+AObj: | AObjOne | AObjOne , AObj
+AObjOne: Id | Id = Asg | PropName : AElem | ... Lhs
+AElem: Lhs | Lhs = Asg | AsgPattern | AsgPattern = Asg
+AArr: | AElem | ... Lhs | ... AsgPattern | AElem , AArr | , AArr
 AsgOp: = | += | -= | *= | /= | %= | **= | <<= | > >= | > > >= | &= | '|=' | ^= | &&= | '||=' | ??=
-Unary: Postfix | Postfix ++ | Postfix -- | UnOp Unary | !async await Unary | !ts < Type > Unary
+Unary: Postfix | #id in Unary | Postfix ++ | Postfix -- | UnOp Unary | !async await Unary | !ts < Type > Unary
 UnOp: ! | ~ | + | - | ++ | -- | typeof | void | delete
 Postfix: Primary Suf
 Suf: | . Member1 Suf | ?. Member1 Suf | ?. Call Suf | ?. [Expr] Suf | Call Suf | [Expr] Suf | `Tpl` Suf | !ts ! Suf | !ts TypeArgs Call Suf | !ts TypeArgs `Tpl` Suf
@@ -141,14 +159,14 @@ Member1: Name | #id
 Call: (Args)
 Args: | Arg | Arg , Args
 Arg: Asg | ... Asg
-Primary: Id | Literal | [ArrLit] | {ObjLit} | (Expr) | FuncExpr | class ClassRest | Class | New | import (Args) | !strict import . meta | <Elem1> | super | this | #id in Unary | Decorators class ClassRest
+Primary: Id | Literal | [ArrLit] | {ObjLit} | (Expr) | FuncExpr | class ClassRest | Class | New | import (Args) | !strict import . meta | <Elem1> | super | this | Decorators class ClassRest
 Literal: num | str | regex | null | true | false | `Tpl` | !script oct
 New: new Primary NewSuf | new . target | !ts new Primary NewSuf TypeArgs
 NewSuf: | . Member1 NewSuf | [Expr] NewSuf
 ArrLit: | Arg | Arg , ArrLit | , ArrLit
 ObjLit: | Prop | Prop , ObjLit
-Prop: Id | Id = Asg | PropName : Asg | PropName Method | async PropName MethodA | async * PropName MethodA | * PropName MethodG | Accessor PropName Method | ... Asg
-Arrow: Id => Body | async Id => BodyA | (Params) => Body | async (Params) => BodyA | !ts (Params) RetType => Body | !ts TypeParams (Params) => Body | !ts TypeParams (Params) RetType => Body | !ts async (Params) RetType => BodyA | !ts async TypeParams (Params) => BodyA | !ts async TypeParams (Params) RetType => BodyA
+Prop: Id | PropName : Asg | PropName Method | async PropName MethodA | async * PropName MethodA | * PropName MethodG | get PropName GetM | set PropName SetM | ... Asg
+Arrow: Id => Body | async Id => BodyA | Fat (Params) => Body | Fat2 async (Params) => BodyA | !ts Colon (Params) RetType => Body | !ts TypeParams (Params) => Body | !ts TypeParams (Params) RetType => Body | !ts Colon2 async (Params) RetType => BodyA | !ts async TypeParams (Params) => BodyA | !ts async TypeParams (Params) RetType => BodyA
 Body: {SL/F} | NoBrace Asg
 BodyA: {SL/FA} | NoBrace Asg
 Tpl: | $Expr$ Tpl
@@ -191,6 +209,9 @@ _GROUPS = {"{": (1, "}"), "(": (2, ")"), "[": (3, "]"), "`": (4, "`"), "$": (5,
 _CONTEXTS = {"F": FUNC, "A": ASYNC, "G": GEN, "T": TOP}
 #: Content in which line ends part statements or members.
 _LINES = {"SL", "ClassBody", "Cases", "TypeBody", "File"}
+#: Content that is a list of one nonterminal parted by commas.
+_LISTS = {"ArrLit": "Arg", "Args": "Arg", "ObjLit": "Prop"}
+_CONDITIONS = frozenset(("asi", "more", "NoDecl", "NoBrace", "Fat", "Colon", "Fat2", "Colon2", "Eq", "Assignable", "NoUnary"))
 
 
 class Grammar:
@@ -222,7 +243,7 @@ class Grammar:
                         self.slots.append((TERM, frozenset(names)))
                     elif s == "Word":
                         self.slots.append((TERM, frozenset(words)))
-                    elif s in ("asi", "more", "NoDecl", "NoBrace"):
+                    elif s in _CONDITIONS:
                         self.slots.append((PRED, s))
                     elif len(s) > 1 and s[0] in _GROUPS and s[-1] == _GROUPS[s[0]][1] and s[1:-1].split("/")[0] in rules:
                         inner, _, context = s[1:-1].partition("/")
@@ -263,6 +284,7 @@ class Grammar:
                         changed = True
 
 
+        self._follow()
         self.select: dict[str, dict[int, list]] = {}
         self.empty: dict[str, list] = {}
         for name, alts in self.alts.items():
@@ -276,6 +298,45 @@ class Grammar:
             for c in set().union(*(f[1] for f in firsts)):
                 self.select[name][c] = [alt for alt, codes, empty in firsts if c in codes or empty]
 
+    def _follow(self) -> None:
+        """What can stand after each nonterminal: codes, and whether an end of a statement without a semicolon can (``loose``)."""
+        self.follow: dict[str, set] = {name: set() for name in self.alts}
+        self.loose: set[str] = set()
+        changed = True
+        while changed:
+            changed = False
+            for name, alts in self.alts.items():
+                for slot, _, _ in alts:
+                    while (s := self.slots[slot])[0] != END:
+                        slot += 1
+                        if s[0] != NONTERM:
+                            continue
+                        codes, empty, loose = self._after(slot)
+                        if empty:
+                            codes = codes | self.follow[name]
+                            loose = loose or name in self.loose
+                        if not codes <= self.follow[s[1]] or loose and s[1] not in self.loose:
+                            self.follow[s[1]] |= codes
+                            if loose:
+                                self.loose.add(s[1])
+                            changed = True
+
+    def _after(self, slot: int) -> tuple[set, bool, bool]:
+        """As ``_first_of`` up to an end of a statement, and whether one can come first: what stands behind it needs a line end or a semicolon."""
+        codes: set = set()
+        while True:
+            s = self.slots[slot]
+            if s[0] == PRED and s[1] == "asi":
+                return codes | {_SEMI_CODE}, False, True
+            if s[0] in (TERM, GROUP, END):
+                more, empty = self._first_of(slot)
+                return codes | more, empty, False
+            if s[0] == NONTERM:
+                codes |= self.first[s[1]]
+                if s[1] not in self.nullable:
+                    return codes, False, False
+            slot += 1
+
     def _first_of(self, slot: int) -> tuple[set, bool]:
         """Codes that the symbols from a slot on can begin with, and whether they can be empty."""
         codes: set = set()
@@ -321,7 +382,8 @@ class Recogniser:
         self.kinds: list[int] = []
         self.memo: dict[tuple, int] = {}
         self.chunks: dict[tuple, int] = {}
-        self.plain: dict[int, tuple] = {}
+        self.trees: dict[tuple, list | None] = {}
+        self.shapes: dict[tuple, list] = {}
 
     def tree(self, masked: str) -> tuple | None:
         """Codes of the top level; None if brackets do not match or there is a bad token."""
@@ -372,55 +434,80 @@ class Recogniser:
 
     def whole(self, name: str, codes: tuple, context: int) -> int:
         if name not in _LINES:
-            return self.run(name, [c for c in codes if c != NL], None, context, 7)
+            codes = tuple(c for c in codes if c != NL) if NL in codes else codes
+            if name in _LISTS and _COMMA in codes:
+                found = self.by_commas(name, codes, context)
+                if found == 7 or found & self.wanted or _LESS not in codes:  # commas within type arguments part nothing
+                    return found
+            return self.run(name, codes, None, context, 7)
         if name in ("SL", "File"):
             found = self.by_lines(codes, context)
             if found == 7 or found & self.wanted or NL not in codes:
                 return found
-        toks, breaks = [], set()
-        for c in codes:
-            if c == NL:
-                breaks.add(len(toks))
-            else:
-                toks.append(c)
-        return self.run(name, toks, breaks, context, 7)
+        return self.run(name, *_broken(codes), context, 7)
+
+    def by_commas(self, name: str, codes: tuple, context: int) -> int:
+        """As ``whole`` for a list, each part read by itself, so a list takes time in proportion to its length."""
+        found, item = 7, _LISTS[name]
+        parts = list(_parted(codes))
+        for k, (a, b) in enumerate(parts):
+            if a == b:
+                if name != "ArrLit" and k < len(parts) - 1:
+                    return 0
+                continue
+            found &= self.chunk(item, codes[a:b], context)
+            if not found:
+                return 0
+        return found
+
+    def chunk(self, name: str, part: tuple, context: int) -> int:
+        key = (name, context, *part)
+        got = self.chunks.get(key)
+        if got is None:
+            got = self.chunks[key] = self.run(name, part, None, context, 7)
+        return got
 
     def by_lines(self, codes: tuple, context: int) -> int:
         """As ``whole`` for statements, read by lines and semicolons; a part that is no statement by itself gives 0."""
         found = 7
+        for part, _ in self.statements(codes):
+            found &= self.chunk("SL", part, context)
+            if not found:
+                return 0
+        return found
+
+    def statements(self, codes: tuple) -> list[tuple[tuple, list[int]]]:
+        """Runs of whole statements, as lines and semicolons show them, with the places of their tokens."""
         parts: list[list[int]] = []
         line: list[int] = []
-        for c in (*codes, NL):
+        for i, c in enumerate((*codes, NL)):
             if c != NL:
-                line.append(c)
+                line.append(i)
                 if c != _SEMI:
                     continue
             if line:
-                first = line[0]
-                if parts and (first in _GOES_ON or parts[-1][-1] in _OPEN_END or first >= BASE and self.kinds[first - BASE] in (2, 3, 4) and parts[-1][-1] != _SEMI):
+                first, before = codes[line[0]], codes[parts[-1][-1]] if parts else _SEMI
+                if parts and (first in _GOES_ON or before in _OPEN_END or first >= BASE and self.kinds[first - BASE] in (2, 3, 4) and before != _SEMI):
                     parts[-1].extend(line)
                 else:
                     parts.append(line)
                 line = []
-        for part in parts:
-            key = (context, *part)
-            got = self.chunks.get(key)
-            if got is None:
-                got = self.chunks[key] = self.run("SL", part, None, context, 7)
-            found &= got
-            if not found:
-                return 0
-        return found
+        return [(tuple(codes[i] for i in p), p) for p in parts]
+
+    def run(self, start: str, toks, breaks: set | None, context: int, dialects: int, nodes: dict | None = None) -> int:
+        """Dialects in which all of ``toks`` derives from ``start``.
 
-    def run(self, start: str, toks: list[int], breaks: set | None, context: int, dialects: int) -> int:
-        """Dialects in which all of ``toks`` derives from ``start``."""
+        ``nodes``, if given, is filled with the graph-structured stack: for each
+        (nonterminal, position, dialects) where it ends.  A nonterminal ends only
+        where something follows that can follow it.
+        """
         g, slots, kinds = self.g, self.g.slots, self.kinds
         n = len(toks)
         asyncs = n and _ASYNC in toks
         if asyncs:
             context |= ASYNC
-        nodes: dict[tuple, tuple[list, dict]] = {}
-        root: tuple[list, dict] = ([], {})
+        nodes = {} if nodes is None else nodes
+        root: tuple[list, dict, str] = ([], {}, "")
         work: list[tuple] = []
         result = 0
 
@@ -428,7 +515,7 @@ class Recogniser:
             key = (name, i, mask)
             node = nodes.get(key)
             if node is None:
-                node = nodes[key] = ([back], {})
+                node = nodes[key] = ([back], {}, name)
                 if i < n:
                     c = toks[i]
                     alts = g.select[name].get(c if c < BASE else -kinds[c - BASE])
@@ -490,20 +577,19 @@ class Recogniser:
                             continue
                     break
                 if kind == PRED:
-                    what = s[1]
-                    if what == "asi":
+                    if s[1] == "asi":
                         if i < n and toks[i] == _SEMI:
                             i += 1
                         elif not (i == n or breaks is not None and i in breaks):
                             break
-                    elif what == "NoBrace":
-                        if i < n and toks[i] >= BASE and kinds[toks[i] - BASE] == 1:
-                            break
-                    elif what == "NoDecl":
-                        if i < n and (toks[i] in _DECL_FIRST or toks[i] >= BASE and kinds[toks[i] - BASE] == 1):
-                            break
+                    elif not self.holds(s[1], toks, i, n):
+                        break
                     slot += 1
                     continue
+                if i < n:
+                    c = toks[i]
+                    if (c if c < BASE else -kinds[c - BASE]) not in g.follow[node[2]] and not (node[2] in g.loose and (c == _SEMI or breaks is not None and i in breaks)):
+                        break
                 end = (i, mask)
                 if end not in node[1]:
                     node[1][end] = 1
@@ -515,6 +601,101 @@ class Recogniser:
                 break
         return result
 
+    def holds(self, what: str, toks, i: int, n: int) -> bool:
+        """A condition on the tokens around ``i``."""
+        if what in _AHEAD:
+            step, code = _AHEAD[what]
+            return i + step < n and toks[i + step] == code
+        if what == "NoBrace" or what == "NoDecl":
+            return not (i < n and (toks[i] >= BASE and self.kinds[toks[i] - BASE] == 1 or what == "NoDecl" and toks[i] in _DECL_FIRST))
+        if what == "Assignable":
+            return self.assignable(toks, i - 1)
+        if what == "NoUnary" and toks[i : i + 1] and toks[i] == _POWER:
+            at = self.operand_start(toks, i - 1)
+            if at > 0 and (toks[at - 1] in _UNARY or toks[at - 1] in _SIGNS and (at < 2 or not self.ends_operand(toks, at - 2))):
+                return False
+        return True
+
+    def ends_operand(self, toks, i: int) -> bool:
+        """Whether an operand can end at the token, as far as it and the one before show."""
+        if i < 0:
+            return False
+        c = toks[i]
+        if c >= BASE:
+            return self.kinds[c - BASE] != 1 or i > 0 and toks[i - 1] >= BASE
+        return c in _OPERAND or c in _WORDS and i > 0 and toks[i - 1] in _DOTS
+
+    def operand_start(self, toks, i: int) -> int:
+        """Where the operand with all its members, calls and indexes that ends at the token begins."""
+        while i > 0:
+            c, before = toks[i], toks[i - 1]
+            if before in _DOTS:
+                i -= 2
+            elif c >= BASE and self.kinds[c - BASE] in (2, 3, 4) and self.ends_operand(toks, i - 1) or c in _UPDATES:
+                i -= 1
+            else:
+                break
+        return max(i, 0)
+
+    def assignable(self, toks, i: int) -> bool:
+        """Whether a value can be assigned to the operand that ends at the token: a name, a member, or one in parentheses."""
+        if i < 0:
+            return False
+        c = toks[i]
+        if c >= BASE:
+            kind = self.kinds[c - BASE]
+            if kind == 3:
+                return self.ends_operand(toks, i - 1) or i > 0 and toks[i - 1] == _CHAIN
+            return kind == 2 and not (self.ends_operand(toks, i - 1) or i > 0 and toks[i - 1] == _MORE)
+        return c in _ASSIGNED or c == PRIVATE or c == _BANG or c in _WORDS and i > 0 and toks[i - 1] in _DOTS
+
+    # syntax trees ---------------------------------------------------------
+
+    def syntax(self, name: str, codes: tuple, context: int) -> list[tuple[int, ...]] | None:
+        """Nodes of the syntax tree of a bracket group's content, or of a file; None if it does not derive from ``name``.
+
+        Positions count tokens of ``codes``, line ends included.
+        """
+        key = (name, context, *codes)
+        if key in self.trees:
+            return self.trees[key]
+        if len(self.trees) > self.bound:
+            self.trees.clear()
+        found = self.trees[key] = self._syntax(name, codes, context)
+        return found
+
+    def _syntax(self, name: str, codes: tuple, context: int):
+        if not self.whole(name, codes, context):
+            return None
+        if name in ("SL", "File") and self.by_lines(codes, context):
+            found = []
+            for part, places in self.statements(codes):
+                found += [_moved(t, places, part) for t in self._tree("SL", part, None, context)]
+            return found
+        places = [i for i, c in enumerate(codes) if c != NL]
+        toks, breaks = _broken(codes)
+        if name in _LISTS and self.by_commas(name, toks, context):
+            found = []
+            for a, b in _parted(toks):
+                if a < b:
+                    found += [_moved(t, places[a:b], toks[a:b]) for t in self._tree(_LISTS[name], toks[a:b], None, context)]
+            return found
+        return [_moved(t, places, toks) for t in self._tree(name, toks, breaks if name in _LINES else None, context)]
+
+    def _tree(self, start: str, toks: tuple, breaks: set | None, context: int) -> list:
+        """Nodes of one derivation of all of ``toks``; equal runs of tokens share them."""
+        key = (start, context, *toks) if breaks is None or not breaks else None
+        if key is not None and key in self.shapes:
+            return self.shapes[key]
+        nodes: dict = {}
+        self.run(start, toks, breaks, context, 7, nodes)
+        found = _Derivation(self, toks, breaks, context | (ASYNC if _ASYNC in toks else 0), nodes).of(start)
+        if key is not None:
+            if len(self.shapes) > self.bound:
+                self.shapes.clear()
+            self.shapes[key] = found
+        return found
+
     def accepts(self, text: str, dialects: int, jsx: bool) -> int:
         """Those of ``dialects`` in which the whole text is valid."""
         if len(self.kinds) > self.bound or len(self.chunks) > self.bound:
@@ -534,4 +715,141 @@ class Recogniser:
         return self.whole("File", top, TOP | OUTSIDE) & dialects
 
 
+_AHEAD = {"Fat": (1, CODE["=>"]), "Fat2": (2, CODE["=>"]), "Colon": (1, CODE[":"]), "Colon2": (2, CODE[":"]), "Eq": (1, CODE["="])}
+_COMMA, _LESS, _MORE, _POWER, _BANG, _CHAIN = (CODE[x] for x in (",", "<", ">", "**", "!", "?."))
+_DOTS = frozenset((CODE["."], CODE["?."]))
+_WORDS = frozenset(CODE[x] for x in RESERVED)
+_ASSIGNED = frozenset((ID, *(CODE[x] for x in CONTEXTUAL)))
+_OPERAND = _ASSIGNED | {NUM, STR, RX, PRIVATE, OCTAL, *(CODE[x] for x in ("this", "super", "null", "true", "false"))} - {CODE[x] for x in ("await", "yield", "of", "keyof", "as")}
+_UNARY = frozenset(CODE[x] for x in ("!", "~", "typeof", "void", "delete", "await"))
+_SIGNS, _UPDATES = frozenset((CODE["+"], CODE["-"])), frozenset((CODE["++"], CODE["--"]))
+#: Nonterminals that are nodes of the syntax tree; the others give their children to the node around.
+NODES = frozenset(("Func", "FuncExpr", "Arrow", "Member", "Prop", "ConstOne", "LetOne", "Decl", "Export", "Class", "ClassRest", "TsDecl", "DeclareOne", "Decorators"))
+
+
+def _broken(codes: tuple) -> tuple[tuple, set]:
+    """Tokens without line ends, and the positions before which lines end."""
+    toks, breaks = [], set()
+    for c in codes:
+        if c == NL:
+            breaks.add(len(toks))
+        else:
+            toks.append(c)
+    return tuple(toks), breaks
+
+
+def _parted(codes: tuple):
+    """Ranges between commas."""
+    at = 0
+    for i, c in enumerate(codes):
+        if c == _COMMA:
+            yield at, i
+            at = i + 1
+    yield at, len(codes)
+
+
+class Node(NamedTuple):
+    """A node of the syntax tree: its nonterminal, its first and last token, its children, and for a bracket group (``name`` is the nonterminal of its content) the context of its content."""
+
+    name: str
+    first: int
+    last: int
+    children: tuple = ()
+    context: int = -1
+
+
+def _moved(node: Node, places: list[int], toks) -> Node:
+    """The node with its positions among all tokens of the content."""
+    return Node(node.name, places[node.first], places[node.last], tuple(_moved(c, places, toks) for c in node.children), node.context)
+
+
+class _Derivation:
+    """One derivation read off the graph that the recogniser left, dialects narrowing as they did there."""
+
+    def __init__(self, recogniser: Recogniser, toks: tuple, breaks: set | None, context: int, nodes: dict):
+        self.r, self.toks, self.breaks, self.context, self.nodes = recogniser, toks, breaks, context, nodes
+        self.failed: set = set()
+
+    def of(self, start: str) -> list[Node]:
+        found = self.part(start, 0, len(self.toks), 7, 0)
+        return found[0] if found else []
+
+    def part(self, name: str, i: int, j: int, mask: int, want: int):
+        """(nodes, dialects) of ``name`` over tokens i to j, leaving the dialects ``want`` if that is not 0; None if there is no such derivation."""
+        key = (name, i, j, mask, want)
+        if key in self.failed:
+            return None
+        g = self.r.g
+        if i < len(self.toks):
+            alts = g.select[name].get(self.code(i), g.empty[name])
+        else:
+            alts = g.empty[name]
+        for slot, d, need in alts:
+            m = mask & d
+            if need == ASYNC and self.context & OUTSIDE and not self.context & ASYNC:
+                m &= MODULE | TYPED
+            elif need & self.context != need:
+                continue
+            if m:
+                got = self.rest(slot, i, j, m, want)
+                if got is not None:
+                    children, left = got
+                    return ([Node(name, i, j - 1, tuple(children))], left) if name in NODES and j > i else (children, left)
+        self.failed.add(key)
+        return None
+
+    def code(self, i: int) -> int:
+        c = self.toks[i]
+        return c if c < BASE else -self.r.kinds[c - BASE]
+
+    def rest(self, slot: int, i: int, j: int, mask: int, want: int):
+        """As ``part`` for the symbols from a slot on."""
+        r, toks, found = self.r, self.toks, []
+        while True:
+            s = r.g.slots[slot]
+            kind = s[0]
+            if kind == END:
+                return (found, mask) if i == j and (not want or mask == want) else None
+            if kind == PRED:
+                if s[1] == "asi":
+                    if i < j and toks[i] == _SEMI:
+                        i += 1
+                    elif not (i == len(toks) or self.breaks is not None and i in self.breaks):
+                        return None
+                elif not r.holds(s[1], toks, i, len(toks)):
+                    return None
+            elif kind == TERM:
+                if i >= j or toks[i] not in s[1]:
+                    return None
+                i += 1
+            elif kind == GROUP:
+                if i >= j or self.code(i) != -s[1]:
+                    return None
+                inner = s[3] if s[3] else self.context & ~TOP
+                mask &= r.derives(s[2], toks[i], inner)
+                if not mask:
+                    return None
+                found.append(Node(s[2], i, i, (), inner))
+                i += 1
+            else:
+                name = s[1]
+                if name in r.g.nullable and (i >= len(toks) or self.code(i) not in r.g.first[name]):
+                    slot += 1
+                    continue
+                node = self.nodes.get((name, i, mask))
+                if node is None:
+                    return None
+                for end, m in sorted(node[1], reverse=True):
+                    if end > j:
+                        continue
+                    after = self.rest(slot + 1, end, j, m, want)
+                    if after is None:
+                        continue
+                    here = self.part(name, i, end, mask, m)
+                    if here is not None:
+                        return found + here[0] + after[0], after[1]
+                return None
+            slot += 1
+
+
 _HTML_COMMENT = re.compile(r"<!--[^\n\r]*|^[ \t]*-->[^\n\r]*", re.M)

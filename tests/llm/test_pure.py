@@ -180,3 +180,50 @@ def test_arrow_functions_with_types_over_lines():
     text = "/** a */\nexport const load: Loader<\n  Foo\n> = async (id) => id\n/** b */\nconst cmp: (a: A,\n  b: B) => number = (a, b) => 1\n// c\nlet x: number\nfoo = (z) => 2\n// d\nconst one: F = y => 3\n"
     for documented in (False, True):
         assert [(f.name, f.is_async, f.params) for f in nodes(text, documented=documented)] == [("load", True, ["id"]), ("cmp", False, ["a", "b"]), ("one", False, ["y"])]
+
+
+@pytest.mark.parametrize("text", ["a ?? b || c", "a || b ?? c", "-1 ** 2", "await x ** 2", "({get a(x){}})", "({set a(){}})", "if (a) let b = 1", "while (a) class B {}", "1 = 2", "f() = 1", "a + b = 1", "!a = 1", "[1] = x", "({a=1})", "a || () => 1"])
+def test_holes_of_the_grammar(text):
+    assert not R.accepts(text, BOTH, False), text
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["(a ?? b) || c", "(-1) ** 2", "a - b ** 2", "2 ** -1", "a++ ** 2", "({get a(){}, set b(x){}})", "if (a) function f(){}", "a.b = 1", "a[0] += 2", "(a) = 1", "[a, b.c, [d]] = e", "({a, b: c.d, e = 1} = f)", "({a=1}) => a", "for ({a=1} of b) ;", "for (a.b in c);", "x = {a: 1, get: 2, set, get b(){return 1}}", "x => ({y} = z)", "a.default = 1", "this.x = y = z", "a = b ? c : d = e", "new A().b = 1", "yield = 1", "x = `a${b}`[0]", "a?.[0](b).c"],
+)
+def test_no_hole_closed_too_far(text):
+    assert R.accepts(text, BOTH, False), text
+
+
+def test_long_lists_take_linear_time():
+    import time
+
+    n = 100_000
+    texts = ["x=[" + ",".join(map(str, range(n))) + "]", "x={" + ",".join(f"a{i}:{i}" for i in range(n)) + "}", "f(" + ",".join(f"a{i}" for i in range(n)) + ")", "x=" + "+".join(f"a{i}" for i in range(n // 10)), "x=a" + ".m(1)" * (n // 10), "class A {" + "\n".join(f"m{i}() {{ }}" for i in range(n // 20)) + "}"]
+    for text in texts:
+        began = time.perf_counter()
+        assert gll.Recogniser(BOTH).accepts(text, BOTH, False)
+        assert time.perf_counter() - began < 10, text[:20]
+
+
+def test_function_nodes_of_the_tree():
+    from skein.llm import tree
+
+    text = '// one\nexport default async function go(a, {b}) { return `${() => 1}` }\n/* two */\nexport const load = async (x) => {\n  class A {\n    // three\n    static async *run() { const inner = y => y }\n    get size() { return "}" }\n    field = 1\n  }\n}, other = 2\nconst s = "function no() {}" // behind\nfunction last() {}\n'
+    got = {f.name: (f.kind, f.comments, text[f.start : f.end]) for f in tree.functions(text)}
+    assert set(got) == {"go", "load", "run", "inner", "size", "last"}
+    assert got["go"] == ("function", "// one", "async function go(a, {b}) { return `${() => 1}` }") and got["load"][:2] == ("arrow", "/* two */") and got["load"][2].startswith("async (x) =>") and got["load"][2].endswith("}\n}")
+    assert got["run"] == ("method", "// three", "static async *run() { const inner = y => y }") and got["inner"] == ("arrow", None, "y => y") and got["size"][2] == 'get size() { return "}" }' and got["last"][1] is None
+    assert tree.functions("function a( {") is None
+    vue = "export default { data() { return { a: 1, b() {} } }, methods: { go: async () => 1, 'x': function () {}, y } }\nconst z = { no() {} }"
+    assert [f.name for f in tree.functions(vue, objects=True)] == ["data", "b", "go", "x"]
+
+
+def test_nodes_of_many_lines_and_dialects():
+    from skein.llm import docpairs
+
+    text = "﻿// the list of all open orders is read here\r\nexport function a<T>(x: T[]): Promise<void> {\r\n  return g(x)\r\n}\r\n"
+    (name, start, end, line, last, comments), = docpairs.nodes(text, ".ts", True)
+    assert (name, line, last) == ("a", 2, 4) and text[start:end].startswith("function a<T>") and text[start:end].endswith("}") and "open orders" in comments
+    assert [n[0] for n in docpairs.nodes("// a broken file keeps its documented functions too\nfunction a() {}\n<<<<", ".js", True)] == ["a"]
+    assert list(docpairs.nodes("// short\nfunction a() {}", ".js", True)) == [] and len(list(docpairs.nodes("// short\nfunction a() {}", ".js", False))) == 1
