@@ -1,9 +1,12 @@
 """Problem 10: text statistics per document that tell prose from lists, tables and junk.
 
-Each document's statistics are computed where it is read.  Per language, and for
-all languages together, mergeable quantile sketches (KLL) of every statistic are
-built in one aggregation; a value's percentile and robust z-score come from the
-sketch of its language.  Documents in the tails are then looked at exactly.
+Each document's statistics are computed where it is read.  Mergeable quantile
+sketches (KLL) of every statistic are built per language, over the documents
+that fixed bounds of shape let pass (lines that end, few symbols and digits): the
+spread of ordinary text in that language, which junk, however much of it there
+is, hardly enters.  A value's percentile and robust z-score come from the sketch
+of its language; a document is in the tail if any statistic lies ``z`` spreads or
+more from the median.  Only documents in the tail are read sentence by sentence.
 """
 
 from __future__ import annotations
@@ -41,9 +44,7 @@ _HIRA = re.compile(r"[ぁ-ん]")
 _LIST = re.compile(r"^\s*(?:[-*+•–—·▪◦]\s+|\d{1,3}[.)、]\s+|\[[ xX]\]\s+|>\s+|#{1,6}\s+)+(?:\[[ xX]\]\s+)?")
 _HTML = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 _END = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])\s*")
-_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SPLIT = re.compile(r"[^\W\d_]+")
-_BLANK = re.compile(r"\s")
 _TOKEN = re.compile(r"\S+")
 _CODE = re.compile(r"[{}\[\]=<>;|\\_$#~^&*+/@]|\w\(|\w\.\w|\w:\w|::|\d\w*[a-zA-Z]|[a-z][A-Z]")
 _MARKS = re.compile(r"[.!?。！？:;…]\W*$")
@@ -117,13 +118,13 @@ def readable(text: str) -> int:
             if not piece.strip() or _table(piece):
                 continue
             piece = _HTML.sub(" ", piece)
+            plain = piece.isascii()
             for s in _END.split(piece):
-                if not s.strip() or len(_MOJIBAKE.findall(s)) * 6 > len(s):
+                if not s.strip() or not plain and len(_MOJIBAKE.findall(s)) * 6 > len(s):
                     continue
-                chars = len(prose.CJK.findall(s))
-                letters = sum(map(len, _SPLIT.findall(prose.CJK.sub(" ", s))))
-                visible = len(s) - len(_BLANK.findall(s))
-                if chars * 2 >= letters:
+                chars = 0 if plain else len(prose.CJK.findall(s))
+                visible = len("".join(s.split()))
+                if chars * 2 >= sum(map(len, _SPLIT.findall(prose.CJK.sub(" ", s) if chars else s))):
                     total += visible * _cjk_readable(s, chars)
                 else:
                     kind = _latin(s, listed)
@@ -139,7 +140,13 @@ def _table(line: str) -> bool:
     return line.count("\t") >= 2 or line.count("|") >= 2 or len(re.findall(r" {3,}", line.strip())) >= 2 or len(re.findall(r"\",|,\"|,\d", line)) >= 3 or line.lstrip().startswith(("{\"", "<table"))
 
 
-STATISTICS = ("words", "mean_word", "symbol_ratio", "digit_ratio", "ended_lines", "common_words", "list_lines", "repeated_lines", "readable_share")
+STATISTICS = ("words", "mean_word", "symbol_ratio", "digit_ratio", "ended_lines", "common_words", "common_pairs", "list_lines", "repeated_lines")
+#: Statistics whose tails are looked at, with the side on which a value is out of the ordinary (-1 low, 1 high, 0 both) and the least spread.
+TAILS = {"mean_word": (0, 0.3), "symbol_ratio": (1, 0.02), "digit_ratio": (1, 0.02), "ended_lines": (-1, 0.1), "common_words": (0, 0.04), "common_pairs": (1, 0.03), "list_lines": (1, 0.1), "repeated_lines": (1, 0.03)}
+#: What ordinary text has at least or at most, whatever its language; the sketches are of such documents.
+ORDINARY = {"words": (8, None), "ended_lines": (0.5, None), "list_lines": (None, 0.5), "symbol_ratio": (None, 0.12), "digit_ratio": (None, 0.08), "common_pairs": (None, 0.22)}
+Z, LEAST, FEW = 2.0, 0.5, 20
+_SYMBOL, _DIGIT = re.compile(r"[^\w\s]|_"), re.compile(r"\d")
 
 
 def measure(text: str | None) -> tuple:
@@ -147,80 +154,161 @@ def measure(text: str | None) -> tuple:
     if text is None or not text.strip():
         return (0,) + (None,) * (len(STATISTICS) - 1)
     lines = [x for x in re.split(r"\r\n|\n|\r", text) if x.strip()]
-    words = _WORDS.findall(prose.CJK.sub(" ", text))
-    cjk = len(prose.CJK.findall(text))
+    low = text.lower()
+    cjk = 0
+    if not text.isascii():
+        cjk = len(prose.CJK.findall(text))
+        low = prose.CJK.sub(" ", low) if cjk else low
+    words = _SPLIT.findall(low)
     n = len(words) + cjk / 1.6
-    visible = sum(1 for c in text if not c.isspace())
-    symbols = sum(1 for c in text if not c.isspace() and not c.isalnum())
-    digits = sum(1 for c in text if c.isdigit())
-    common = sum(p.lower() in _COMMON for w in words for p in _SPLIT.findall(w)) + len(_ZH.findall(text)) + len(_HIRA.findall(text)) / 2
+    visible = len("".join(text.split()))
+    known = list(map(_COMMON.__contains__, words))
+    common = sum(known) + (len(_ZH.findall(text)) + len(_HIRA.findall(text)) / 2 if cjk else 0)
     return (
         int(n),
         float((sum(map(len, words)) + cjk) / n) if n else 0.0,
-        symbols / visible,
-        digits / visible,
-        sum(bool(_MARKS.search(x)) for x in lines) / len(lines),
+        len(_SYMBOL.findall(text)) / visible,
+        len(_DIGIT.findall(text)) / visible,
+        sum(1 for x in lines if _MARKS.search(x)) / len(lines),
         min(1.0, common / n) if n else 0.0,
-        sum(bool(_LIST.match(x)) for x in lines) / len(lines),
+        sum(map(all, zip(known, known[1:]))) / max(1, len(words) - 1),
+        sum(1 for x in lines if _LIST.match(x)) / len(lines),
         1 - len({x.strip() for x in lines}) / len(lines),
-        min(1.0, readable(text) / visible),
     )
 
 
-def statistics(documents: DataFrame) -> DataFrame:
+def readable_share(text: str | None) -> float | None:
+    """Share of the non-blank characters that belong to readable sentences; null for a null or blank text."""
+    visible = len("".join(text.split())) if text else 0
+    return min(1.0, readable(text) / visible) if visible else None
+
+
+_SCHEMA = "doc_id long, language string, words long, " + ", ".join(f"{s} double" for s in STATISTICS[1:])
+
+
+def _read(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long"), normal(F.col("lang")).alias("lang"), "text")
+
+
+def _language(label: str | None) -> str:
+    return label if label in LANGUAGES else "und"
+
+
+def measured(documents: DataFrame) -> DataFrame:
     """doc_id, language (of the label, ``und`` where it is none of the six) and the statistics of each row."""
 
     def each(rows):
         for doc_id, lang, text in rows:
-            yield (doc_id, lang if lang in LANGUAGES else "und", *measure(text))
+            yield (doc_id, _language(lang), *measure(text))
 
-    schema = "doc_id long, language string, words long, " + ", ".join(f"{s} double" for s in STATISTICS[1:])
-    return map_rows(documents.select(F.col("doc_id").cast("long"), normal(F.col("lang")).alias("lang"), "text"), each, schema)
+    return map_rows(_read(documents), each, _SCHEMA)
 
 
-def sketches(stats: DataFrame) -> DataFrame:
-    """One KLL sketch of each statistic per language, and of all languages together (language ``*``)."""
-    both = stats.where("readable_share is not null").withColumn("language", F.explode(F.array("language", F.lit("*"))))
-    return both.groupBy("language").agg(*[F.kll_sketch_agg_double(F.col(s).cast("double")).alias(s) for s in STATISTICS])
+def statistics(documents: DataFrame) -> DataFrame:
+    """As ``measured``, with the share of readable characters, which reads every text sentence by sentence."""
+
+    def each(rows):
+        for doc_id, lang, text in rows:
+            yield (doc_id, _language(lang), *measure(text), readable_share(text))
+
+    return map_rows(_read(documents), each, _SCHEMA + ", readable_share double")
 
 
-def tails(documents: DataFrame, low: float = 0.02, z: float = -2.0, least: float = 0.5) -> DataFrame:
-    """The statistics with each value's percentile in its language, and the robust z-score of the readable share.
+def sketches(stats: DataFrame) -> DataFrame:
+    """One KLL sketch of each statistic per language over ordinary documents, and of all languages together (language ``*``), and how many there are.
 
-    ``tail`` is set where the readable share, by its language's or by the common
-    sketch, lies ``z`` spreads or more below the median, or under percentile
-    ``low``, and always where it is under ``least``: where much is junk, the
-    median is junk too and relative bounds miss it.  The spread is that of the
-    upper half (median to 90 %).  There are eight rows of sketches at most, read
-    as percentile grids, so they are broadcast.
+    Counts and sketches are merged before the shuffle; at most eight rows come out.
     """
-    stats = durable(statistics(documents))
-    made = durable(sketches(stats))
+    kept = stats.where(F.col("symbol_ratio").isNotNull())
+    for name, (low, high) in ORDINARY.items():
+        kept = kept.where((F.lit(True) if low is None else F.col(name) >= low) & (F.lit(True) if high is None else F.col(name) <= high))
+    both = kept.withColumn("language", F.explode(F.array("language", F.lit("*"))))
+    return both.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(s).cast("double")).alias(s) for s in STATISTICS])
 
+
+def _grids(made: DataFrame) -> DataFrame:
+    """(language, and of each statistic its percentiles 0 to 100) for every language, those of all languages where a language has fewer than ``FEW`` ordinary documents."""
     steps = F.array(*[F.lit(i / 100) for i in range(101)])
+    return made.select("language", "n", *[F.kll_sketch_get_quantile_double(s, steps).alias(s) for s in STATISTICS])
+
+
+def bounds(documents: DataFrame, z: float = Z) -> dict[str, dict[str, tuple[float, float]]]:
+    """For each language the values between which a statistic is ordinary; from the sketches, of which at most eight rows reach the driver."""
+    rows = {r.language: r for r in _grids(sketches(measured(documents))).collect()}
+    common = rows.get("*")
+    found = {}
+    for language in (*LANGUAGES, "und"):
+        own = rows.get(language)
+        r = own if own is not None and own.n >= FEW else common
+        if r is None:  # no document is ordinary: all are looked at
+            found[language] = {s: (float("inf"), float("-inf")) for s in TAILS}
+            continue
+        found[language] = {}
+        for s, (side, least) in TAILS.items():
+            q10, q50, q90 = r[s][10], r[s][50], r[s][90]
+            found[language][s] = (q50 - z * max(least, q50 - q10) if side <= 0 else float("-inf"), q50 + z * max(least, q90 - q50) if side >= 0 else float("inf"))
+    return found
+
+
+def _outside(values: tuple, limits: dict[str, tuple[float, float]]) -> list[str]:
+    """Statistics that lie in a tail."""
+    if values[1] is None:
+        return []
+    named = dict(zip(STATISTICS, values))
+    return [s for s, (low, high) in limits.items() if not low <= named[s] <= high]
+
+
+def tails(documents: DataFrame, z: float = Z) -> DataFrame:
+    """The statistics of each row with each value's percentile and robust z-score in its language, and ``tail``, the statistics in a tail.
+
+    Percentile grids are at most eight rows, so they are broadcast.  Null and
+    blank texts have none.
+    """
+    stats = measured(documents)
+    made = durable(sketches(stats))
+    common = made.where("language = '*'").drop("language", "n")
+    languages = made.sparkSession.createDataFrame([(x,) for x in (*LANGUAGES, "und")], "language string")
+    enough = made.where((F.col("language") != "*") & (F.col("n") >= FEW))
+    filled = languages.join(enough, "language", "left").join(common.select(*[F.col(s).alias(f"{s}_all") for s in STATISTICS]), F.lit(True), "left")
+    grids = _grids(filled.select("language", "n", *[F.coalesce(s, f"{s}_all").alias(s) for s in STATISTICS]))
+    out = stats.join(F.broadcast(grids.select("language", *[F.col(s).alias(f"{s}_q") for s in STATISTICS])), "language", "left")
+    reasons = []
+    for s in STATISTICS:
+        value, q = F.col(s).cast("double"), F.col(f"{s}_q")
 
-    def named(df: DataFrame, end: str) -> DataFrame:
-        return df.select("language", *[F.kll_sketch_get_quantile_double(s, steps).alias(f"{s}{end}") for s in STATISTICS])
+        def upto(q_, value=value):
+            return q_ <= value
 
-    own, common = named(made.where("language <> '*'"), "_own"), named(made.where("language = '*'"), "_all").drop("language")
-    out = stats.join(F.broadcast(own), "language", "left").join(F.broadcast(common), F.lit(True), "left")
+        out = out.withColumn(f"{s}_pct", F.when(value.isNotNull() & q.isNotNull(), F.size(F.filter(q, upto)) / 101))
+        if s in TAILS:
+            side, least = TAILS[s]
+            q10, q50, q90 = (F.get(q, i) for i in (10, 50, 90))
+            spread = F.when(value < q50, F.greatest(F.lit(least), q50 - q10)).otherwise(F.greatest(F.lit(least), q90 - q50))
+            out = out.withColumn(f"{s}_z", (value - q50) / spread)
+            far = (F.col(f"{s}_z") < -z) if side < 0 else (F.col(f"{s}_z") > z) if side > 0 else (F.abs(f"{s}_z") > z)
+            reasons.append(F.when(F.coalesce(far, value.isNotNull() & q.isNull()), F.lit(s)))
+    return out.withColumn("tail", F.array_compact(F.array(*reasons))).select("doc_id", "language", *STATISTICS, *[f"{s}_pct" for s in STATISTICS], *[f"{s}_z" for s in TAILS], "tail")
 
-    def upto(value):
-        return lambda q: q <= value
 
-    for s in STATISTICS:
-        below = F.size(F.filter(f"{s}_own", upto(F.col(s)))) / 101
-        out = out.withColumn(f"{s}_pct", F.when(F.col(s).isNotNull() & F.col(f"{s}_own").isNotNull(), below))
+def _looked_at(documents: DataFrame, z: float) -> DataFrame:
+    """(doc_id, tail, share) of the rows in a tail; the share is read from the text where the row is read, so no text is shuffled."""
+    limits = bounds(documents, z)
 
-    def score(end: str):
-        q50, q90 = F.get(f"readable_share{end}", 50), F.get(f"readable_share{end}", 90)
-        return (F.col("readable_share") - q50) / F.greatest(F.lit(0.05), q90 - q50)
+    def each(rows):
+        for doc_id, lang, text in rows:
+            reasons = _outside(measure(text), limits[_language(lang)])
+            if reasons:
+                yield doc_id, reasons, readable_share(text)
 
-    out = out.withColumn("z_own", score("_own")).withColumn("z_all", score("_all"))
-    tail = (F.least("z_own", "z_all") <= z) | (F.col("readable_share_pct") <= low) | (F.col("readable_share") < least)
-    return out.withColumn("tail", F.coalesce(tail, F.lit(False))).select("doc_id", "language", *STATISTICS, *[f"{s}_pct" for s in STATISTICS], "z_own", "z_all", "tail")
+    return map_rows(_read(documents), each, "doc_id long, tail array<string>, share double")
 
 
-def found(documents: DataFrame, least: float = 0.5) -> DataFrame:
+def found(documents: DataFrame, least: float = LEAST, z: float = Z) -> DataFrame:
     """doc_id of the documents in the tail of which less than ``least`` is readable."""
-    return tails(documents, least=least).where((F.col("tail")) & (F.col("readable_share") < least)).select("doc_id").distinct()
+    return _looked_at(documents, z).where(F.col("share") < least).select("doc_id").distinct()
+
+
+def reasons(documents: DataFrame, least: float = LEAST, z: float = Z) -> DataFrame:
+    """(statistic, rows, found, alone): how many documents are in the tail of each statistic, how many of them less than ``least`` readable, and how many of those by this statistic alone."""
+    rows = _looked_at(documents, z).select(F.explode("tail").alias("statistic"), (F.col("share") < least).alias("bad"), (F.size("tail") == 1).alias("one"))
+    return rows.groupBy("statistic").agg(F.count(F.lit(1)).alias("rows"), F.count_if("bad").alias("found"), F.count_if(F.col("bad") & F.col("one")).alias("alone"))

@@ -26,6 +26,7 @@ def queries() -> dict:
         "p9_packed": lambda s, d: packing.packed(t(s, d, "documents")),
         "p10_found": lambda s, d: quality.found(t(s, d, "documents")),
         "p10_statistics": lambda s, d: quality.statistics(t(s, d, "documents")),
+        "p10_reasons": lambda s, d: quality.reasons(t(s, d, "documents")),
         "p10_tails": lambda s, d: quality.tails(t(s, d, "documents")),
     }
 

@@ -148,12 +148,12 @@ def test_handmade(path, text, kind):
     [("The parser keeps the last known path. It fails when the server answers late.", True), ("between four and six the parser keeps the last known path while the drawer is still open", True), ("Die Sitzung speichert die offenen Anfragen, solange der Benutzer nichts bestätigt hat.", True), ("订单表单会合并未完成的请求，当窗口重新获得焦点时执行。", True), ("セッション管理は三回失敗したあとで表示中の列をまとめます。", True), ("Home | About | Help\nDocs | Next | Login", False), ("a\tb\t1\t0.5\n" * 9, False), ("- cart id\n- order score\n- unit total", False), ("Or under and order token or under is. Not not cart price blue when list under with under of. A is of the by.", False), ("function f(row) {\n  return row.a\n}", False), ("g1w6wqw9O1TuC/CBCDpscrNrgnP6zZQeCW9ghXIYI6UK8Yl+DAQp", False), ("undefined undefined undefined undefined undefined", False), ("Hide the scrollPosition() by comparing the sizeAnd() the time of the file.", True)],
 )
 def test_readable_share(text, prose_):
-    share = quality.measure(text)[-1]
+    share = quality.readable_share(text)
     assert (share >= 0.5) == prose_
 
 
 def test_measures_of_blank_texts():
-    assert quality.measure(None) == quality.measure(" \n") == (0,) + (None,) * 8
+    assert quality.measure(None) == quality.measure(" \n") == (0,) + (None,) * 8 and quality.readable_share(None) is quality.readable_share(" ") is None
 
 
 def test_languages_by_encoded_size():

@@ -180,11 +180,25 @@ def test_every_usable_unit_has_its_five_neighbours(spark):
 
 def test_much_junk_does_not_hide_junk(spark):
     half = SAY + "\n" + "a\tb\t1\t22\t333\n" * 12
-    assert 0.25 < quality.measure(half)[-1] < 0.5
+    assert 0.25 < quality.readable_share(half) < 0.5
     df = spark.createDataFrame([(i, half if i < 60 else SAY, "en", "s", None, None, None, None) for i in range(100)], DOCS)
     assert ids(quality.found(df)) == set(range(60))
 
 
+@pytest.mark.parametrize("junk", [10, 90])
+def test_the_sketches_of_ordinary_text_choose_what_is_read(spark, junk):
+    verbs, names = ("keeps", "reads", "merges", "stores", "closes"), ("path", "list", "token", "page", "order", "window")
+    good = [f"The {a} {v} every {b} before users of our shop open another drawer." for a in names for v in verbs for b in names][:100]
+    bad = ["a\tb\t1\t22\t333\n" * 9, "Or under and order token or under is. Not not cart with when list under with under of. A is of the by it.", "undefined undefined undefined", "- cart id\n- order score\n- unit total"]
+    rows = [(i, (bad[i % 4] if i % 100 < junk else good[i % 100]), "en", "s", None, None, None, None) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = {i for i, text, *_ in rows if quality.readable_share(text) < 0.5}
+    assert ids(quality.found(df)) == want and len(want) >= 4 * junk
+    by = {r.doc_id: r.tail for r in quality.tails(df).collect()}
+    assert want <= {i for i, t in by.items() if t} and sum(not t for t in by.values()) >= 0.5 * (400 - 4 * junk)
+    assert {r.statistic for r in quality.reasons(df).collect()} == {x for t in by.values() for x in t}
+
+
 def test_a_popular_library_does_not_hide_a_copy(spark):
     """Half of the copied lines stand in fifty other library files, the other half only in the original."""
     line = lambda x, i: "  " + BODIES[i].replace("alpha", f"{x}{i}") + "\n"
