@@ -6,11 +6,13 @@ Three kinds of evidence, in this order:
   banner, a folder that holds libraries;
 * token composition: line lengths and white space (minified, bundled), the share
   of literals (data), the share of lines that repeat one shape (generated);
-* containment: an inverted index from hashes of long lines to marked library
-  files, asked for the rarest lines of a file only, so many that a file that
-  holds enough of them cannot be missed; then all lines are counted.  A file most
-  of whose lines occur in one library file, in whatever project, is an edited
-  copy.
+* containment across repositories, over an inverted index of the hashes of long
+  lines.  A file most of whose lines occur in one marked library file, in
+  whatever project, is an edited copy; the index is asked for the rarest lines of
+  a file only, so many that a file that holds enough of them cannot be missed,
+  and then all lines are counted.  A file nearly all of whose lines occur in
+  several projects each is a copy too, whether any of them carries a mark or not;
+  for that the projects of every line are counted, without comparing files.
 """
 
 from __future__ import annotations
@@ -134,7 +136,7 @@ def judge(path: str, text: str, ext: str) -> tuple[str | None, dict]:
 
 
 def evidence(files):
-    """(file_id, kind, n_lines, lines, valid) of every source file that is not empty, by row.
+    """(file_id, project, kind, n_lines, lines) of every source file that is not empty, by row.
 
     kind is null where marks and composition show nothing.
     """
@@ -142,7 +144,7 @@ def evidence(files):
     from skein.llm.validity import valid
 
     def look(rows):
-        for file_id, path, relative, content in rows:
+        for file_id, project, path, relative, content in rows:
             ext = jslex.extension(relative)
             if ext not in EXTENSIONS or not content.strip():
                 continue
@@ -150,10 +152,16 @@ def evidence(files):
             if kind is not None and not valid(content, ext):
                 continue
             rows_ = lines_of(f["code"]) if kind in (None, "vendored") else []
-            yield file_id, kind, len(rows_), rows_
+            yield file_id, project, kind, len(rows_), rows_
 
-    read = files.where("file_id is not null and content is not null").select("file_id", "path", "relative_path", "content")
-    return map_rows(read.withColumn("file_id", read["file_id"].cast("long")), look, "file_id long, kind string, n_lines int, lines array<long>")
+    read = files.where("file_id is not null and content is not null").select("file_id", "project", "path", "relative_path", "content")
+    return map_rows(read.withColumn("file_id", read["file_id"].cast("long")), look, "file_id long, project string, kind string, n_lines int, lines array<long>")
+
+
+#: Projects that hold a line, share of such lines and long lines of a file that is a copy without a marked original.
+PROJECTS, SPREAD, SPREAD_LINES = 3, 0.9, 12
+#: Copies whose ids go to every task that reads the files, instead of the files to where the ids are.
+SMALL = 1_000_000
 
 
 def kinds(files, least_lines: int = 8, least_share: float = 0.55):
@@ -161,7 +169,8 @@ def kinds(files, least_lines: int = 8, least_share: float = 0.55):
 
     kind: generated, minified, data, vendored or copy.  A copy has at least
     ``least_lines`` long lines, of which ``least_share`` occur together in one
-    file known as vendored.  The features are written once to the checkpoint folder, since the
+    file known as vendored, or ``SPREAD_LINES``, of which the share ``SPREAD``
+    occurs in ``PROJECTS`` projects each.  The features are written once to the checkpoint folder, since the
     index and the files looked up in it both come from them.
     """
     from pyspark.sql import functions as F
@@ -188,7 +197,13 @@ def kinds(files, least_lines: int = 8, least_share: float = 0.55):
     pairs = rare.join(held, "line").where("size >= need").select("set", "need", "library").distinct()
     both = pairs.join(asked.select("set", "lines"), "set").join(libraries.select("library", "held"), "library")
     copied_sets = both.where(F.size(F.array_intersect("lines", "held")) >= F.col("need")).select("set").distinct()
-    copies = unknown.join(copied_sets, "set", "left_semi").select("file_id").distinct()
+    # lines of several projects: pairs of line and project are made distinct before they are counted
+    spread = seen.select("project", F.explode("lines").alias("line")).distinct().groupBy("line").count().where(F.col("count") >= PROJECTS).select("line")
+    met = asked.where(F.col("n_lines") >= SPREAD_LINES).select("set", "n_lines", F.explode("lines").alias("line")).join(spread, "line")
+    spread_sets = met.groupBy("set").agg(F.first("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("met")).where(F.col("met") >= SPREAD * F.col("n_lines")).select("set")
+    copies = durable(unknown.join(copied_sets.unionByName(spread_sets).distinct(), "set", "left_semi").select("file_id").distinct())
+    if copies.count() <= SMALL:
+        copies = F.broadcast(copies)
 
     def check(rows):
         for file_id, relative, content in rows:

@@ -211,3 +211,15 @@ def test_a_popular_library_does_not_hide_a_copy(spark):
     df = spark.createDataFrame([(i, "p", "/r/" + p, p, None, len(c), None, None, c) for i, p, c in rows], FILES)
     got = {r.file_id: r.kind for r in handmade.kinds(df).collect()}
     assert got.get(1) == "copy" and 3 not in got
+
+
+def test_a_library_without_marks_in_three_projects(spark):
+    """Edited copies of one library in four repositories, without banner, folder or loader, are found by their lines; what two projects share is not."""
+    line = lambda x, i: "  " + BODIES[i].replace("alpha", f"{x}{i}") + "\n"
+    wrap = lambda body: "export function run(alpha, beta, gamma) {\n" + body + "}\n"
+    shared = [line("lib", i) for i in range(10)] + [line("more", i) for i in range(10)]
+    rows = [(k, f"p{k}", f"src/a{k}.js", wrap("".join(x for i, x in enumerate(shared) if i != k) + line(f"edit{k}", 1))) for k in range(4)]
+    rows += [(10 + k, f"p{k}", f"src/b{k}.js", wrap("".join(line("two", i) for i in range(10)) + "".join(line("pair", i) for i in range(10)))) for k in range(2)]
+    rows += [(20 + k, f"p{k}", f"src/c{k}.js", wrap("".join(line(f"own{k}x", i) for i in range(10)) + "".join(shared[:8]))) for k in range(4)]
+    df = spark.createDataFrame([(i, p, "/r/" + f, f, None, len(c), None, None, c) for i, p, f, c in rows], FILES)
+    assert {r.file_id: r.kind for r in handmade.kinds(df).collect()} == {k: "copy" for k in range(4)}
