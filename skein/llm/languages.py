@@ -16,7 +16,6 @@ from collections import Counter
 
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import jslex
@@ -67,10 +66,6 @@ class Coder:
         if not sizes:
             return None
         best = min(sizes, key=lambda n: (sizes[n], n))
-        if "ja" in candidates:
-            kana = len(prose.KANA.findall(text))
-            if best == "zh" and kana * 5 > chars or best == "ja" and not kana:
-                best = "ja" if kana else "zh"  # kana is written in Japanese only, and no Japanese sentence lacks it
         return best if code - sizes.get(best, code) >= MARGIN else None
 
 
@@ -79,35 +74,53 @@ def normal(lang):
     return F.lower(F.regexp_extract(F.trim(lang), r"^([A-Za-z]{2})(?:[-_].*)?$", 1))
 
 
+def thinned(rows: DataFrame, wanted: int, total: int, text: str = "text") -> DataFrame:
+    """Different texts of about ``2 * wanted`` of the ``total`` rows, or of all if there are fewer, chosen by their hash alone, so what is chosen neither depends on partitions nor grows with the rows."""
+    return rows.where(F.pmod(F.xxhash64(text), F.lit(max(1, total // (2 * wanted)))) == 0)
+
+
+def _chosen(rows: list[tuple], wanted: int) -> list[str]:
+    """The ``wanted`` texts with the smallest hashes, in the order of the texts."""
+    return sorted(t for _, t in sorted(rows)[:wanted])
+
+
 def train(documents: DataFrame, units: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language, and ``code``, from bounded samples drawn by hash.
 
     A labelled text is used if its script and its words fit its label; the rest
-    are taken for wrong labels.
+    are taken for wrong labels.  Code is the text of script files without their
+    comments, and literals that are not made of words.
     """
-    sample = (
-        documents.select(normal(F.col("lang")).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .where(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 40))
-        .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")))
-        .where(F.col("n") <= PER_LANGUAGE)
-        .select("lang", "text")
-    )
+    labelled = documents.select(normal(F.col("lang")).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).where(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 40))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts: dict[str, list[str]] = {n: [] for n in LANGUAGES}
-    for lang, text in sorted(map(tuple, sample.collect())):
-        chars, kana = len(prose.CJK.findall(text)), len(prose.KANA.findall(text))
-        kind = "ja" if kana * 8 > max(chars, 40) else "zh" if chars * 5 > len(text) else "latin"
-        if kind == lang or kind == "latin" and lang in _LATIN:
-            texts[lang].extend(x for x in (s.strip() for s in sentences(text)) if x)
+    if counts:
+        share = F.create_map(*[F.lit(x) for n, c in counts.items() for x in (n, max(1, c // (2 * PER_LANGUAGE)))])
+        sample = labelled.where(F.pmod(F.xxhash64("text"), F.element_at(share, F.col("lang")).cast("long")) == 0).distinct()
+        by: dict[str, list[tuple]] = {}
+        for lang, h, text in map(tuple, sample.select("lang", F.xxhash64("text", F.lit(1)), "text").collect()):
+            by.setdefault(lang, []).append((h, text))
+        for lang in sorted(by):
+            for text in _chosen(by[lang], PER_LANGUAGE):
+                chars, kana = len(prose.CJK.findall(text)), len(prose.KANA.findall(text))
+                kind = "ja" if kana * 8 > max(chars, 40) else "zh" if chars * 5 > len(text) else "latin"
+                if kind == lang or kind == "latin" and lang in _LATIN:
+                    texts[lang].extend(x for x in (s.strip() for s in sentences(text)) if x)
     code: list[str] = []
-    few = units.where("content is not null").select(F.substring("content", 1, SAMPLE_CHARS).alias("content")).orderBy(F.xxhash64("content"), "content").limit(PER_CODE)
-    for (content,) in sorted(map(tuple, few.collect())):
+    ending = F.lower(F.regexp_extract("file_path", r"(\.[^./\\]*)$", 1))
+    scripts = units.where(F.col("content").isNotNull() & ending.isin(*EXTENSIONS[:4])).select(F.substring("content", 1, SAMPLE_CHARS).alias("text"))
+    some = thinned(scripts, PER_CODE, scripts.count()).distinct().select(F.xxhash64("text", F.lit(1)), "text").collect()
+    for content in _chosen(list(map(tuple, some)), PER_CODE):
         _, spans, _ = jslex.scan(content)
         code.append(re.sub(r"[ \t]+", " ", jslex.blanked(content, spans)))
         for kind, _, _, text in prose.stretches(spans, content):
-            if kind == "literal" and re.search(r"[=<>{}_]|\w-\w*\d|/\w", text):
+            if kind == "literal" and re.search(r"[=<>{}_]|\w-\w*\d|/\w", text) and max(prose.size(text)) < 4:
                 code.append(text)
     texts = texts | agreed({n: texts[n] for n in _LATIN})
-    return {n: dictionary(texts[n]) for n in LANGUAGES} | {"code": dictionary([*code, *_CODE])}
+    made = {n: dictionary(texts[n]) for n in LANGUAGES}
+    if made["en"]:
+        made["en"] += _NOTICES.lower().encode()  # a dictionary ends with its content, so text can follow
+    return made | {"code": dictionary([*code, *_CODE])}
 
 
 def agreed(texts: dict[str, list[str]]) -> dict[str, list[str]]:
@@ -149,6 +162,12 @@ _CODE = [
     "application/json; charset=utf-8 text/html multipart/form-data https://example.com/api/v1/users?page=1&size=20 ../components/index.js @/utils/request",
 ]
 
+#: Common English notices at the head of files, which the labelled texts lack.
+_NOTICES = """
+Copyright (c) the authors. All rights reserved. Licensed under the MIT license. See the LICENSE file in the root directory for license information.
+This file was automatically generated from the schema. Code generated by a tool. DO NOT EDIT. Do not edit this file by hand, changes will be lost.
+"""
+
 _coders: dict[str, Coder] = {}
 
 
