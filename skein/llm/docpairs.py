@@ -24,24 +24,47 @@ from skein.llm import prose, tree
 from skein.sources.jsfunctions import functions as heads_of
 
 LEAST_WORDS, LEAST_CHARS = 6, 10
-#: What comments with a description match when taken together.
+#: What comments with a description match, and what no function begins with.
 _MAYBE = re.compile(r"(?:[^\W\d_]+[\W\d_]+){5}[^\W\d_]|(?:[㐀-鿿぀-ヿ][^㐀-鿿぀-ヿ]*){10}")
 
 
+_NO_HEAD = re.compile(r"(?:import|return|if|for|while|do|switch|throw|try|case|break|continue|interface|type|enum|declare\s+(?:module|global)|namespace|else|catch|finally)\b|[^\w$@#'\"\[*\\]|\Z")
+_HEAD_WORDS = re.compile(r"function|=>|class")
+
+
+def _worth(text: str, spans: list, masked: str, objects: bool) -> bool:
+    """Whether a comment that may be a description stands before something that a function can begin with; ``objects``: functions need no word or arrow of their own."""
+    if not objects and not _HEAD_WORDS.search(masked):
+        return False
+    run, end = [], -1
+    for s in (*(s for s in spans if s.kind in ("//", "/*")), None):
+        if s is not None and run and not text[end : s.start].strip():
+            run.append(s)
+        else:
+            if run and not _NO_HEAD.match(text, _SPACE.match(text, end).end()) and _MAYBE.search("\n".join(text[x.start : x.end] for x in run)):
+                return True
+            run = [s]
+        end = s.end if s is not None else end
+    return False
+
+
+_SPACE = re.compile(r"\s*")
+
+
 def nodes(content: str, ext: str, documented: bool):
     """(name, start, end, start_line, end_line, comments) of the function nodes of a file; lines count in the script text, in a .vue file from its opening tag.
 
-    ``documented``: only those with comments; text whose comments cannot hold a
-    description is not parsed then.
+    ``documented``: only those with comments; text without a comment that may be
+    a description, before something that may be a function, is not parsed then.
     """
     bom = content.startswith("\ufeff")
     text = content[1:] if bom else content
     for a, b, jsx in jslex.scripts(text, ext):
         part = text[a:b]
         scan = tree.scanned(part, jsx)
-        if documented and not _MAYBE.search("\n".join(part[s.start : s.end] for s in scan[1] if s.kind in ("//", "/*"))):
+        if documented and not _worth(part, scan[1], scan[0], ext == ".vue"):
             continue
-        found = tree.functions(part, jsx, ext == ".vue", scan)
+        found = tree.functions(part, jsx, ext == ".vue", scan, documented)
         if found is None:
             found = heads_of(part, jsx, ext == ".vue", documented)
         for f in found:

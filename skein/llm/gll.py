@@ -383,17 +383,21 @@ class Recogniser:
         self.memo: dict[tuple, int] = {}
         self.chunks: dict[tuple, int] = {}
         self.trees: dict[tuple, list | None] = {}
+        self.bearing: dict[tuple, bool] = {}
         self.shapes: dict[tuple, list] = {}
 
     def tree(self, masked: str) -> tuple | None:
         """Codes of the top level; None if brackets do not match or there is a bad token."""
-        masked = masked.replace("\r\n", "\n").replace("\r", "\n").replace("﻿", " ").replace("\xa0", " ")
+        masked = spaced(masked)
         tokens = _TOKEN.findall(masked) if len(masked) < 4_000_000 else (m.group() for m in _TOKEN.finditer(masked))  # of a very long text, not all at once
-        codes = list(map(_codes.__getitem__, tokens))
+        return self.grouped(list(map(_codes.__getitem__, tokens)), {})
+
+    def grouped(self, codes: list, match: dict) -> tuple | None:
+        """As ``tree`` for the codes of all tokens; ``match`` is filled with the closing bracket of each opening one."""
         if BAD in codes:
             return None
         ids, content, kinds = self.ids, self.content, self.kinds
-        stack: list[tuple[list, int]] = []
+        stack: list[tuple[list, int, int]] = []
         cur: list[int] = []
         last = 0
         for i in [i for i, c in enumerate(codes) if c >= OPEN_AT]:
@@ -402,12 +406,13 @@ class Recogniser:
             last = i + 1
             c = codes[i]
             if c < CLOSE_AT:
-                stack.append((cur, c - OPEN_AT))
+                stack.append((cur, c - OPEN_AT, i))
                 cur = []
                 continue
             if not stack:
                 return None
-            before, kind = stack.pop()
+            before, kind, start = stack.pop()
+            match[start] = i
             if kind != c - CLOSE_AT:
                 return None
             if kind != 1 and NL in cur:
@@ -476,23 +481,21 @@ class Recogniser:
                 return 0
         return found
 
-    def statements(self, codes: tuple) -> list[tuple[tuple, list[int]]]:
-        """Runs of whole statements, as lines and semicolons show them, with the places of their tokens."""
-        parts: list[list[int]] = []
-        line: list[int] = []
-        for i, c in enumerate((*codes, NL)):
-            if c != NL:
-                line.append(i)
-                if c != _SEMI:
-                    continue
-            if line:
-                first, before = codes[line[0]], codes[parts[-1][-1]] if parts else _SEMI
-                if parts and (first in _GOES_ON or before in _OPEN_END or first >= BASE and self.kinds[first - BASE] in (2, 3, 4) and before != _SEMI):
-                    parts[-1].extend(line)
+    def statements(self, codes: tuple) -> list[tuple[tuple, list[tuple[int, int]]]]:
+        """Runs of whole statements, as lines and semicolons show them, with the ranges of tokens that they are made of."""
+        parts: list[list[tuple[int, int]]] = []
+        before, at = _SEMI, 0
+        for i in [i for i, c in enumerate(codes) if c == NL or c == _SEMI] + [len(codes)]:
+            end = i + 1 if i < len(codes) and codes[i] == _SEMI else i
+            if end > at:
+                first = codes[at]
+                if parts and (first in _GOES_ON or before in _OPEN_END or first >= BASE and before != _SEMI and self.kinds[first - BASE] in (2, 3, 4)):
+                    parts[-1].append((at, end))
                 else:
-                    parts.append(line)
-                line = []
-        return [(tuple(codes[i] for i in p), p) for p in parts]
+                    parts.append([(at, end)])
+                before = codes[end - 1]
+            at = i + 1
+        return [(codes[p[0][0] : p[0][1]] if len(p) == 1 else tuple(c for a, b in p for c in codes[a:b]), p) for p in parts]
 
     def run(self, start: str, toks, breaks: set | None, context: int, dialects: int, nodes: dict | None = None) -> int:
         """Dialects in which all of ``toks`` derives from ``start``.
@@ -651,33 +654,61 @@ class Recogniser:
 
     # syntax trees ---------------------------------------------------------
 
-    def syntax(self, name: str, codes: tuple, context: int) -> list[tuple[int, ...]] | None:
-        """Nodes of the syntax tree of a bracket group's content, or of a file; None if it does not derive from ``name``.
-
-        Positions count tokens of ``codes``, line ends included.
+    def bears(self, codes, methods: bool) -> bool:
+        """Whether a function can be named among the tokens or in a group of them; ``methods``: also one without a word or arrow of its own."""
+        head = False
+        for c in codes:
+            if c >= BASE:
+                key = (c, methods)
+                found = self.bearing.get(key)
+                if found is None:
+                    found = self.bearing[key] = self.bears(self.content[c - BASE], methods)
+                kind = self.kinds[c - BASE]
+                if found or methods and head and kind == 1:
+                    return True
+                head = head or kind == 2
+            elif c in _BEARING:
+                return True
+            elif c == _COMMA or c == NL:
+                head = False
+        return False
+
+    def syntax(self, name: str, group: int, context: int, methods: bool = False) -> list | None:
+        """Nodes of the syntax tree of a group's content; None if it does not derive from ``name``.
+
+        Statements and list items that bear no function are left out.
+        Positions count tokens of the content, line ends included.
         """
-        key = (name, context, *codes)
-        if key in self.trees:
-            return self.trees[key]
-        if len(self.trees) > self.bound:
-            self.trees.clear()
-        found = self.trees[key] = self._syntax(name, codes, context)
-        return found
-
-    def _syntax(self, name: str, codes: tuple, context: int):
-        if not self.whole(name, codes, context):
+        key = (name, group, context, methods)
+        if key not in self.trees:
+            if len(self.trees) > self.bound:
+                self.trees.clear()
+            self.trees[key] = self.nodes_of(name, self.content[group - BASE], context, methods) if self.derives(name, group, context) else None
+        return self.trees[key]
+
+    def nodes_of(self, name: str, codes: tuple, context: int, methods: bool = False) -> list | None:
+        """As ``syntax`` for a sequence of tokens, of a file or known to derive from ``name``."""
+        if name in ("SL", "File"):
+            parts, dialects = self.statements(codes), 7
+            for part, _ in parts:
+                dialects &= self.chunk("SL", part, context)
+                if not dialects:
+                    break
+            if dialects:
+                found = []
+                for part, ranges in parts:
+                    if self.bears(part, methods):
+                        places = [i for a, b in ranges for i in range(a, b)]
+                        found += [_moved(t, places, part) for t in self._tree("SL", part, None, context)]
+                return found
+        if name == "File" and not self.whole(name, codes, context):
             return None
-        if name in ("SL", "File") and self.by_lines(codes, context):
-            found = []
-            for part, places in self.statements(codes):
-                found += [_moved(t, places, part) for t in self._tree("SL", part, None, context)]
-            return found
         places = [i for i, c in enumerate(codes) if c != NL]
         toks, breaks = _broken(codes)
         if name in _LISTS and self.by_commas(name, toks, context):
             found = []
             for a, b in _parted(toks):
-                if a < b:
+                if a < b and self.bears(toks[a:b], methods):
                     found += [_moved(t, places[a:b], toks[a:b]) for t in self._tree(_LISTS[name], toks[a:b], None, context)]
             return found
         return [_moved(t, places, toks) for t in self._tree(name, toks, breaks if name in _LINES else None, context)]
@@ -718,6 +749,7 @@ class Recogniser:
 _AHEAD = {"Fat": (1, CODE["=>"]), "Fat2": (2, CODE["=>"]), "Colon": (1, CODE[":"]), "Colon2": (2, CODE[":"]), "Eq": (1, CODE["="])}
 _COMMA, _LESS, _MORE, _POWER, _BANG, _CHAIN = (CODE[x] for x in (",", "<", ">", "**", "!", "?."))
 _DOTS = frozenset((CODE["."], CODE["?."]))
+_BEARING = frozenset(CODE[x] for x in ("function", "=>", "class"))
 _WORDS = frozenset(CODE[x] for x in RESERVED)
 _ASSIGNED = frozenset((ID, *(CODE[x] for x in CONTEXTUAL)))
 _OPERAND = _ASSIGNED | {NUM, STR, RX, PRIVATE, OCTAL, *(CODE[x] for x in ("this", "super", "null", "true", "false"))} - {CODE[x] for x in ("await", "yield", "of", "keyof", "as")}
@@ -727,6 +759,11 @@ _SIGNS, _UPDATES = frozenset((CODE["+"], CODE["-"])), frozenset((CODE["++"], COD
 NODES = frozenset(("Func", "FuncExpr", "Arrow", "Member", "Prop", "ConstOne", "LetOne", "Decl", "Export", "Class", "ClassRest", "TsDecl", "DeclareOne", "Decorators"))
 
 
+def spaced(masked: str) -> str:
+    """The text with line ends and blanks of one kind, of the same length."""
+    return masked.replace("\r\n", " \n").replace("\r", "\n").replace("\ufeff", " ").replace("\xa0", " ")
+
+
 def _broken(codes: tuple) -> tuple[tuple, set]:
     """Tokens without line ends, and the positions before which lines end."""
     toks, breaks = [], set()
