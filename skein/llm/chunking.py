@@ -15,7 +15,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.rows import map_rows
@@ -103,21 +105,23 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> Iterator[tu
 def split(units: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(id, piece, start_line, end_line, content) of every unit longer than ``limit`` characters.
 
-    Units are told by id; repeated rows give one result.  Null content or id
-    gives none; a null start_line counts as 1.  Only long units leave the JVM.
+    Units are told by id; repeated rows give one result, and of several contents
+    under one id the one with the smallest hash is cut.  Null content or id gives none; a null start_line counts as 1.  Only long units leave the JVM.
     """
 
     def cut(rows):
         for id_, first_line, text in rows:
             line = first_line if first_line is not None else 1
+            version = xxhash.xxh3_64_intdigest(f"{line}\0{text}".encode("utf-8", "surrogatepass")) >> 1
             at = 0
             for k, (a, fresh, b) in enumerate(pieces(text, limit, overlap)):
                 line += text.count("\n", at, a) if a >= at else -text.count("\n", a, at)
                 at = a
                 last = line + text.count("\n", a, b) - (text[b - 1 : b] == "\n")
-                yield id_, k, line, max(line, last), text[a:b]
+                yield id_, k, line, max(line, last), text[a:b], version
 
-    return map_rows(_long(units, limit), cut, "id string, piece int, start_line int, end_line int, content string").dropDuplicates(["id", "piece"])
+    # one shuffle by id serves the choice of a version and the removal of repeats
+    return map_rows(_long(units, limit), cut, "id string, piece int, start_line int, end_line int, content string, version long").withColumn("kept", F.min("version").over(W.partitionBy("id"))).where("version = kept").drop("version", "kept").dropDuplicates(["id", "piece"])
 
 
 def _long(units: DataFrame, limit: int) -> DataFrame:

@@ -3,8 +3,9 @@
 Only the histogram of lengths (at most one row a length) goes to the driver.
 There best-fit decreasing runs over counts: equal items are placed together, as
 runs of (length, ranks, containers).  Items then find their slot by their rank
-within their length.  Ranks are counted in salted groups, so a length that a
-third of all texts share is ranked by many tasks.
+within their length.  Ranks are counted in salted groups of about ``GROUP``
+items of the commonest length, so a length that a third of all texts share is
+ranked by many tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from skein.functions.rows import map_rows
 from skein.functions.state import durable
 from skein.llm import bpe
 
-CAPACITY, SALTS = 2048, 64
+CAPACITY, SALTS, GROUP = 2048, 64, 200_000
 
 
 class Run(NamedTuple):
@@ -104,7 +105,8 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
     counts = {r["tokens"]: r["n"] for r in each.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan(counts, capacity)
     firsts = {length: [r.rank for r in rs] for length, rs in runs.items()}
-    salted = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, -(-max(counts.values(), default=0) // GROUP))
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int"))
     before = W.partitionBy("tokens").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = salted.groupBy("tokens", "salt").agg(F.count(F.lit(1)).alias("n")).select("tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(W.partitionBy("tokens", "salt").orderBy("doc_id", "part")) - 1

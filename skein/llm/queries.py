@@ -20,6 +20,8 @@ def queries() -> dict:
         "p5_function_comments": lambda s, d: languages.function_comments(t(s, d, "functions"), t(s, d, "documents"), t(s, d, "code_units")),
         "p6_found": lambda s, d: neighbours.found(t(s, d, "code_units")),
         "p6_neighbours": lambda s, d: neighbours.neighbours(t(s, d, "code_units")),
+        "p6_exact": lambda s, d: neighbours.exact(t(s, d, "code_units")),
+        "p6_recall": lambda s, d: neighbours.recall(t(s, d, "code_units")),
         "p7_found": lambda s, d: handmade.found(t(s, d, "files")),
         "p7_kinds": lambda s, d: handmade.kinds(t(s, d, "files")),
         "p8_ids": lambda s, d: bpe.encoded(t(s, d, "documents")),
@@ -32,4 +34,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": "SELECT DISTINCT id FROM code_units WHERE length(content) > 2990"}
+    usable = "v AS (SELECT DISTINCT id, vector FROM code_units WHERE id IS NOT NULL AND vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x) OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0), q AS (SELECT * FROM v WHERE ('0x' || substring(md5(id), 1, 4))::INT % 100 = 0)"
+    dot = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
+    cosine = f"({dot.format(a='q.vector', b='v.vector')} / sqrt({dot.format(a='q.vector', b='q.vector')} * {dot.format(a='v.vector', b='v.vector')}))"
+    return {
+        "p6_exact": f"WITH {usable}, d AS (SELECT q.id, v.id AS other, min(round(1.0::DOUBLE - {cosine}, 6)) AS distance FROM q, v WHERE q.id <> v.id GROUP BY 1, 2) SELECT id, other, distance, row_number() OVER (PARTITION BY id ORDER BY distance, other)::INT AS rank FROM d QUALIFY rank <= 5",
+        "p6_recall": f"WITH {usable}, n AS (SELECT count(DISTINCT id) AS n FROM v) SELECT count(DISTINCT id) AS queries, (count(DISTINCT id) * least(5, max(n.n) - 1))::BIGINT AS pairs, true AS enough FROM q, n",
+        "p1_found": "SELECT DISTINCT id FROM code_units WHERE length(content) > 2990",
+    }
