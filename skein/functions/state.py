@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 
@@ -11,17 +13,20 @@ from pyspark.sql import DataFrame
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, so that later steps neither compute it again nor lose it with an executor.
 
-    The folder is the session's; where it has none and runs on one machine (as
-    in tests), one of the machine's is set.
+    The folder is the session's; where it has none and runs in one process (as
+    in tests), a temporary one is set, which goes with the process.  Spark
+    removes a checkpoint that is no longer referred to if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\[\]]*\])?", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = str(Path(tempfile.gettempdir()) / "skein-checkpoints")
+            folder = tempfile.mkdtemp(prefix="skein-checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

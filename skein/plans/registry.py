@@ -475,6 +475,7 @@ def oracle_sql() -> dict[str, str]:
         "trusted_expansions": f"WITH {_Q}, e AS (SELECT a.query_id, a.query, coalesce(b.query, '') AS e1, coalesce(c.query, '') AS e2, coalesce(d.query, '') AS e3, b.query IS NULL AS last FROM q a LEFT JOIN q b ON b.query_id = a.query_id + 100 LEFT JOIN q c ON c.query_id = a.query_id + 200 LEFT JOIN q d ON d.query_id = a.query_id + 300), l AS (SELECT query_id, query, unnest([e1, concat_ws(' ', substring(query, 1, 200), e1), e2, e3]) AS x, unnest([0, 1, 2, 3]) AS pos FROM e), t AS (SELECT query_id, pos, x, {_tok('query')} AS a, {_tok('x')} AS b FROM l), o AS (SELECT * FROM t WHERE least(len(a), len(b)) > 0 AND len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) >= 0.2) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos)::INT AS n, md5(x) AS hash FROM o QUALIFY n <= 2",
         "recall_union": f"WITH {_Q}, {_V}, {_round(0, 10, 'r0')}, {_round(1, 5, 'r1')}, {_round(2, 5, 'r2')}, b AS (SELECT *, 0 AS n FROM r0 UNION ALL SELECT query_id, id, score * 1.1::DOUBLE, 1 FROM r1 UNION ALL SELECT query_id, id, score * 1.1::DOUBLE, 2 FROM r2) SELECT query_id, id, score, n::INT AS n FROM b QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY n, score) = 1",
         "multi_round": f"WITH {_Q}, {_V}, {_round(0, 5, 'r0')}, {_round(1, 3, 'r1')}, {_round(2, 5, 'r2')}, b AS (SELECT *, 1 AS round FROM r0 UNION ALL SELECT *, 2 FROM r1 UNION ALL SELECT *, 3 FROM r2), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY round, score) = 1) SELECT query_id, id, round::INT AS round, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, id) <= 10",
+        "select_mmr": f"WITH RECURSIVE {_hit(30)}, m AS (SELECT *, len(list_filter({_tok('query')}, lambda t: contains({_HAY}, lower(t)))) AS n, {_tok('concat_ws(chr(32), file_path, name, content)')} AS t FROM hits), e AS (SELECT query_id, id, t, rank AS old, {_evidence_sql('score', 'n')} + 40 * n AS rel FROM m), c AS (SELECT query_id, id, t, rel::DOUBLE AS rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, old)::INT AS i FROM e), p AS (SELECT a.query_id, a.i AS a, b.i AS b, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) END AS sim FROM c a JOIN c b ON a.query_id = b.query_id AND a.i <> b.i), r AS (SELECT query_id, 1 AS step, [i] AS chosen FROM c WHERE i = 1 UNION ALL SELECT query_id, step + 1, list_append(chosen, list(i ORDER BY gain DESC, i)[1]) FROM (SELECT r.query_id, r.step, r.chosen, c.i, 0.7::DOUBLE * c.rel - (1 - 0.7::DOUBLE) * max(p.sim) * 100 AS gain FROM r JOIN c ON c.query_id = r.query_id JOIN p ON p.query_id = r.query_id AND p.a = c.i AND list_contains(r.chosen, p.b) WHERE r.step < 10 AND NOT list_contains(r.chosen, c.i) GROUP BY r.query_id, r.step, r.chosen, c.i, c.rel) GROUP BY query_id, step, chosen), l AS (SELECT query_id, unnest(chosen) AS i, unnest(range(1, 11)) AS position FROM r WHERE step = 10) SELECT l.query_id::VARCHAR AS query_id, c.id, l.position::INT AS position FROM l JOIN c ON c.query_id = l.query_id AND c.i = l.i",
         "keyword_filters": f"WITH {kw}, b AS (SELECT query_id, id, match_score, row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, id)::INT AS rank FROM m WHERE match_score > 0 QUALIFY rank <= 50), {_U} SELECT b.* FROM b JOIN u USING (id) WHERE {kept}",
         "keyword_scan_cap": f"WITH {kw}, c AS (SELECT DISTINCT id FROM code_units WHERE id IS NOT NULL ORDER BY id LIMIT 10000) SELECT query_id, id, match_score, row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, id)::INT AS rank FROM m JOIN c USING (id) WHERE match_score > 0 QUALIFY rank <= 50",
         "smart_search": smart.replace("@limit@", "20").replace("@top@", "10").replace("@near@", "true").replace("@words@", "true"),

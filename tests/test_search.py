@@ -164,3 +164,9 @@ def test_projection_of_malformed_json(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "{", "["), (4, '["a"]', '{"k": "v", "n": 1}')], "i int, dependencies string, metadata string")
     rows = {r.i: (r.dependencies, r.metadata) for r in vector.projected(df).collect()}
     assert rows[1] == rows[2] == rows[3] == ([], {}) and rows[4] == (["a"], {"k": "v", "n": "1"})
+
+
+def test_knn_by_expressions(spark):
+    u, q = units(spark), queries(spark)
+    one, two = ({(r.query_id, r["rank"]): (r.id, round(r.score, 4)) for r in rows.collect()} for rows in (vector.knn(q, u, 5), vector.knn_columns(q, u, 5)))
+    assert one == two

@@ -70,3 +70,13 @@ def test_project_lookup(spark):
     keys = spark.createDataFrame([("1",), ("a",), ("none",), (None,)], "key string")
     got = {r.key: (r.id, r.path) for r in config.lookup(projects, keys).collect()}
     assert got == {"1": ("1", "C:/x"), "a": ("1", "C:/x"), "none": (None, None), None: (None, None)}
+
+
+def test_component_text(spark):
+    vue = "<template><p>{{ a }}</p></template>\n<script>\nexport default { props: { a: String, b: Number }, emits: ['done', \"go\"], methods: { async save(x, { y }) { return 1 } } }\n</script>"
+    row = parse.parsed(spark.createDataFrame([("p", "/r/views/Box.vue", "views/Box.vue", vue)], "project string, path string, relative_path string, content string"), "function").where("type = 'component'").first()
+    assert (row.name, row.start_line, row.end_line) == ("Box", 1, 4)
+    assert row.content.startswith("文件: views/Box.vue\n类型: Vue组件\n\n组件属性 (Props): a, b\n组件事件 (Emits): done, go\n\n方法列表:\n- async save(x, param)\n\nTemplate:\n<p>{{ a }}</p>\n\nScript:\n")
+    import json
+
+    assert json.loads(row.metadata) == {"extension": ".vue", "relativePath": "views/Box.vue", "props": ["a", "b"], "emits": ["done", "go"]}
