@@ -93,10 +93,11 @@ def features(text: str, ext: str) -> dict:
         comment += sum(s.end - s.start for s in spans if s.kind in ("//", "/*"))
         masks.append(mask)
     masked = "\n".join(masks)
-    numbers = sum(map(len, _NUMBER.findall(masked)))
+    shaped, n_numbers = _NUMBER.subn("9", masked)
+    numbers = len(masked) - len(shaped) + n_numbers  # characters of numbers
     space = sum(map(masked.count, " \t\n\r"))
     long_rows = sum(len(x) for x in code.split("\n") if len(x) > 240)
-    order = [x for x in map(str.strip, _NUMBER.sub("9", _NAME.sub("w", masked)).split("\n")) if x]
+    order = [x for x in map(str.strip, _NAME.sub("w", shaped).split("\n")) if x]
     total = len(order)
     best: dict[str, int] = {}
     for (first, _), count in Counter(zip(order, order[1:])).items():
