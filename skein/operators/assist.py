@@ -6,11 +6,12 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein import schema as S
+from skein.functions import text as T
 from skein.models import ChatModel, ask, json_integers, json_object
 from skein.operators.context import fallback_answer
 
@@ -46,6 +47,60 @@ def understand(chat: ChatModel, query: str, vocabulary: list[str]) -> dict:
     return {"intent": "search", "rewritten": query, "keywords": words or _CJK.findall(query), "confidence": 0.3}
 
 
+# The same readings of answers as columns, for tables of answers. ---------------
+
+
+def _object(answer: Column | str) -> tuple[Column, Column]:
+    """The outermost JSON object of an answer, and whether it can be read."""
+    x = F.regexp_extract(F.coalesce(T.col(answer), F.lit("")), r"\{[\s\S]*\}", 0)
+    return x, (x != "") & F.try_parse_json(x).isNotNull()
+
+
+def expansion(answer: Column | str, query: Column | str) -> list[Column]:
+    """Columns keywords and expanded of an answer to ``expand_query``; without a usable answer the dictionary's keywords and the query."""
+    x, ok = _object(answer)
+    found = F.from_json(x, "keywords array<string>, expandedQueries array<string>")
+    ok = ok & found["keywords"].isNotNull()
+    own = F.array(T.col(query))
+    return [F.when(ok, found["keywords"]).otherwise(T.mapped_keywords(query)).alias("keywords"), F.when(ok & (F.size(found["expandedQueries"]) > 0), found["expandedQueries"]).otherwise(own).alias("expanded")]
+
+
+def understanding(answer: Column | str, query: Column | str, words: Column) -> list[Column]:
+    """Columns intent, rewritten, keywords and confidence of an answer to ``understand``; ``words`` are the keywords without a usable answer."""
+    x, ok = _object(answer)
+    found = F.from_json(x, "intent string, rewrittenQuery string, keywords array<string>, confidence double")
+    none = F.array().cast("array<string>")
+    return [
+        F.when(ok, F.coalesce(found["intent"], F.lit("search"))).otherwise("search").alias("intent"), F.when(ok, F.coalesce(found["rewrittenQuery"], T.col(query))).otherwise(T.col(query)).alias("rewritten"),
+        F.when(ok, F.coalesce(found["keywords"], none)).otherwise(words).alias("keywords"), F.when(ok, F.coalesce(found["confidence"], F.lit(0.5))).otherwise(0.3).alias("confidence"),
+    ]
+
+
+def report_analysis(answer: Column | str, report: Column | str) -> list[Column]:
+    """Columns component, steps, symptom, causes and keywords of an answer to ``analyze_report``, or what the report alone gives."""
+    x, ok = _object(answer)
+    found = F.from_json(x, "componentName string, steps array<string>, symptom string, possibleCauses array<string>, searchKeywords array<string>")
+    none, text = F.array().cast("array<string>"), F.coalesce(T.col(report), F.lit(""))
+    return [
+        F.when(ok, F.coalesce(found["componentName"], F.lit("unknown"))).otherwise("unknown").alias("component"), F.when(ok, F.coalesce(found["steps"], none)).otherwise(none).alias("steps"), F.when(ok, F.coalesce(found["symptom"], F.lit(""))).otherwise(F.substring(text, 1, 100)).alias("symptom"),
+        F.when(ok, F.coalesce(found["possibleCauses"], none)).otherwise(none).alias("causes"), F.when(ok, F.coalesce(found["searchKeywords"], none)).otherwise(T.issue_keywords(text)).alias("keywords"),
+    ]
+
+
+def reranked(results: DataFrame, answers: DataFrame, top: int = 10, shown: int = 20) -> DataFrame:
+    """(query_id, id, rank, rerank_score): the results of each query (query_id, id, rank) in the order of the scores in its answer (query_id, answer).
+
+    As ``model_rerank``: of the first ``shown`` those without a score count 0; an
+    answer without a list of whole numbers, or none, keeps the order and gives no score.
+    """
+    listed = F.from_json(F.regexp_extract(F.coalesce("answer", F.lit("")), r"\[[\d\s,]+\]", 0), "array<int>")
+    scores = answers.select("query_id", listed.alias("__s")).groupBy("query_id").agg(F.max("__s").alias("__s"))
+    rows = results.select("query_id", "id", "rank").join(scores, "query_id", "left").where(F.col("__s").isNull() | (F.col("rank") <= shown))
+    rows = rows.withColumn("rerank_score", F.when(F.col("__s").isNotNull(), F.coalesce(F.get("__s", F.col("rank") - 1), F.lit(0))))
+    n = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "rank", "id"))
+    return rows.withColumn("n", n).where(F.col("n") <= top).select("query_id", "id", F.col("n").alias("rank"), "rerank_score")
+
+
 def model_rerank(chat: ChatModel, query: str, results: list[dict], top: int = 10, shown: int = 20) -> list[dict]:
     """The first ``shown`` results by the model's scores, best first; unscored count 0, and an unusable answer keeps their order."""
     some = results[:shown]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,22 @@ def fallback_answer(question: str, results: list[dict]) -> str:
     return "\n".join(parts)
 
 
+def fallback_answers(results: DataFrame) -> DataFrame:
+    """(query_id, answer) of results (query_id, query, rank, name, type, file_path and lines), as ``fallback_answer`` makes it."""
+
+    def line(pattern: str, row: Column) -> Column:
+        parts = re.split(r"\{(\w+)\}", pattern)
+        return F.concat(*[F.coalesce(row[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+    rows = results.where("rank <= 3").select("query_id", "query", F.struct(F.col("rank").alias("i"), "name", "type", "file_path", "start_line", "end_line").alias("r"))
+    lists = rows.groupBy("query_id").agg(F.max("query").alias("query"), F.array_sort(F.collect_list("r")).alias("r"))  # three a query
+    said = lambda p, n: F.transform(F.slice("r", 1, n), lambda r: line(p, r))
+    unsure = F.concat(*[F.coalesce("query", F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"(\{question\})", S.FALLBACK_UNSURE))])
+    heads = [F.array(F.lit(x)) for x in ("## 结论", "## 证据", "## 不确定项", "## 建议")]
+    blank = F.array(F.lit(""))
+    return lists.select("query_id", F.array_join(F.concat(heads[0], said(S.FALLBACK_CONCLUSION, 2), blank, heads[1], said(S.FALLBACK_EVIDENCE, 3), blank, heads[2], F.array(unsure), blank, heads[3], F.array(F.lit(S.FALLBACK_ADVICE))), "\n").alias("answer"))
+
+
 def shown(results: DataFrame, chars: int = S.SHOWN_SEARCH) -> DataFrame:
     """Results with their content cut for display, and an id and a path for a list; null content stays null."""
     cut = F.when(F.length("content") > chars, F.concat(F.substring("content", 1, chars), F.lit("..."))).otherwise(F.col("content"))

@@ -171,6 +171,12 @@ class Index:
     def delete(self, touched: DataFrame) -> int:
         return self.replace(self.spark.createDataFrame([], self.schema), touched)
 
+    def clear(self) -> None:
+        """Removes all versions."""
+        for folder in ("manifests", "data"):
+            fs, path = self._fs(folder)
+            fs.delete(path, True)
+
     def vacuum(self, keep: int = 2) -> None:
         """Removes all but the last ``keep`` versions, and data that none of them names."""
         kept = self.versions()[-max(1, keep) :]

@@ -98,6 +98,10 @@ class Engine:
             kept = kept.unionByName(state.join(touched, keys, "left_anti").select(*kept.columns))
         else:
             self.index.replace_project(project.id, done.where("error is null"))
+        try:
+            self._state._manifest()
+        except Exception:  # a state that cannot be read is begun anew
+            self._state.clear()
         self._state.replace_project(project.id, kept)
         for stored in (self.index, self._state):
             stored.vacuum()

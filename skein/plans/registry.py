@@ -209,6 +209,44 @@ def _vocab_words(s, d):
     return v.select("total", F.posexplode("top").alias("n", "t")).select("total", "n", "t.word", "t.freq")
 
 
+def _model_answers(s, d) -> DataFrame:
+    """(doc_id, query, answer): answers of a model as they may come: an object, one within prose, a broken one, none, and one with few fields."""
+    full = '{"keywords": ["k1", "login"], "expandedQueries": ["e"], "intent": "find", "rewrittenQuery": "r", "confidence": 0.75, "componentName": "Box", "steps": ["s"], "symptom": "y", "possibleCauses": ["c1", "c2"], "searchKeywords": ["w"]}'
+    n = F.col("doc_id") % 5
+    answer = F.when(n == 0, full).when(n == 1, f"Sure:\n{full} done").when(n == 2, '{"keywords": [broken}').when(n == 4, '{"keywords": ["a b"], "confidence": 0.9}')
+    return table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("query"), answer.alias("answer"))
+
+
+def _expansions(s, d):
+    a = _model_answers(s, d)
+    return a.select("doc_id", *assist.expansion("answer", "query")).select("doc_id", _hashed(F.col("keywords")), F.md5(F.array_join("expanded", "|")).alias("expanded"))
+
+
+def _understood(s, d):
+    a = _model_answers(s, d)
+    return a.select("doc_id", *assist.understanding("answer", "query", F.array_distinct(T.cjk_runs("query", 2, 4)))).select("doc_id", "intent", F.md5("rewritten").alias("rewritten"), _hashed(F.col("keywords")), "confidence")
+
+
+def _analysed(s, d):
+    a = _model_answers(s, d)
+    return a.select("doc_id", *assist.report_analysis("answer", "query")).select("doc_id", "component", F.array_join("steps", "|").alias("steps"), "symptom", F.array_join("causes", "|").alias("causes"), F.array_join("keywords", "|").alias("keywords"))
+
+
+def _scored(s, d):
+    q = F.col("query_id") % 300
+    answers = _queries(s, d).select("query_id", F.when(q == 0, "scores: [3, 9, 1, 7, 9] as asked").when(q == 100, "[8.5, 5]").alias("answer"))
+    return assist.reranked(vector.knn(_queries(s, d), _units(s, d), 25).select("query_id", "id", "rank"), answers).withColumn("rerank_score", F.coalesce("rerank_score", F.lit(-1)))
+
+
+def _fallbacks(s, d):
+    return context.fallback_answers(_hits(s, d, 5)).select("query_id", F.md5("answer").alias("hash"))
+
+
+def _clamped(s, d):
+    """Blocks whose snippets would be shorter than the least."""
+    return context.context(_hits(s, d, 5).withColumn("query", F.lit("return export const")), snippet_chars=50).select("query_id", F.md5("context").alias("hash"))
+
+
 def _hashed(words):
     """A hash of a set of words, whatever their order."""
     return F.md5(F.array_join(F.array_sort(words), "|")).alias("hash")
@@ -296,6 +334,12 @@ def queries() -> dict:
         "display_cut": _shown,
         "vector_preview": lambda s, d: _queries(s, d).select("query_id", *context.vector_preview("vector")),
         "chat_prompt": _prompts,
+        "answer_expansion": _expansions,
+        "answer_understanding": _understood,
+        "answer_analysis": _analysed,
+        "rerank_scores": _scored,
+        "fallback_answer": _fallbacks,
+        "context_clamp": _clamped,
         "vocab_set": lambda s, d: vocab.learn(_units(s, d), least=1, camel=True, once_a_batch=True),
         "vocab_match_both": lambda s, d: vocab.match_words(t(s, d, "functions").select(F.col("func_id").alias("query_id"), F.col("name").alias("query")), vocab.learn(_units(s, d))),
         "vocab_keywords": lambda s, d: vocab.keywords_of(_queries(s, d), vocab.learn(_units(s, d)), both_ways=False).select("query_id", _hashed(F.col("keywords"))),
@@ -415,6 +459,14 @@ def oracle_sql() -> dict[str, str]:
         "m AS (SELECT m0.* FROM m0 JOIN u USING (id) WHERE @words@), fu AS (SELECT coalesce(b.query_id, m.query_id) AS query_id, coalesce(b.id, m.id) AS id, CASE WHEN b.score IS NOT NULL AND m.match_score IS NOT NULL THEN b.score - 40.0::DOUBLE WHEN b.score IS NOT NULL THEN b.score ELSE 900.0::DOUBLE - m.match_score END AS score, CASE WHEN b.score IS NOT NULL AND m.match_score IS NOT NULL THEN 'hybrid' WHEN b.score IS NOT NULL THEN 'vector' ELSE 'keyword' END AS source FROM base b FULL OUTER JOIN m ON b.query_id = m.query_id AND b.id = m.id), "
         f"g AS (SELECT fu.*, list_filter(x2.ks, lambda k: contains({_HAY}, lower(k))) AS ms FROM fu JOIN u USING (id) JOIN x2 USING (query_id)), o AS (SELECT query_id, id, source, score - coalesce(list_sum(list_transform(ms, lambda k: round({_spec('k')} * 45.0::DOUBLE))), 0.0::DOUBLE) AS score, len(ms) AS n FROM g) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n = 0, score, id)::INT AS rank, id, score, source FROM o QUALIFY rank <= @top@"
     )
+
+    def fill(pattern: str) -> str:
+        """A pattern with the fields of a hit in the place of their names."""
+        out = "'" + pattern + "'"
+        for k, v in {"i": "rank", "name": "coalesce(name, '')", "type": "coalesce(type, '')", "file_path": "coalesce(file_path, '')", "start_line": "coalesce(start_line::VARCHAR, '')", "end_line": "coalesce(end_line::VARCHAR, '')"}.items():
+            out = out.replace("{" + k + "}", f"' || {v} || '")
+        return out
+
     name_label = "CASE type WHEN 'function' THEN '函数声明' WHEN 'method' THEN '类方法' ELSE '箭头函数' END"
     return {
         "knn_top20": f"WITH {_knn(20, 'q.query_id = 0')} SELECT * FROM near",
@@ -489,6 +541,12 @@ def oracle_sql() -> dict[str, str]:
         "display_cut": f"WITH {_hit(10)} SELECT query_id, id, substring(id, 1, 18) AS short_id, substring(file_path, 1, 38) AS short_path, md5(CASE WHEN length(content) > 300 THEN substring(content, 1, 300) || '...' ELSE content END) AS hash FROM hits",
         "vector_preview": f"WITH {_Q} SELECT query_id, len(v)::INT AS dimensions, '[' || array_to_string(list_transform(v[1:5], lambda x: printf('%.6f', x::DOUBLE)), ', ') || '...]' AS preview FROM q",
         "chat_prompt": f"WITH {_hit(5)}, {_BLOCKS} SELECT query_id, md5({prompt_parts[0]} || string_agg(b, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || {prompt_parts[1]}) AS hash FROM blocks GROUP BY 1",
+        "answer_expansion": f"WITH x AS (SELECT doc_id, coalesce(text, '') AS query, flatten({mapped.replace('text', "coalesce(text, '')")}) AS f FROM documents) SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN md5('k1|login') WHEN doc_id % 5 = 4 THEN md5('a b') ELSE md5(array_to_string(list_sort(list_distinct(CASE WHEN len(f) > 0 THEN f ELSE list_concat(regexp_extract_all(query, '[\\x{{4e00}}-\\x{{9fa5}}]{{2,4}}'), [query]) END)), '|')) END AS hash, CASE WHEN doc_id % 5 < 2 THEN md5('e') ELSE md5(query) END AS expanded FROM x",
+        "answer_understanding": "WITH x AS (SELECT doc_id, doc_id % 5 AS n, coalesce(text, '') AS query FROM documents) SELECT doc_id, CASE WHEN n < 2 THEN 'find' ELSE 'search' END AS intent, CASE WHEN n < 2 THEN md5('r') ELSE md5(query) END AS rewritten, CASE WHEN n < 2 THEN md5('k1|login') WHEN n = 4 THEN md5('a b') ELSE md5(array_to_string(list_sort(list_distinct(regexp_extract_all(query, '[\\x{4e00}-\\x{9fa5}]{2,4}'))), '|')) END AS hash, CASE WHEN n < 2 THEN 0.75::DOUBLE WHEN n = 4 THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM x",
+        "answer_analysis": "WITH x AS (SELECT doc_id, doc_id % 5 AS n, coalesce(text, '') AS t, regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+', '', 'g'), '[【】\\[\\]]', ' ', 'g'), '[\\x{4e00}-\\x{9fa5}]{2,6}') AS f FROM documents) SELECT doc_id, CASE WHEN n < 2 THEN 'Box' ELSE 'unknown' END AS component, CASE WHEN n < 2 THEN 's' ELSE '' END AS steps, CASE WHEN n < 2 THEN 'y' WHEN n = 4 THEN '' ELSE substring(t, 1, 100) END AS symptom, CASE WHEN n < 2 THEN 'c1|c2' ELSE '' END AS causes, CASE WHEN n < 2 THEN 'w' WHEN n = 4 THEN '' ELSE array_to_string(list_filter(f, lambda w, i: list_position(f, w) = i)[1:5], '|') END AS keywords FROM x",
+        "rerank_scores": f"WITH {_knn(25)}, s AS (SELECT *, CASE WHEN query_id % 300 = 0 THEN coalesce([3, 9, 1, 7, 9][rank], 0) END AS rerank_score FROM near WHERE query_id % 300 <> 0 OR rank <= 20) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, s.rank, id)::INT AS rank, coalesce(rerank_score, -1)::INT AS rerank_score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, s.rank, id) <= 10",
+        "fallback_answer": f"WITH {_hit(5)}, l AS (SELECT query_id, max(query) AS query, string_agg({fill(S.FALLBACK_CONCLUSION)} || chr(10), '' ORDER BY rank) FILTER (rank <= 2) AS c, string_agg({fill(S.FALLBACK_EVIDENCE)} || chr(10), '' ORDER BY rank) FILTER (rank <= 3) AS e FROM hits GROUP BY 1) SELECT query_id, md5('## 结论' || chr(10) || c || chr(10) || '## 证据' || chr(10) || e || chr(10) || '## 不确定项' || chr(10) || replace('{S.FALLBACK_UNSURE}', '{{question}}', query) || chr(10) || chr(10) || '## 建议' || chr(10) || '{S.FALLBACK_ADVICE}') AS hash FROM l",
+        "context_clamp": f"WITH {_hit(5)}, {_BLOCKS.replace('1200', '200').replace('- 600', '- 100')} SELECT query_id, md5(string_agg(b, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS hash FROM blocks GROUP BY 1",
         "vocab_set": "WITH w AS (SELECT unnest(list_concat(" + _words_sql() + ", list_transform(list_filter(string_split(regexp_replace(coalesce(name, ''), '([A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda w: length(w) > 2), lambda w: lower(w)))) AS word FROM code_units) SELECT DISTINCT word, 1::BIGINT AS freq FROM w",
         "vocab_match_both": words + ", n AS (SELECT DISTINCT func_id AS query_id, lower(name) AS q FROM functions WHERE name <> ''), d AS (SELECT DISTINCT q FROM n), h AS (SELECT q, word FROM d, f WHERE lower(word) <> '' AND (contains(q, lower(word)) OR contains(lower(word), q))) SELECT DISTINCT query_id, word FROM n JOIN h USING (q)",
         "vocab_keywords": words + f", {_Q}, h AS (SELECT query_id, list_distinct(list(word)) AS w FROM q, f WHERE lower(word) <> '' AND contains(lower(query), lower(word)) GROUP BY 1) SELECT q.query_id, {_hash_sql('coalesce(w, list_distinct(regexp_extract_all(query, ' + chr(39) + '[' + chr(92) + 'x{4e00}-' + chr(92) + 'x{9fa5}]{2,4}' + chr(39) + ')))')} FROM q LEFT JOIN h USING (query_id)",

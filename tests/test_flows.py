@@ -69,3 +69,14 @@ def test_config(tmp_path):
     p = config.add("a", "C:\\x")
     assert config.update(p.id, indexed=True) and not config.update("none", indexed=True)
     assert Config.load(file).project(p.id).indexed and Config.load(file).project("b") is None
+
+
+def test_unreadable_state_is_none(spark, tmp_path, project):
+    p, _ = project
+    engine = Engine(spark, str(tmp_path / "index"), HashingEmbedder())
+    engine.build(p)
+    assert engine.state(p.id).count() == 4
+    (tmp_path / "index/state/manifests/1.json").write_text("{")
+    (tmp_path / "index/state/manifests/.1.json.crc").unlink(missing_ok=True)
+    assert engine.state(p.id) is None and engine.state() is None
+    assert engine.build(p, incremental=True)["files"] == 4  # without a state all is built
