@@ -14,6 +14,8 @@ NAMING = frozenset("param arg argument prop property name function func method c
 CODE_TOKEN = re.compile(
     r"https?://\S+|</?[A-Za-z][^<>\n]*>|\$?\{\{?[^{}\n]*\}?\}|`[^`\n]*`|[\w$.]+\([^()\n]*\)|(?<![\w.])[\w$]+(?:[./\\:#@][\w$-]+)+/?|(?<![\w])[@#./\\$][\w$./-]+|\b[a-zA-Z]+[_$\d][\w$-]*|\b\w*[a-zß-ÿ]\w*[A-Z]\w*(?:-\w+)*|\b\w+(?:-\w+)*-\d\w*|\b\d[\w.:-]*",
 )
+#: What any token of code holds.
+MAYBE_CODE = re.compile(r"[/\\:<{$`(#@_\d]|\.[\w$./-]|\w[A-Z]")
 _CODE_LINE = re.compile(
     r"[;{}]\s*$|=>|^\s*(?:const|let|var|import|export|function|async|class)\s+[\w{*$]+.*[=({'\"]|^\s*(?:if|for|while|switch|catch)\s*\(|^\s*return\s+[\w$.]+(?:\(.*\))?\s*;?$|^\s*\}|[=!]==?|&&|\|\||\w\s\+?=\s\S|^\s*[\w$.]+\(.*\)\s*;?\s*$|^\s*(?:SELECT\b.+\bFROM|INSERT\s+INTO|UPDATE\b.+\bSET|DELETE\s+FROM)\b"
 )
@@ -54,7 +56,7 @@ def lines(comment: str) -> list[str]:
 
 def without_code(line: str) -> str:
     """The line with its tokens of code taken out."""
-    return CODE_TOKEN.sub(" ", line)
+    return CODE_TOKEN.sub(" ", line) if MAYBE_CODE.search(line) else line
 
 
 def words(line: str) -> list[str]:

@@ -47,29 +47,39 @@ _END = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])\s*")
 _SPLIT = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
 _CODE = re.compile(r"[{}\[\]=<>;|\\_$#~^&*+/@]|\w\(|\w\.\w|\w:\w|::|\d\w*[a-zA-Z]|[a-z][A-Z]")
-_MARKS = re.compile(r"[.!?。！？:;…]\W*$")
+_MARKS = frozenset(".!?。！？:;…")
 _MOJIBAKE = re.compile(r"[\u0080-\u009f�]|[ÃÂÅÄâãäåæçèéï][\u0080-\u00bf]|ï¿½")
 _STAMP = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|(?:ERROR|WARN|INFO|DEBUG|TRACE)\b|at\s+\S+\s*\(|\w*Error:)")
 
 
+def _ended(line: str) -> bool:
+    """Whether a mark that ends a sentence follows the last word of the line."""
+    for c in reversed(line):
+        if c in _MARKS:
+            return True
+        if c.isalnum() or c == "_":
+            return False
+    return False
+
+
 def _latin(sentence: str, listed: bool) -> int:
     """1 if the sentence is readable, -1 if it only strings function words together, else 0."""
     tokens = _TOKEN.findall(sentence)
-    named = prose.CODE_TOKEN.sub(" Name ", sentence)
+    named = prose.CODE_TOKEN.sub(" Name ", sentence) if prose.MAYBE_CODE.search(sentence) else sentence
     words = [w.lower() for w in _SPLIT.findall(named)]
     n = len(words)
-    ended = bool(_MARKS.search(sentence))
+    ended = _ended(sentence)
     if n < 2 or n < 4 and not ended:
         return 0
-    code = sum(1 for t in tokens if _CODE.search(t.rstrip(".,;:!?)")))
-    names = sum(w == "name" for w in words)
+    code = sum(1 for t in tokens if _CODE.search(t.rstrip(".,;:!?)"))) if _CODE.search(sentence) else 0
+    names = words.count("name")
     if code > 0.5 * len(tokens) or names > 0.4 * n:
         return 0
     best, strong, lang = 0, 0, "en"
     for name, (s, both) in _SETS.items():
-        c = sum(w in both for w in words)
+        c = sum(map(both.__contains__, words))
         if c > best:
-            best, strong, lang = c, sum(w in s for w in words), name
+            best, strong, lang = c, sum(map(s.__contains__, words)), name
     no_noun = _NO_NOUN[lang]
     bad = sum(1 for a, b in zip(words, words[1:]) if a in ARTICLES and a in no_noun and b in no_noun or a == b != "name" or a in _CONJUNCTIONS and b in _CONJUNCTIONS)
     if words[-1] in no_noun and words[-1] in ARTICLES:
@@ -100,7 +110,7 @@ def readable(text: str) -> int:
     """Non-blank characters of the text that belong to readable sentences."""
     total = 0
     for block in re.split(r"\r?\n[ \t]*\r?\n|\r\r", text):
-        lines = re.split(r"\r\n|\n|\r", block)
+        lines = re.split(r"\r\n|\n|\r", block) if "\r" in block else block.split("\n")
         joined: list[tuple[str, bool]] = []
         for line in lines:
             if _STAMP.search(line):
@@ -109,7 +119,7 @@ def readable(text: str) -> int:
             listed = bool(_LIST.match(line))
             plain = _LIST.sub("", line)
             # a line goes on with a sentence if the one before is long and not ended
-            if joined and not listed and joined[-1][0] and not _MARKS.search(joined[-1][0]) and len(joined[-1][0]) - joined[-1][0].rfind("\n") > 38 and "|" not in plain and "\t" not in plain:
+            if joined and not listed and joined[-1][0] and not _ended(joined[-1][0]) and len(joined[-1][0]) - joined[-1][0].rfind("\n") > 38 and "|" not in plain and "\t" not in plain:
                 joined[-1] = (joined[-1][0] + "\n" + plain, joined[-1][1])
             else:
                 joined.append((plain, listed))
@@ -117,7 +127,8 @@ def readable(text: str) -> int:
         for piece, listed in joined:
             if not piece.strip() or _table(piece):
                 continue
-            piece = _HTML.sub(" ", piece)
+            if "<" in piece:
+                piece = _HTML.sub(" ", piece)
             plain = piece.isascii()
             for s in _END.split(piece):
                 if not s.strip() or not plain and len(_MOJIBAKE.findall(s)) * 6 > len(s):
@@ -137,7 +148,7 @@ def readable(text: str) -> int:
 
 def _table(line: str) -> bool:
     """Whether a line is a row of cells."""
-    return line.count("\t") >= 2 or line.count("|") >= 2 or len(re.findall(r" {3,}", line.strip())) >= 2 or len(re.findall(r"\",|,\"|,\d", line)) >= 3 or line.lstrip().startswith(("{\"", "<table"))
+    return line.count("\t") >= 2 or line.count("|") >= 2 or "   " in line and len(re.findall(r" {3,}", line.strip())) >= 2 or "," in line and len(re.findall(r"\",|,\"|,\d", line)) >= 3 or line.lstrip().startswith(("{\"", "<table"))
 
 
 STATISTICS = ("words", "mean_word", "symbol_ratio", "digit_ratio", "ended_lines", "common_words", "common_pairs", "list_lines", "repeated_lines")
@@ -146,7 +157,7 @@ TAILS = {"mean_word": (0, 0.3), "symbol_ratio": (1, 0.02), "digit_ratio": (1, 0.
 #: What ordinary text has at least or at most, whatever its language; the sketches are of such documents.
 ORDINARY = {"words": (8, None), "ended_lines": (0.5, None), "list_lines": (None, 0.5), "symbol_ratio": (None, 0.12), "digit_ratio": (None, 0.08), "common_pairs": (None, 0.22)}
 Z, LEAST, FEW = 2.0, 0.5, 20
-_SYMBOL, _DIGIT = re.compile(r"[^\w\s]|_"), re.compile(r"\d")
+_DIGIT = re.compile(r"\d")
 
 
 def measure(text: str | None) -> tuple:
@@ -156,20 +167,24 @@ def measure(text: str | None) -> tuple:
     lines = [x for x in re.split(r"\r\n|\n|\r", text) if x.strip()]
     low = text.lower()
     cjk = 0
-    if not text.isascii():
+    if text.isascii():
+        digits = sum(map(text.count, "0123456789"))
+    else:
+        digits = len(_DIGIT.findall(text))
         cjk = len(prose.CJK.findall(text))
         low = prose.CJK.sub(" ", low) if cjk else low
     words = _SPLIT.findall(low)
     n = len(words) + cjk / 1.6
     visible = len("".join(text.split()))
+    letters = sum(map(len, words)) + cjk
     known = list(map(_COMMON.__contains__, words))
     common = sum(known) + (len(_ZH.findall(text)) + len(_HIRA.findall(text)) / 2 if cjk else 0)
     return (
         int(n),
-        float((sum(map(len, words)) + cjk) / n) if n else 0.0,
-        len(_SYMBOL.findall(text)) / visible,
-        len(_DIGIT.findall(text)) / visible,
-        sum(1 for x in lines if _MARKS.search(x)) / len(lines),
+        float(letters / n) if n else 0.0,
+        max(0, visible - letters - digits) / visible,  # neither blank nor letter nor digit
+        digits / visible,
+        sum(map(_ended, lines)) / len(lines),
         min(1.0, common / n) if n else 0.0,
         sum(map(all, zip(known, known[1:]))) / max(1, len(words) - 1),
         sum(1 for x in lines if _LIST.match(x)) / len(lines),
