@@ -12,6 +12,7 @@ more from the median.  Only documents in the tail are read sentence by sentence.
 from __future__ import annotations
 
 import re
+from operator import and_, eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,11 +152,11 @@ def _table(line: str) -> bool:
     return line.count("\t") >= 2 or line.count("|") >= 2 or "   " in line and len(re.findall(r" {3,}", line.strip())) >= 2 or "," in line and len(re.findall(r"\",|,\"|,\d", line)) >= 3 or line.lstrip().startswith(("{\"", "<table"))
 
 
-STATISTICS = ("words", "mean_word", "symbol_ratio", "digit_ratio", "ended_lines", "common_words", "common_pairs", "list_lines", "repeated_lines")
+STATISTICS = ("words", "mean_word", "symbol_ratio", "digit_ratio", "ended_lines", "common_words", "common_pairs", "doubled_words", "list_lines", "repeated_lines")
 #: Statistics whose tails are looked at, with the side on which a value is out of the ordinary (-1 low, 1 high, 0 both) and the least spread.
-TAILS = {"mean_word": (0, 0.3), "symbol_ratio": (1, 0.02), "digit_ratio": (1, 0.02), "ended_lines": (-1, 0.1), "common_words": (0, 0.04), "common_pairs": (1, 0.03), "list_lines": (1, 0.1), "repeated_lines": (1, 0.03)}
+TAILS = {"mean_word": (0, 0.3), "symbol_ratio": (1, 0.02), "digit_ratio": (1, 0.02), "ended_lines": (-1, 0.1), "common_words": (0, 0.04), "common_pairs": (1, 0.03), "doubled_words": (1, 0.004), "list_lines": (1, 0.1), "repeated_lines": (1, 0.03)}
 #: What ordinary text has at least or at most, whatever its language; the sketches are of such documents.
-ORDINARY = {"words": (8, None), "ended_lines": (0.5, None), "list_lines": (None, 0.5), "symbol_ratio": (None, 0.12), "digit_ratio": (None, 0.08), "common_pairs": (None, 0.22)}
+ORDINARY = {"words": (8, None), "ended_lines": (0.5, None), "list_lines": (None, 0.5), "symbol_ratio": (None, 0.12), "digit_ratio": (None, 0.08), "common_pairs": (None, 0.22), "doubled_words": (None, 0.01)}
 Z, LEAST, FEW = 2.0, 0.5, 20
 _DIGIT = re.compile(r"\d")
 
@@ -186,7 +187,8 @@ def measure(text: str | None) -> tuple:
         digits / visible,
         sum(map(_ended, lines)) / len(lines),
         min(1.0, common / n) if n else 0.0,
-        sum(map(all, zip(known, known[1:]))) / max(1, len(words) - 1),
+        sum(map(and_, known, known[1:])) / max(1, len(words) - 1),
+        sum(map(eq, words, words[1:])) / max(1, len(words) - 1),
         sum(1 for x in lines if _LIST.match(x)) / len(lines),
         1 - len({x.strip() for x in lines}) / len(lines),
     )
